@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluicegate.llm import bpe, counts, mixing, packing, quality
+from sluicegate.llm import bpe, counts, lattice, mixing, packing, quality, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.recount(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.written(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,6 +43,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_documents(spark, sf_dir)).result()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_token_counts, op6_token_files, op7_quality, op8_mixing)}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.learn_and_score(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_token_counts, op5_topk, op6_token_files, op7_quality, op8_mixing, op9_lm_score)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_topk": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
+}
