@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluicegate.llm import bpe, counts, lattice, mixing, packing, quality, topk
+from sluicegate.llm import bpe, counts, jaccard, lattice, mixing, packing, quality, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_documents(spark, sf_dir), k=4, num=85, den=100)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +51,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.learn_and_score(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_token_counts, op5_topk, op6_token_files, op7_quality, op8_mixing, op9_lm_score)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op3_bpe, op4_token_counts, op5_topk, op6_token_files, op7_quality, op8_mixing, op9_lm_score)}
 
 ORACLES: dict[str, str] = {
     "op5_topk": """
