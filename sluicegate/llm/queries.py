@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluicegate.llm import bpe, counts, jaccard, lattice, mixing, packing, quality, topk
+from sluicegate.llm import bpe, counts, jaccard, lattice, mixing, packing, passages, quality, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.learn_and_score(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op3_bpe, op4_token_counts, op5_topk, op6_token_files, op7_quality, op8_mixing, op9_lm_score)}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op3_bpe, op4_token_counts, op5_topk, op6_token_files, op7_quality, op8_mixing, op9_lm_score, op10_passages)}
 
 ORACLES: dict[str, str] = {
     "op5_topk": """
