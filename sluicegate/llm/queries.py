@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluicegate.llm import bpe, counts, jaccard, lattice, mixing, packing, passages, quality, topk
+from sluicegate.llm import bpe, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_documents(spark, sf_dir), k=4, num=85, den=100)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.described(_documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op3_bpe, op4_token_counts, op5_topk, op6_token_files, op7_quality, op8_mixing, op9_lm_score, op10_passages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_fingerprints, op3_bpe, op4_token_counts, op5_topk, op6_token_files, op7_quality, op8_mixing, op9_lm_score, op10_passages)}
 
 ORACLES: dict[str, str] = {
     "op5_topk": """
