@@ -138,10 +138,10 @@ class Encoder:
 
     def known(self, tokens: set[str]) -> dict[str, bytes]:
         """The pre-token cache, with all of tokens in it."""
-        new = tokens - self.tokens.keys()
+        new = tokens.difference(self.tokens)
         if len(self.tokens) + len(new) > CACHE_PIECES:
             self.tokens = {k: self.tokens[k] for k in tokens - new} if len(tokens) <= CACHE_PIECES else {}
-            new = tokens - self.tokens.keys()
+            new = tokens.difference(self.tokens)
         self.learn(self.tokens, new)
         return self.tokens
 
@@ -157,10 +157,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         seen = set().union(*(s[1:] for s in split))
-        new = seen - self.pieces.keys()
+        new = seen.difference(self.pieces)
         if len(self.pieces) + len(new) > CACHE_PIECES:
             self.pieces = {k: self.pieces[k] for k in seen - new} if len(seen) <= CACHE_PIECES else {}
-            new = seen - self.pieces.keys()
+            new = seen.difference(self.pieces)
         good = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         self.pieces.update(dict.fromkeys(new))
         self.learn(self.pieces, good, " ")
@@ -191,6 +191,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def id_lists(coded: list[bytes]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
@@ -221,9 +226,7 @@ def encode(docs: DataFrame, vocab_path: str, keep: list[str] | None = None, text
         own = encoder(vocab_path)
         for b in steps(batches, text):
             coded = own.encode(texts_of(b.column(text)))
-            ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), id_lists(coded)], [*keep, "ids"])
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -245,9 +248,10 @@ def decode(coded: DataFrame, vocab_path: str, keep: list[str] | None = None, ids
     return coded.select(*keep, ids).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, vocab_path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Encode and decode each whole text in one pass: n_tokens, ids_sha256 and decoded_sha256 beside the columns keep."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
+def digests(docs: DataFrame, vocab_path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode each whole text in one pass: n_tokens, ids_sha256 and decoded_sha256 beside the columns keep, and
+    ids (array<int>) if asked for."""
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocab_path)
@@ -259,6 +263,7 @@ def digests(docs: DataFrame, vocab_path: str, keep: tuple[str, ...] = ("doc_id",
                 pa.array([hashlib.sha256(c).hexdigest() for c in coded]),
                 pa.array([hashlib.sha256(x).hexdigest() for x in back]),
             ]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+            out += [id_lists(coded)] * with_ids
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return docs.select(*keep, text).mapInArrow(run, schema)

@@ -23,48 +23,72 @@ from sluicegate.llm.common import steps
 
 
 class TokenTree:
-    """A document, its pre-token leaves and sums over them."""
+    """A document, its pre-token leaves and sums over them.
+
+    Edits change characters at once and note the pre-tokens to encode; settle() encodes them and renews the counts, so
+    that the new pre-tokens of many documents can be encoded together.
+    """
 
     def __init__(self, text: str, own: Encoder, tokens: list[str] | None = None):
         self.own, self.text, self.encoded = own, text, 0
         self._build(own.pretokens(text) if tokens is None else tokens)
+        if tokens is None:
+            self.settle()
 
     def _build(self, tokens: list[str]) -> None:
-        known = self.own.known(set(tokens))
-        n = 1 << max(0, (len(tokens) - 1)).bit_length()
-        chars, counts = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
-        chars[n : n + len(tokens)] = list(map(len, tokens))
-        counts[n : n + len(tokens)] = [len(known[t]) >> 2 for t in tokens]
-        at = n
+        """Leaves of the tokens; their counts come with settle()."""
+        self.n = n = 1 << max(0, (len(tokens) - 1)).bit_length()
+        self.chars = np.zeros(2 * n, np.int64)
+        self.chars[n : n + len(tokens)] = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.counts, self.tokens, self.slots = None, tokens, {}
+        self._sum(self.chars)
+
+    def _sum(self, a: np.ndarray) -> None:
+        at = self.n
         while at > 1:
-            for a in (chars, counts):
-                a[at // 2 : at] = a[at : 2 * at : 2] + a[at + 1 : 2 * at : 2]
+            a[at // 2 : at] = a[at : 2 * at : 2] + a[at + 1 : 2 * at : 2]
             at //= 2
-        self.n, self.chars, self.counts = n, chars.tolist(), counts.tolist()
+
+    def wanted(self) -> set[str]:
+        """Pre-tokens whose counts settle() needs."""
+        return set(self.tokens or ()).union(*(tokens for tokens, _ in self.slots.values()))
+
+    def settle(self) -> None:
+        known = self.own.known(self.wanted())
+        if self.tokens is not None:
+            self.counts = np.zeros(2 * self.n, np.int64)
+            lengths = np.fromiter(map(len, map(known.__getitem__, self.tokens)), np.int64, len(self.tokens))
+            self.counts[self.n : self.n + len(self.tokens)] = lengths >> 2
+            self._sum(self.counts)
+            self.tokens = None
+        for leaf, (tokens, kept) in self.slots.items():
+            count = sum(len(known[t]) >> 2 for t in tokens)
+            for old in kept:
+                count += int(self.counts[old + self.n])
+            self._add(self.counts, leaf, count - int(self.counts[leaf + self.n]))
+        self.slots = {}
+
+    def _add(self, a: np.ndarray, leaf: int, change: int) -> None:
+        node = leaf + self.n
+        while node and change:
+            a[node] += change
+            node //= 2
 
     @property
     def n_tokens(self) -> int:
-        return self.counts[1]
+        return int(self.counts[1])
 
     def find(self, position: int) -> tuple[int, int]:
         """The leaf that holds a character position, and the leaf's first position."""
         node, start = 1, 0
         while node < self.n:
             node *= 2
-            if position >= start + self.chars[node]:
-                start += self.chars[node]
+            here = int(self.chars[node])
+            if position >= start + here:
+                start += here
                 node += 1
         return node - self.n, start
 
-    def _set(self, leaf: int, chars: int, counts: int) -> None:
-        node = leaf + self.n
-        self.chars[node], self.counts[node] = chars, counts
-        node //= 2
-        while node:
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.counts[node] = self.counts[2 * node] + self.counts[2 * node + 1]
-            node //= 2
-
     def _has_added(self, text: str) -> bool:
         return any(a in text for a in self.own.added)
 
@@ -84,9 +108,9 @@ class TokenTree:
             return
         # the first leaf whose end, with two characters more, reaches the edit; find() passes over empty leaves
         first, start = self.find(max(0, position - 2))
-        while start and start + self.chars[first + self.n] + 2 > position:
+        while start and start + int(self.chars[first + self.n]) + 2 > position:
             before, at = self.find(start - 1)
-            if at + self.chars[before + self.n] + 2 <= position:
+            if at + int(self.chars[before + self.n]) + 2 <= position:
                 break
             first, start = before, at
         shift = len(inserted) - removed
@@ -98,21 +122,28 @@ class TokenTree:
                     stop = leaf
                     break
             found.append(m.group())
-        known = self.own.known(set(found))
         last = self.n if stop is None else stop
         self.encoded += len(found)
-        for leaf in range(first + 1, last):
-            if self.chars[leaf + self.n] or self.counts[leaf + self.n]:
-                self._set(leaf, 0, 0)
-        kept = first == stop  # new pre-tokens go before this leaf, which stays
-        self._set(first, sum(map(len, found)) + kept * self.chars[first + self.n], sum(len(known[t]) >> 2 for t in found) + kept * self.counts[first + self.n])
+        for leaf in np.flatnonzero(self.chars[self.n + first + 1 : self.n + last]).tolist():
+            self._put(first + 1 + leaf, 0, [], [])
+        if first == stop:  # new pre-tokens go before this leaf, which stays
+            tokens, kept = self.slots.get(first, ([], [first]))
+            self._put(first, sum(map(len, found)) + int(self.chars[first + self.n]), found + tokens, kept)
+        else:
+            self._put(first, sum(map(len, found)), found, [])
+
+    def _put(self, leaf: int, chars: int, tokens: list[str], kept: list[int]) -> None:
+        self._add(self.chars, leaf, chars - int(self.chars[leaf + self.n]))
+        self.slots[leaf] = tokens, kept
 
     def _anew(self) -> None:
         tokens = self.own.pretokens(self.text)
-        self._build(tokens)
         self.encoded += len(tokens)
         if self._has_added(self.text):
-            self.n, self.chars, self.counts = 1, [0, len(self.text)], [0, len(self.own.encode([self.text])[0]) >> 2]
+            self.n, self.chars, self.tokens, self.slots = 1, np.array([0, len(self.text)]), None, {}
+            self.counts = np.array([0, len(self.own.encode([self.text])[0]) >> 2])
+        else:
+            self._build(tokens)
 
 
 def recount(docs: DataFrame, vocab_path: str, edits: str = "edits", keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -129,17 +160,24 @@ def recount(docs: DataFrame, vocab_path: str, edits: str = "edits", keep: tuple[
             texts = texts_of(b.column(text))
             tokens = [own.pretokens(t) for t in texts]
             own.known(set().union(*tokens))
-            rows = []
-            for t, found, changes in zip(texts, tokens, b.column(edits).to_pylist(), strict=True):
+            trees, before = [], []
+            for t, found in zip(texts, tokens, strict=True):
                 tree = TokenTree(t, own, found)
                 if tree._has_added(t):
                     tree._anew()
                     tree.encoded = 0
-                before = tree.n_tokens
+                tree.settle()
+                trees.append(tree)
+                before.append(tree.n_tokens)
+            for tree, changes in zip(trees, b.column(edits).to_pylist(), strict=True):
                 for e in changes or []:
                     if e is not None:
                         tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
-                rows.append((before, tree.n_tokens, len(found), tree.encoded))
+            own.known(set().union(*(tree.wanted() for tree in trees)))
+            rows = []
+            for tree, n, found in zip(trees, before, tokens, strict=True):
+                tree.settle()
+                rows.append((n, tree.n_tokens, len(found), tree.encoded))
             out = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, "n_tokens", "edited_n_tokens", "n_pretokens", "n_reencoded"])
 
