@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sluicegate.llm.common import Words, mix, small, steps, table, windows
 from sluicegate.llm.components import components
@@ -316,7 +316,15 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without the documents whose component has a smaller doc_id.  Rows without doc_id stay."""
-    gone = join(docs, k, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = table(gone, "copies")
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs without the documents whose component has a smaller doc_id; of rows that share a doc_id the one
+    with the least text hash stays.  Rows without doc_id or without words link with nothing and stay."""
+    found = table(join(docs, k, num, den), "components")
+    gone = table(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    left = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    twice = table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    n = twice.count()
+    if not n:
+        return left
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    several = left.join(small(twice, n), "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1")
+    return left.join(small(twice, n), "doc_id", "left_anti").select(docs.columns).unionByName(several.select(docs.columns))

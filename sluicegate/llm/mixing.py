@@ -194,10 +194,11 @@ def _own_part():
 def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
     """The mix as rows of docs: a document comes once for each whole time that it is taken, and once more, cut after as
     many words, if a part is left.  n_chars follows the text.  Documents that aren't taken go; so do texts without words.
+    Rows that are equal in doc_id, source and text take the same number of words, rounded down.
     """
     mix = Mix(docs, block_words, seed)
-    taken = mix.by_row()
-    rows = docs.withColumn("row", row_key()).join(small(taken, mix.rows.count(), BROADCAST_ROWS), "row")
+    taken = mix.by_row().select(F.col("row").alias("_mix_row"), F.expr("taken div n").alias("_mix_taken"))
+    rows = docs.withColumn("_mix_row", row_key()).join(small(taken, mix.rows.count(), BROADCAST_ROWS), "_mix_row")
     columns, schema = docs.columns, docs.schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -205,7 +206,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> Dat
         for b in steps(batches):
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
             pick, whole = [], []
-            for i, (t, words) in enumerate(zip(texts, b.column("_taken").to_pylist(), strict=True)):
+            for i, (t, words) in enumerate(zip(texts, b.column("_mix_taken").to_pylist(), strict=True)):
                 raw = t.encode()
                 size = len(raw.split()) if words else 0
                 if not size:
@@ -221,4 +222,4 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> Dat
             made = {"text": pa.array(whole, pa.string()), "n_chars": pa.array([len(t) for t in whole], pa.int64())}
             yield pa.RecordBatch.from_arrays([made[c] if c in made and (c == "text" or "n_chars" in columns) else took.column(c) for c in columns], columns)
 
-    return rows.withColumn("taken", _own_part()).select(*columns, F.col("taken").alias("_taken")).mapInArrow(run, out)
+    return rows.select(*columns, "_mix_taken").mapInArrow(run, out)

@@ -199,3 +199,14 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3, keep: tuple[str
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, "score", "predicted"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Trees, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs that the classifier predicts as 1, with all their columns."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, text):
+            yield b.filter(pa.array(model.score(statistics(b.column(text))) >= threshold))
+
+    return docs.mapInArrow(run, schema)
