@@ -40,6 +40,7 @@ TOP_WORDS = 200_000
 LATTICE_WORDS, LATTICE_BYTES = 20_000, 200_000
 
 _U = np.uint64
+_BUCKET_BITS = 18
 _MARK = ord(" ")  # stands for the vocabulary's word mark; no word holds it
 _MULTIPLY = _U(0x2545F4914F6CDD1D)
 
@@ -56,6 +57,7 @@ class Pieces:
     start: np.ndarray  # log weights [component, piece]; -inf where the piece can't stand
     inner: np.ndarray
     stop: np.ndarray  # [component]
+    bucket: np.ndarray = None  # first key of each value of the leading bits
 
     @classmethod
     def load(cls, path: str, components: int = 1) -> Pieces:
@@ -92,6 +94,8 @@ class Pieces:
         weight = 1 / (1 - np.array(scores, float))
         none = np.zeros((components, len(names)))
         out = cls(key, np.array([table_[int(k)] for k in key]), max(len(r) for r in names if r), first, byte, none, none, none[:, 0])
+        out.bucket = np.searchsorted(key, np.arange(1 << _BUCKET_BITS, dtype=np.uint64) << _U(64 - _BUCKET_BITS))
+        out.bucket = np.append(out.bucket, len(key))
         out.weigh(none + np.where(first, weight, 0), none + np.where(first, 0, weight), none[:, 0] + weight[~first].sum() / 4)
         return out
 
@@ -103,6 +107,20 @@ class Pieces:
             self.start, self.inner = np.log(start / start.sum(1)[:, None]), np.log(inner / total[:, None])
         self.stop = np.log(stop / total)
 
+    def find(self, k: np.ndarray) -> np.ndarray:
+        """Place of each hash among the keys, or -1: the keys with the same leading bits follow each other."""
+        bucket = (k >> _U(64 - _BUCKET_BITS)).astype(np.int64)
+        out = np.full(len(k), -1)
+        i, end, open_ = self.bucket[bucket], self.bucket[bucket + 1], np.arange(len(k))
+        while True:
+            more = i < end
+            i, end, open_ = i[more], end[more], open_[more]
+            if not len(i):
+                return out
+            hit = self.key[i] == k[open_]
+            out[open_[hit]] = i[hit]
+            i, end, open_ = i[~hit] + 1, end[~hit], open_[~hit]
+
     def arcs(self, data: np.ndarray, left: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(length, positions, pieces) of all pieces in data; left: bytes to the end of the word at each position."""
         at = np.arange(len(data))
@@ -115,8 +133,8 @@ class Pieces:
                 break
             h = h * _MULTIPLY + (data[at + length - 1] + 1).astype(np.uint64)
             k = mix(h)
-            i = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
-            known = self.key[i] == k
+            i = self.find(k)
+            known = i >= 0
             at, h, i = at[known], h[known], i[known]
             whole = self.piece[i] >= 0
             out.append((length, at[whole], self.piece[i[whole]]))
@@ -228,6 +246,18 @@ def word_counts(docs: DataFrame, components: int = 1, text: str = "text", compon
     return docs.select(text, component).mapInArrow(run, "word string, z int, c long").groupBy("word").agg(*own)
 
 
+def _gathered(numbers: DataFrame) -> np.ndarray:
+    """Rows of a frame of numbers as one array of doubles (longs keep their bits), sent to the driver as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [c.to_numpy() for c in b.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([c.view(np.float64) if c.dtype == np.int64 else c for c in columns]).tobytes()])], ["raw"])
+
+    rows = numbers.mapInArrow(run, "raw binary").collect()
+    return np.frombuffer(b"".join(bytes(r["raw"]) for r in rows), np.float64).reshape(-1, len(numbers.columns))
+
+
 def word_hash(words: list[str | None]) -> np.ndarray:
     """Words.hashes() of single words."""
     return Words(pa.array([*words, "x"], pa.string())).hashes(lower=False)[:-1]
@@ -236,7 +266,7 @@ def word_hash(words: list[str | None]) -> np.ndarray:
 class Model:
     """Counts, discounts and piece weights of each component, learned from the training documents."""
 
-    def __init__(self, training: DataFrame, piece_path: str, rounds: int = 2, top_words: int = TOP_WORDS, languages: int = 7, by: str | None = "lang", text: str = "text"):
+    def __init__(self, training: DataFrame, piece_path: str, rounds: int = 3, top_words: int = TOP_WORDS, languages: int = 7, by: str | None = "lang", text: str = "text"):
         self.names: list[str] = []
         z = F.lit(0)
         if by in training.columns:
@@ -263,11 +293,10 @@ class Model:
         for _ in range(rounds if self.types.any() else 0):
             self._fit(words)
         self.words = table(self._weighted(words), "lm-words")
-        top = self.words.orderBy(F.desc("c"), "h").limit(top_words).toPandas()  # top_words at most
-        order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-        self.top_h = top["h"].to_numpy(np.int64).view(np.uint64)[order]
-        self.top_base = top["b"].to_numpy(float)[order]
-        self.top_score = np.array(top["s"].tolist()).reshape(len(top), k)[order]
+        top = _gathered(self.words.orderBy(F.desc("c"), "h").limit(top_words).select("h", "b", *(F.col("s")[z] for z in range(k))))  # top_words at most
+        h = top[:, 0].copy().view(np.uint64)
+        order = np.argsort(h)
+        self.top_h, self.top_base, self.top_score = h[order], top[order, 1], top[order, 2:]
 
     def _fit(self, words: DataFrame) -> None:
         pieces, k = self.pieces, self.k
@@ -290,7 +319,8 @@ class Model:
                 columns = [[*range(k), *z.tolist()], [*[-1] * k, *at.tolist()], [*[0.0] * k, *start[z, at].tolist()], [*n.tolist(), *inner[z, at].tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["z", "piece", "start", "inner"])
 
-        got = words.mapInArrow(run, "z long, piece long, start double, inner double").groupBy("z", "piece").agg(F.sum("start"), F.sum("inner")).toPandas().to_numpy()  # a row for each piece and component
+        sums = words.mapInArrow(run, "z long, piece long, start double, inner double").groupBy("z", "piece").agg(F.sum("start"), F.sum("inner"))
+        got = _gathered(sums.select(F.col("z").cast("double"), F.col("piece").cast("double"), "sum(start)", "sum(inner)"))  # a row for each piece and component
         shape = pieces.start.shape
         start, inner, stop = np.zeros(shape), np.zeros(shape), np.zeros(k)
         ends = got[got[:, 1] < 0]
