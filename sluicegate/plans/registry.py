@@ -1,10 +1,8 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and the SQL that gives the same rows.  Importing this module registers all of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sluicegate.plans.base import ORACLES, QUERIES
+from sluicegate.plans import q_corpus, q_labelled, q_tables  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
