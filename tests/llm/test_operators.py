@@ -1,0 +1,370 @@
+"""Each operator beside a brute-force version, the library it follows, or held-out rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sluicegate.llm import bpe, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, queries, topk
+from tests.conftest import DATA
+
+BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+UP = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def words(text, lower=True):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UP) if lower else text or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return docs.orderBy("doc_id").collect()
+
+
+def brute_components(rows, k, num, den):
+    sets = {}
+    for d, t in rows:
+        w = words(t)
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and den * both >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (2, 50, 100)])
+def test_jaccard(spark, monkeypatch, k, num, den):
+    monkeypatch.setattr(jaccard, "COLUMN", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(k)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(50)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        if d % 3 == 0:
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        elif d % 3 == 1:
+            w = [rng.choice(vocabulary) for _ in range(rng.randrange(30))] + base[: rng.randrange(40)]
+        else:
+            w = [rng.choice(vocabulary[:3]) for _ in range(rng.randrange(8))]
+        rows.append((d, " ".join(w).title() if d % 7 else " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, k, num, den).collect()}
+    assert got == brute_components(rows, k, num, den)
+
+
+def test_jaccard_documents(spark, rows):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op1_jaccard(spark, DATA).collect()}
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in rows], 4, 85, 100)
+
+
+def test_fingerprints(spark, rows):
+    got = {r["doc_id"]: r for r in queries.op2_fingerprints(spark, DATA).collect()}
+    down = rows[::-1]
+    assert len(got) == len(rows)
+    ahead = 0
+    for r, after in zip(down, [*down[1:], down[0]], strict=True):
+        g, changed = got[r["doc_id"]], fingerprints.edited(r["text"], after["text"])
+        n = len(r["text"]) // 3
+        assert changed == r["text"][: len(r["text"]) - n] + after["text"][:n]
+        assert g["n_chars"] == len(r["text"]) and g["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert g["fingerprint"] == fingerprints.shown(fingerprints.fingerprints([r["text"].encode()]))[0]
+        ahead += g["near_edited"] > g["near_next"]
+    assert ahead >= 0.98 * len(rows)
+
+
+def test_fingerprint_does_not_depend_on_neighbours():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc de") for _ in range(rng.randrange(3000))).encode() for _ in range(40)]
+    together = fingerprints.fingerprints(texts)
+    assert all((fingerprints.fingerprints([t])[0] == together[i]).all() for i, t in enumerate(texts))
+    swapped = texts[5][:1000] + b"x" + texts[5][1000:]
+    near, far = fingerprints.likeness(together[5:6], fingerprints.fingerprints([swapped])), fingerprints.likeness(together[5:6], together[6:7])
+    assert near[0] > far[0]
+
+
+def test_edit_distance():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b, most = "".join(rng.choice("abc") for _ in range(rng.randrange(12))), "".join(rng.choice("abc") for _ in range(rng.randrange(12))), rng.randrange(10)
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            line = _next(line, i, x, b)
+        assert fingerprints.distance(a, b, most) == (line[-1] if line[-1] <= most else None)
+
+
+def _next(line, i, x, b):
+    out = [i + 1]
+    for j, y in enumerate(b):
+        out.append(min(line[j + 1] + 1, out[j] + 1, line[j] + (x != y)))
+    return out
+
+
+def odd_texts(seed, n=400):
+    rng = random.Random(seed)
+    return ["", " ", "<|endoftext|>", "a <|endoftext|> b", "aaaaaaaaaaaa", "it's IT'S 'S", "\n\n a\t b \n", "x\xa0y z", "é́ 中文 ١٢ 😀"] + ["".join(rng.choice(" \n\t abAB'.,1éÉ中!<|Σİ́") for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+def test_bpe(spark, rows):
+    library = Tokenizer.from_file(BYTE)
+    texts = odd_texts(3) + [r["text"] for r in rows[:60]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in bpe.digests(df, BYTE, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i]["ids"] == ids
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_token_counts(spark):
+    library, own = Tokenizer.from_file(BYTE), bpe.Encoder(BYTE)
+    rng = random.Random(5)
+    for text in odd_texts(6, 150):
+        tree = counts.TokenTree(text, own)
+        for _ in range(4):
+            tree.edit(rng.randrange(50), rng.randrange(10), "".join(rng.choice(" \nab'1é中") for _ in range(rng.randrange(7))))
+            if rng.random() < 0.5:
+                tree.settle()
+        tree.settle()
+        assert tree.n_tokens == len(library.encode(tree.text, add_special_tokens=False).ids)
+    got = queries.op4_token_counts(spark, DATA)
+    assert got.where("n_reencoded >= n_pretokens and n_pretokens > 100").count() == 0
+
+
+def test_topk(spark):
+    e = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], np.float64))) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    got = defaultdict(list)
+    for r in queries.op5_topk(spark, DATA).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q, x in e:
+        if q % 50 == 0:
+            assert got[q] == [(v, s) for s, v in sorted((-int(x @ y), v) for v, y in e if v != q)[:5] for s in [-s]]
+
+
+def test_topk_bounds():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(20, 30)), rng.normal(size=(25, 30))
+    for s in topk.RESOLUTIONS:
+        assert (topk.statistics(x, s) @ topk.statistics(y, s).T >= x @ y.T - 1e-9).all()
+    best = topk.Best(np.arange(20), x, 3)
+    clustered = np.repeat(x[:5], 50, axis=0) + rng.normal(size=(250, 30)) * 0.01
+    for at in range(0, 250, 50):
+        best.meet(np.arange(1000 + at, 1050 + at), clustered[at : at + 50])
+    assert best.exact < best.pairs
+    assert np.allclose(best.score, -np.sort(-(x @ clustered.T), axis=1)[:, :3])
+
+
+def test_packing(spark, rows):
+    library = Tokenizer.from_file(WORD)
+    got = {r["doc_id"]: r for r in queries.op6_token_files(spark, DATA).collect()}
+    start = 0
+    for r in rows:
+        ids = [*library.encode(r["text"], add_special_tokens=False).ids, 2]
+        assert (got[r["doc_id"]]["start"], got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_library_words():
+    own, texts = packing.LibraryWords(WORD), odd_texts(7, 2000)
+    library = Tokenizer.from_file(WORD)
+    coded = own.encode([t.encode() for t in texts])
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
+def test_bit_fields(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 5001, dtype=np.uint64).astype(np.uint32)
+    payload, offsets = packing.pack_blocks(ids, bits, 100)
+    assert (packing.unpack_range(payload, offsets, bits, 100, len(ids), 0, len(ids)) == ids).all()
+    assert (packing.unpack_range(payload, offsets, bits, 100, len(ids), 333, 1234) == ids[333:1234]).all()
+
+
+def test_quality(spark):
+    sf = DATA.replace("0.001", "0.01")
+    got = {r["doc_id"]: r for r in queries.op7_quality(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    held = [(got[r["doc_id"]], r["quality"]) for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert all(g["held_out"] for g, _ in held) and len(held) > 50
+    assert sum(g["predicted"] == q for g, q in held) >= 0.95 * len(held)
+
+
+def test_trees_are_flat():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x, y, trees=30)
+    p = model.score(x)
+    assert ((p > 0.5) == y).mean() > 0.97
+    row, margin = x[7], model.base
+    for t in range(len(model.feature)):
+        node = 0
+        while node < model.feature.shape[1]:
+            node = 2 * node + 1 + int(row[model.feature[t, node]] > model.threshold[t, node])
+        margin += model.leaf[t, node - model.feature.shape[1]]
+    assert p[7] == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
+def test_mixing(spark, rows):
+    got = queries.op8_mixing(spark, DATA).collect()
+    size = {r["doc_id"]: len(words(r["text"], False)) for r in rows}
+    sources = sorted({r["source"] for r in rows})
+    totals = [sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources]
+    want = mixing.targets(totals)
+    assert sum(want) == pytest.approx(1.5 * sum(totals)) and all(t <= 2 * n + 1e-9 for t, n in zip(want, totals, strict=True))
+    of = {r["doc_id"]: sources.index(r["source"]) for r in rows}
+    taken = Counter()
+    for r in got:
+        s = of[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == totals[s] and r["target"] == pytest.approx(want[s]) and r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in range(len(sources)))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, queries.op8_mixing(spark, DATA).collect()))
+
+
+def test_schedule():
+    need = [5, 100, 0, 37, 1000, 1]
+    plan = mixing.Schedule(need)
+    source, rank = plan.slots(np.arange(plan.n_slots))
+    for s, n in enumerate(need):
+        own = rank[(source == s) & (rank >= 0)]
+        assert own.tolist() == list(range(n))
+    first = source[: plan.n_slots // 4]
+    assert abs((first == 4).mean() - 1000 / 1143) < 0.02
+
+
+def test_mixed_texts(spark, docs):
+    mix = mixing.Mix(docs)
+    taken = {r["doc_id"]: r["taken"] for r in mix.result().collect()}
+    made = Counter()
+    for r in mixing.mixed(docs).collect():
+        made[r["doc_id"]] += len(words(r["text"], False))
+        assert r["n_chars"] == len(r["text"])
+    assert made == Counter({k: v for k, v in taken.items() if v})
+
+
+def test_lattice_counts(spark, rows):
+    got = {r["doc_id"]: r for r in queries.op9_lm_score(spark, DATA).collect()}
+    train = Counter()
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
+            train.update([*words(r["text"]), None])
+    n, v = sum(train.values()), len(train)
+    for r in rows:
+        tokens, g = [*words(r["text"]), None], got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(tokens), sum(train[t] > 0 for t in tokens), n)
+        assert g["base_score"] == pytest.approx(sum(math.log10((train[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens), rel=1e-9)
+        assert g["score"] < 0
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = lattice.Pieces.load(PIECE)
+    known = {}
+
+    def brute(raw):
+        data = b" " + raw
+        total = [1.0] + [0.0] * len(data)
+        for i in range(len(data)):
+            weights = (pieces.start if i == 0 else pieces.inner)[0]
+            if i:
+                total[i + 1] += total[i] * math.exp(pieces.inner[0, pieces.byte[data[i]]])
+            for j in range(i + 1, len(data) + 1):
+                at = known.get(data[i:j])
+                if at is not None and weights[at] > -np.inf:
+                    total[j] += total[i] * math.exp(weights[at])
+        return math.log(total[-1]) + pieces.stop[0]
+
+    tried = [b"the", b"thing", "élan".encode(), b"xqzj", b"a", b"internationalization"]
+    for raw in tried:
+        data = np.frombuffer(b" " + raw, np.uint8)
+        for length, at, piece in pieces.arcs(data, np.arange(len(data), 0, -1)):
+            if piece is not None:
+                known |= {data[p : p + length].tobytes(): int(i) for p, i in zip(at, piece, strict=True)}
+    assert pieces.log_words(tried)[:, 0] == pytest.approx([brute(r) for r in tried])
+
+
+def test_passages(spark, rows):
+    got = defaultdict(set)
+    tokens = {r["doc_id"]: words(r["text"]) for r in rows}
+    for r in queries.op10_passages(spark, DATA).collect():
+        a, b = tokens[r["doc_id"]][r["start"] : r["end"]], tokens[r["other_id"]][r["other_start"] : r["other_end"]]
+        assert min(len(a), len(b)) >= 50 and r["equal"] >= 0.8 * max(len(a), len(b)) and r["other_id"] < r["doc_id"]
+        got[r["doc_id"]].update(range(r["start"], r["end"]))
+    first, want = defaultdict(set), defaultdict(set)
+    for d, w in tokens.items():
+        for i in range(len(w) - 49):
+            first[tuple(w[i : i + 50])].add(d)
+    for d, w in tokens.items():
+        for i in range(len(w) - 49):
+            if min(first[tuple(w[i : i + 50])]) < d:
+                want[d].update(range(i, i + 50))
+    assert set(want) <= set(got)
+    total = sum(map(len, want.values()))
+    assert sum(len(want[d] - got[d]) for d in want) <= 0.02 * total
+
+
+def test_planted_passage(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(55)]
+    fuzzy = list(passage)
+    fuzzy[20], fuzzy[40] = word(), word()
+    texts = [" ".join([*(word() for _ in range(60)), *p, *(word() for _ in range(40))]) for p in (passage, passage, fuzzy, [])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in passages.passages(df).collect()}
+    assert {(1, 0, 60, 115), (2, 0, 60, 115)} <= got and not any(3 in g[:2] for g in got)
+    left = {r["doc_id"]: len(words(r["text"])) for r in passages.without_passages(df).collect()}
+    assert left == {0: 155, 1: 100, 2: 100, 3: 100}
+
+
+def test_components(spark):
+    from sluicegate.llm.components import components
+
+    edges = [(i, i + 1) for i in range(10, 40)] + [(3, 4), (4, 5), (1, 40)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in [1, *range(10, 41)]}, 3: 3, 4: 3, 5: 3}
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline as P
+
+    at = docs
+    for name, stage in P.STAGES[:-1]:
+        before, at = at, stage(spark, at, DATA).cache()
+        assert at.columns == docs.columns, name
+        assert at.join(before, "doc_id", "left_anti").count() == 0
+        if name == "near_copies":
+            want = brute_components([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80, 100)
+            assert {r["doc_id"] for r in at.collect()} == {d for d, (_, c) in want.items() if c == d}
+    library = Tokenizer.from_file(BYTE)
+    coded = P.STAGES[-1][1](spark, at, DATA).collect()
+    want = Counter((r["doc_id"], tuple(library.encode(r["text"], add_special_tokens=False).ids)) for r in at.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in coded) == want
+    assert P.run(spark, DATA).agg(F.count(F.lit(1))).first()[0] == len(coded)
