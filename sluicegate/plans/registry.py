@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from sluicegate.plans.base import ORACLES, QUERIES
-from sluicegate.plans import q_corpus, q_labelled, q_tables  # noqa: F401
+from sluicegate.plans import q_corpus, q_gates, q_labelled, q_tables  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
