@@ -9,9 +9,11 @@ A document is the set of hashes of its k-word shingles.  Pairs with |A & B| / |A
 3. Product: all hashes are ordered, those of busy cells last (cells: a table of fixed size, counted over all documents).
    A linked pair shares a hash among the first n - ceil(n num / den) + 1 of either.  These prefix entries are the sparse
    incidence; a column block accumulates overlap counts of the pairs of *different* components within the size bound,
-   and drops pairs whose position cannot reach the overlap that their sizes demand.  A column with many entries is split
-   into square blocks that go to different tasks, so that no entry and no pair is dropped and none is met twice.
-4. Remaining pairs get their exact overlap; components of all links follow.
+   and drops pairs whose position cannot reach the overlap that their sizes demand.  The documents of long columns form
+   families instead: blocks of their whole sets meet in pairs of blocks, one to a task, which counts all overlaps in
+   memory and gives a spanning set of the links, so that no pairs of a large group are ever listed.  No entry and no
+   pair is dropped.
+4. Pairs of short columns get their exact overlap; components of all links follow.
 
 Every link between two classes is either among these exact overlaps or joins two classes that are in one component by
 other links; so components are exact, while links within a group of near copies aren't all listed.
@@ -38,8 +40,10 @@ from sluicegate.llm.components import components
 STARS = 8
 #: Cells in which shingles are counted for the order: 4 MB as int32, whatever the input.
 CELLS = 1 << 20
-#: Members that are compared with a leader in one task, and entries of a column in one block.
-MEMBERS, COLUMN = 512, 1024
+#: Members that are compared with a leader in one task; entries of a column whose pairs are listed; sets of a block.
+MEMBERS, COLUMN, BLOCK = 512, 32, 1024
+#: Shingles of a block, so that blocks of long documents have fewer sets.
+BLOCK_SHINGLES = 1_000_000
 
 _U = np.uint64
 
@@ -182,51 +186,37 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, busy: np.ndarray) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
 
-_ENTRY = ("token", "low", "high", "block", "id", "comp", "n", "pos")
+_ENTRY = ("token", "id", "comp", "n", "pos")
 
 
 def _column(x: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """Rows (a, b, n of a, n of b) for the pairs of one column that can reach the overlap that their sizes demand."""
-    low, high, comp = x[0, 1], x[0, 2], x[:, 5]
-    if len(x) < 2 or (comp == comp[0]).all():
+    """Rows (a, b, n of a, n of b): pairs of one column that can reach the overlap that their sizes demand."""
+    if (x[:, 2] == x[0, 2]).all():
         return []
-    x = x[np.argsort(x[:, 6], kind="stable")]
-    block, ids, comp, n, pos = x[:, 3], x[:, 4], x[:, 5], x[:, 6], x[:, 7]
-    out = []
-    for at in range(0, len(x), 256):  # smaller sets of the product, against sets as large or larger within the bound
-        to = min(at + 256, len(x))
-        end = int(np.searchsorted(num * n, den * n[to - 1], side="right"))
-        small_n, large_n = n[at:to, None], n[None, at:end]
-        fit = (comp[at:to, None] != comp[None, at:end]) & (num * large_n <= den * small_n) & (np.arange(end - at)[None, :] > np.arange(to - at)[:, None])
-        if low != high:  # pairs within a block are met where low = high = block
-            fit &= block[at:to, None] != block[None, at:end]
-        i, j = np.nonzero(fit)
-        i, j = i + at, j + at
-        most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-        keep = (num + den) * most >= num * (n[i] + n[j])
-        i, j = i[keep], j[keep]
-        if len(i):
-            swap = ids[i] > ids[j]
-            a, b = np.where(swap, j, i), np.where(swap, i, j)
-            out.append(np.column_stack([ids[a], ids[b], n[a], n[b]]))
-    return out
-
-
-def _products(entries: DataFrame, num: int, den: int, last: bool) -> DataFrame:
-    """Overlap counts (a, b, na, nb, common) from entries that come sorted by (token, low, high).
-
-    The entries of a column that is longer than COLUMN are passed on instead, unless last: its blocks are short.
-    """
-    schema = "a long, b long, na long, nb long, common long" + "".join(f", {c} long" for c in ("token", "id", "comp", "n", "pos"))
+    x = x[np.argsort(x[:, 3], kind="stable")]
+    ids, comp, n, pos = x[:, 1], x[:, 2], x[:, 3], x[:, 4]
+    i, j = np.nonzero((comp[:, None] != comp[None, :]) & (num * n[None, :] <= den * n[:, None]) & np.tri(len(x), k=-1, dtype=bool).T)
+    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+    keep = (num + den) * most >= num * (n[i] + n[j])
+    i, j = i[keep], j[keep]
+    swap = ids[i] > ids[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    return [np.column_stack([ids[a], ids[b], n[a], n[b]])] if len(a) else []
+
+
+def _products(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Overlap counts (a, b, na, nb, common) from entries that come sorted by token; the entries of a column that is
+    longer than COLUMN are passed on instead (a null)."""
+    schema = "a long, b long, na long, nb long, common long, token long, id long, comp long, n long"
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def emit(pairs: list[np.ndarray], passed: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if pairs:
             p, c = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(p[:, i]) for i in range(4)), pa.array(c), *[pa.nulls(len(c), pa.int64())] * 5], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(p[:, i]) for i in range(4)), pa.array(c), *[pa.nulls(len(p), pa.int64())] * 4], names)
         if passed:
             x = np.concatenate(passed)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 5, *(pa.array(x[:, i]) for i in (0, 4, 5, 6, 7))], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 5, *(pa.array(x[:, i]) for i in range(4))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, len(_ENTRY)), np.int64)
@@ -235,7 +225,7 @@ def _products(entries: DataFrame, num: int, den: int, last: bool) -> DataFrame:
             rows = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in _ENTRY])])
             if not len(rows):
                 continue
-            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
+            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(rows))
             held = rows[:0]
             many = ends - starts > 1
@@ -244,12 +234,12 @@ def _products(entries: DataFrame, num: int, den: int, last: bool) -> DataFrame:
                 many[0] = True
             for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
                 part = rows[s:e]
-                if not last and (len(part) > COLUMN or part[0, 0] == long_column):
+                if len(part) > COLUMN or part[0, 0] == long_column:
                     long_column = part[0, 0]
                     passed.append(part)
                 elif e == len(rows):
                     held = part
-                else:
+                elif e - s > 1:
                     found = _column(part, num, den)
                     pairs += found
                     waiting += sum(map(len, found))
@@ -263,25 +253,119 @@ def _products(entries: DataFrame, num: int, den: int, last: bool) -> DataFrame:
     return entries.select(*_ENTRY).mapInArrow(run, schema)
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, busy: np.ndarray) -> DataFrame:
-    """(a, b): pairs of classes in different components that the product cannot rule out."""
-    zero = F.lit(0).cast("long")
+def overlaps(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Counts of common hashes [document, document]: busy columns of the incidence as a dense product, others pair by
+    pair."""
+    order = np.argsort(grams, kind="stable")
+    grams, doc = grams[order], doc[order]
+    at = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    size = np.diff(np.append(at, len(grams)))
+    total = np.zeros((n, n), np.float32)
+    column = np.repeat(np.arange(len(at)), size)
+    busy = np.flatnonzero(size >= 24)
+    place = np.full(len(at), -1)
+    place[busy] = np.arange(len(busy))
+    for lo in range(0, len(busy), 4096):
+        own = (place[column] >= lo) & (place[column] < lo + 4096)
+        x = np.zeros((n, min(4096, len(busy) - lo)), np.float32)
+        x[doc[own], place[column[own]] - lo] = 1
+        total += x @ x.T
+    for width in range(2, 24):
+        first = at[size == width]
+        some = 1_000_000 // (width * (width - 1)) + 1
+        for lo in range(0, len(first), some):
+            rows = doc[first[lo : lo + some, None] + np.arange(width)]
+            i, j = np.triu_indices(width, 1)
+            pair = np.bincount((rows[:, i].astype(np.int64) * n + rows[:, j]).reshape(-1), minlength=n * n).reshape(n, n)
+            total += pair
+            total += pair.T
+    return total
+
+
+def _families(docs: DataFrame, passed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): a spanning set of the links between different components among documents that share a long column.
+
+    Documents of long columns that hold several components form families; a family's sets go, in blocks, to a task for
+    each pair of blocks, which counts all overlaps in memory and gives the links' components, not the links.
+    """
+    mixed = passed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("id").alias("first")).where("least < most")
+    held = table(passed.join(mixed.select("token", "first"), "token").select("id", "comp", "n", "first").distinct(), "long-columns")
+    family = components(held.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    member = held.select("id", "comp", "n").distinct().groupBy("id", "comp").agg(F.sum("n").alias("n")).join(family, "id").select("id", "comp", "n", F.col("component").alias("family"))
+    member = table(member, "families")
+    blocks = member.groupBy("family").agg(F.expr(f"greatest((count(1) + {BLOCK - 1}) div {BLOCK}, (sum(n) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("blocks"))
+    roles = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    roles = roles.where("blocks = 1 or block <> with")  # pairs within a block are met wherever the block is
+    roles = roles.groupBy("id", "comp").agg(F.collect_list(F.struct("family", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block")).alias("roles"))
+    roles = table(roles, "roles")
+    rows = roles.count()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            grams, at = shingles(b.column("text"), k)
+            raw = grams.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("comp"), b.column("roles"), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])], ["id", "comp", "roles", "grams"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(roles, rows), "id").select("id", "comp", "roles", "text")
+    own = own.mapInArrow(sets, "id long, comp long, roles array<struct<family: long, low: long, high: long, block: long>>, grams binary")
+    sent = own.select("id", "comp", "grams", F.inline("roles")).repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
+
+    def links(members: list[tuple]) -> list[tuple[int, int]]:
+        """Each document with the first one of its component, by links of the block pair and the components so far."""
+        ids, comp, block, grams = zip(*members, strict=True)
+        comp = np.unique(np.array(comp), return_inverse=True)[1]
+        n = np.array([len(g) for g in grams])
+        if len(ids) < 2 or comp.max() == 0:
+            return []
+        common = overlaps(np.concatenate(grams), np.repeat(np.arange(len(ids)), n), len(ids))
+        linked = (comp[:, None] != comp[None, :]) & ((num + den) * common >= num * (n[:, None] + n[None, :]))
+        label = np.arange(len(ids))
+        i, j = np.nonzero(linked)
+        while True:
+            new = label.copy()
+            np.minimum.at(new, i, label[j])
+            least = np.full(comp.max() + 1, len(ids))
+            np.minimum.at(least, comp, new)
+            new = np.minimum(new, least[comp])
+            if (new == label).all():
+                break
+            label = new
+        met = np.zeros(len(ids), bool)
+        met[i] = True
+        return [(ids[label[x]], ids[x]) for x in np.flatnonzero(met & (label != np.arange(len(ids)))).tolist()]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if found := links(members) if members else []:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("id", "comp", "family", "low", "high", "block")]
+            for i, (name, comp, family, low, high, block) in enumerate(zip(*columns, strict=True)):
+                if (family, low, high) != at:
+                    yield from out()
+                    at, members = (family, low, high), []
+                members.append((name, comp, block, np.frombuffer(batch.column("grams")[i].as_py(), np.uint64)))
+        yield from out()
+
+    return sent.select("id", "comp", "family", "low", "high", "block", "grams").mapInArrow(compare, "a long, b long")
+
+
+def _across(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, busy: np.ndarray) -> DataFrame:
+    """(a, b): links between classes (rep, comp) of different components, as many as join all that are linked."""
     held = _prefixes(docs, k, num, den, busy).join(classes, F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "comp", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = held.select("token", zero.alias("low"), zero.alias("high"), zero.alias("block"), "id", "comp", "n", F.col("pos").cast("long").alias("pos"))
-    first = table(_products(entries.repartition("token").sortWithinPartitions("token"), num, den, False), "products")
-    pairs = first.where("a is not null").select("a", "b", "na", "nb", "common")
-    passed = first.where("a is null").select("token", "id", "comp", "n", "pos")
-    if not passed.isEmpty():
-        mixed = passed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-        blocks = mixed.select("token", F.expr(f"(m + {COLUMN - 1}) div {COLUMN}").alias("blocks"))
-        cut = passed.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        cut = cut.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
-        second = _products(cut.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high"), num, den, True)
-        pairs = pairs.unionByName(second.select("a", "b", "na", "nb", "common"))
-    total = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # what both prefixes share, and all that one of them leaves out, bounds the overlap
+    entries = held.select("token", "id", "comp", "n", F.col("pos").cast("long").alias("pos"))
+    first = table(_products(entries.repartition("token").sortWithinPartitions("token"), num, den), "products")
+    total = first.where("a is not null").groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    # What both prefixes share, and all that one of them leaves out, bounds the overlap.  Documents that share a long
+    # column are of one component or of one family, so for the pairs that matter here short columns hold all they share.
     rest = F.greatest(F.expr(f"(na * {num} + {den - 1}) div {den} - 1"), F.expr(f"(nb * {num} + {den - 1}) div {den} - 1"))
-    return total.where((num + den) * (F.col("common") + rest) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    pairs = total.where((num + den) * (F.col("common") + rest) >= num * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    passed = first.where("a is null").select("token", "id", "comp", "n")
+    out = _overlaps(docs, pairs, k, num, den)
+    return out if passed.isEmpty() else out.unionByName(_families(docs, passed, k, num, den))
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -305,8 +389,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     count = classes.count()
     named_parts = table(classes.select("rep").distinct().join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "parts")
     busy = _busy(cells, features.rdd.getNumPartitions())
-    left = _candidates(docs, small(named_parts, count), k, num, den, busy)
-    more = table(_overlaps(docs, left, k, num, den), "links")
+    more = table(_across(docs, small(named_parts, count), k, num, den, busy), "links")
     if not more.isEmpty():
         parts = components(more.unionByName(parts.select(F.col("component").alias("a"), F.col("id").alias("b"))))
     found = classes.select("sig1", "sig2", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))
