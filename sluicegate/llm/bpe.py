@@ -25,7 +25,7 @@ from sluicegate.llm.common import STEP_BYTES, steps
 #: Fixed value: the byte-level pre-token pattern of the vocabulary file's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that one Python worker keeps between steps.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 _NONE = np.int64(1) << 40
 

@@ -7,6 +7,8 @@ executor and every retry computes the same value.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes that one numpy step holds at once; longer single texts form a step of their own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Rows up to which a side counts as small enough to broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -58,6 +60,16 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_LIBC = ctypes.util.find_library("c")
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC and hasattr(libc := ctypes.CDLL(_LIBC), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about limit bytes of the text column, and one row at least."""
     for batch in batches:
@@ -71,6 +83,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
 
 
 _SPACE = np.zeros(256, bool)

@@ -36,6 +36,8 @@ from sluicegate.llm.common import Words, crc_mod, mix, steps, table
 
 #: Most frequent words that every executor holds.
 TOP_WORDS = 200_000
+#: Bytes of text in a step: a word is counted once for each step, so larger steps than usual send fewer rows.
+STEP = 4 << 20
 #: Words in one lattice step, and bytes of them.
 LATTICE_WORDS, LATTICE_BYTES = 20_000, 200_000
 
@@ -232,7 +234,7 @@ def word_counts(docs: DataFrame, components: int = 1, text: str = "text", compon
     """(word, c0, c1, ...): counts of the distinct words of docs in each component; the end token is the null word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, text):
+        for b in steps(batches, text, STEP):
             w = Words(b.column(text))
             z = b.column(component).to_numpy()
             one = w.hashes() ^ (z[w.doc].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -391,7 +393,7 @@ def score(docs: DataFrame, model: Model, held, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top_h, top_score, top_base, pieces = shared.value
-        for b in steps(batches, text):
+        for b in steps(batches, text, STEP):
             w = Words(b.column(text))
             n = b.num_rows
             h = w.hashes()
