@@ -368,3 +368,16 @@ def test_pipeline(spark, docs):
     want = Counter((r["doc_id"], tuple(library.encode(r["text"], add_special_tokens=False).ids)) for r in at.collect())
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in coded) == want
     assert P.run(spark, DATA).agg(F.count(F.lit(1))).first()[0] == len(coded)
+
+
+def test_passage_of_parts_with_other_holders(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    text = lambda *parts: " ".join([*(word() for _ in range(30)), *(w for p in parts for w in p), *(word() for _ in range(30))])
+    one, two = ([word() for _ in range(30)] for _ in range(2))
+    rows = [(i, text(one if i % 2 else two)) for i in range(20)] + [(500, text(one, two))]
+    rows += [(600 + i, text(one if i % 2 else two)) for i in range(20)] + [(900, text(one, two))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(900, 500, 30, 90)} == {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in passages.passages(df).collect() if r["end"] - r["start"] >= 60}
+    left = {r["doc_id"]: len(words(r["text"])) for r in passages.without_passages(df).collect()}
+    assert left[500] == 120 and left[900] == 60
