@@ -22,8 +22,6 @@ doc_id follow each other, ordered by their text's hash; other columns are ignore
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,20 +31,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluicegate.llm.common import shared_dir, steps, utf8
+from sluicegate.llm.common import shared_dir, steps
+from sluicegate.llm.wordids import library
 
 #: ids in a block, and in a segment before it is closed.
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 18
 #: Bytes of text in a step: a word of a step is looked up once, so larger steps than usual pay.
 STEP = 4 << 20
-#: Words that one Python worker keeps between steps.
-CACHE_WORDS = 400_000
-#: Marks that can close a word as a token run of their own; the apostrophe may belong to a contraction.
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
-
-#: Words of Latin letters without U+0130, whose lower case is two characters: each is one pre-token.
-_LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 _SEGMENT = "part int, segment int, before long, bits int, block int, n_ids long, doc_id array<long>, ends array<long>, offsets array<long>, payload binary"
 
@@ -84,97 +76,6 @@ def unpack_range(payload: bytes, offsets: list[int], bits: int, block: int, n_id
     return np.concatenate(got)[start - first * block : end - first * block]
 
 
-class LibraryWords:
-    """ids of texts by the tokenizers library, which is called once for each distinct word of a step.
-
-    The vocabulary's pre-tokenizer drops white space and no token crosses it, so the ids of a text are those of its
-    words between ASCII white space, joined.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.closes = np.zeros(self.size, bool)  # tokens that close a pre-token
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.closes[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian uint32 ids of UTF-8 texts."""
-        split = [t.split() for t in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.known)
-        self.again.update(seen - new)
-        if len(self.known) + len(new) > CACHE_WORDS:  # words met in one step only go
-            if len(self.again) > CACHE_WORDS // 2:
-                self.again = seen - new
-            self.known = {k: self.known[k] for k in self.again}
-            new = seen.difference(self.known)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def _ids(self, texts: list[str]) -> Iterator[list[int]]:
-        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-
-    def _learn(self, new: set[bytes]) -> None:
-        """A word's ids are those of its stem and of its closing marks where an ASCII letter or digit parts the two, and
-        case doesn't count in ASCII words; so variants of a word cost one call."""
-        words, stems, closing = list(new), [], []
-        for w in words:
-            stem, marks = w, b""
-            if b"<|" not in w:
-                stem = w.rstrip(_MARKS)
-                if stem and len(stem) < len(w) and stem[-1:].isalnum():
-                    marks = w[len(stem) :]
-                else:
-                    stem = w
-                if stem.isascii():
-                    stem = stem.lower()
-            stems.append(stem)
-            closing.append(marks)
-        ask = {*stems, *closing}.difference(self.known, [b""])
-        plain, other = [], []
-        for raw in ask:
-            word = raw.decode("utf-8", "replace")
-            if _LATIN.fullmatch(word):
-                plain.append((raw, word))
-            else:
-                other.append((raw, word))
-        for at in range(0, len(plain), 10_000):
-            some = [plain[i : i + 200] for i in range(at, min(at + 10_000, len(plain)), 200)]
-            for group, e in zip(some, self._ids([" ".join([w for _, w in g]) for g in some]), strict=True):
-                ids = np.array(e, "<u4")
-                cut = np.flatnonzero(self.closes[ids]) + 1  # such a word is one pre-token, and its last token closes it
-                if len(cut) != len(group):
-                    other += group
-                    continue
-                flat, cut = ids.tobytes(), (cut * 4).tolist()
-                self.known.update(zip([r for r, _ in group], [flat[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
-        for at in range(0, len(other), 10_000):
-            some = other[at : at + 10_000]
-            for (raw, _), e in zip(some, self._ids([w for _, w in some]), strict=True):
-                self.known[raw] = np.array(e, "<u4").tobytes()
-        known = self.known
-        known[b""] = b""
-        known.update(zip(words, [known[a] + known[b] for a, b in zip(stems, closing, strict=True)], strict=True))
-
-
-_LIBRARY: dict[str, LibraryWords] = {}
-
-
-def library(path: str) -> LibraryWords:
-    if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryWords(path)
-    return _LIBRARY[path]
-
-
 def write(docs: DataFrame, path: str, vocab_path: str, end_id: int | None = 2, parts: int | None = None, block: int = BLOCK_IDS, segment_ids: int = SEGMENT_IDS, text: str = "text", key: str = "doc_id") -> None:
     """Encode each whole text, append end_id and write the file set to path (``segments`` and ``starts``).
 
@@ -186,28 +87,30 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int | None = 2, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = library(vocab_path)
         bits = max(1, (max(own.size - 1, end_id or 0)).bit_length())
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         part, segment, before, held = TaskContext.get().partitionId(), 0, 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
-        sizes: list[int] = []
+        sizes: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             payload, offsets = pack_blocks(flat, bits, block)
-            row = [[part], [segment], [before], [bits], [block], [len(flat)], [names], [np.cumsum(sizes).tolist()], [offsets], [payload]]
+            row = [[part], [segment], [before], [bits], [block], [len(flat)], [names], [np.cumsum(np.concatenate(sizes)).tolist()], [offsets], [payload]]
             kinds = [pa.int32()] * 2 + [pa.int64()] + [pa.int32()] * 2 + [pa.int64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split(" ")[0] for f in _SEGMENT.split(", ")])
 
         for b in steps(batches, text, STEP):
-            data, at = utf8(b.column(text))
-            raw = data.tobytes()
-            coded = own.encode([raw[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-            for name, c in zip(b.column(key).to_pylist(), coded, strict=True):
-                ids += [c, end]
-                names.append(name)
-                sizes.append((len(c) + len(end)) // 4)
-                held += sizes[-1]
+            flat, at = own.encode(b.column(text))
+            if end_id is not None:
+                flat, at = np.insert(flat, at[1:], end_id), at + np.arange(len(at))
+            doc, row = b.column(key).to_pylist(), 0
+            while row < len(doc):  # a segment closes behind the document that fills it
+                to = min(len(doc), int(np.searchsorted(at, at[row] + segment_ids - held)))
+                ids.append(flat[at[row] : at[to]])
+                names += doc[row:to]
+                sizes.append(np.diff(at[row : to + 1]))
+                held += len(ids[-1])
+                row = to
                 if held >= segment_ids:
                     yield close()
                     segment, before, held = segment + 1, before + held, 0

@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluicegate.llm import bpe, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, queries, topk
+from sluicegate.llm import bpe, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, queries, topk, wordids
 from tests.conftest import DATA
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -191,11 +192,24 @@ def test_packing(spark, rows):
         start += len(ids)
 
 
-def test_library_words():
-    own, texts = packing.LibraryWords(WORD), odd_texts(7, 2000)
+def _library_rows(own, texts):
+    ids, at = own.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def test_library_ids(monkeypatch):
+    texts = [*odd_texts(7, 2000), None, "<|ENDOFTEXT|> <|x|>.", "\xa0 \xa0", "H\u0331 h\u0331", "\u00d7\u00f7\u0250 \u0130x"]
     library = Tokenizer.from_file(WORD)
-    coded = own.encode([t.encode() for t in texts])
-    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert _library_rows(wordids.LibraryIds(WORD), texts) == want
+    monkeypatch.setattr(wordids, "KEPT", 500)  # the table drops parts again and again
+    own = wordids.LibraryIds(WORD)
+    assert own.by_words and [r for i in range(0, len(texts), 50) for r in _library_rows(own, texts[i : i + 50])] == want
+
+
+def test_library_ids_of_another_kind_of_file():
+    own, library, texts = wordids.LibraryIds(BYTE), Tokenizer.from_file(BYTE), odd_texts(8, 300)
+    assert not own.by_words and _library_rows(own, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
