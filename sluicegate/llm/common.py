@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,25 +24,42 @@ STEP_BYTES = 2 << 20
 BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    found = found or spark.sparkContext.getCheckpointDir()
+    """This application's folder in the one that driver and executors share, ``spark.checkpoint.dir``; it goes when the
+    application ends.  Only a session within one machine may leave that setting out."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluicegate-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sluicegate-"))
+        found = context.getCheckpointDir()
+    own = f"{found.rstrip('/')}/sluicegate/{context.applicationId}"
+    if own not in _MADE:
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(own)
+    return own
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/sluicegate/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the next one with a number that is no column of df in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in itertools.count() if (n := name + str(i) * bool(i)).lower() not in taken)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within limit, else df as it is."""
     return F.broadcast(df) if rows <= limit else df

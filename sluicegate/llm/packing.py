@@ -161,6 +161,6 @@ def fetch(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
 
 def written(docs: DataFrame, vocab_path: str, end_id: int | None = 2) -> DataFrame:
     """Write docs to a new file set in the shared folder and read it back."""
-    path = f"{shared_dir(docs.sparkSession)}/sluicegate/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write(docs, path, vocab_path, end_id)
     return read(docs.sparkSession, path)

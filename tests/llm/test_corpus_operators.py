@@ -395,3 +395,109 @@ def test_passage_of_parts_with_other_holders(spark):
     assert {(900, 500, 30, 90)} == {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in passages.passages(df).collect() if r["end"] - r["start"] >= 60}
     left = {r["doc_id"]: len(words(r["text"])) for r in passages.without_passages(df).collect()}
     assert left[500] == 120 and left[900] == 60
+
+
+def _lcs(a, b):
+    line = [0] * (len(b) + 1)
+    for x in a:
+        before, line = line, [0]
+        for j, y in enumerate(b):
+            line.append(before[j] + 1 if x == y else max(before[j + 1], line[j]))
+    return line[-1]
+
+
+def _is_alignment(a, b, pairs):
+    return all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+def test_gaps_beside_plain_subsequences():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = (np.array([rng.randrange(6) for _ in range(rng.randrange(1, 30))]) for _ in range(2))
+        found = passages._common(a, b)
+        assert _is_alignment(a, b, found) and len(found) == _lcs(a.tolist(), b.tolist())
+        assert _is_alignment(a, b, passages._common(a, b, 3)) and _is_alignment(a, b, passages._gap(a, b, 10))
+    a = np.array([rng.randrange(10**6) for _ in range(3000)])
+    b = np.concatenate([a[:1000], a[1100:2000], a[:30], a[2000:]])
+    assert len(passages._gap(a, b)) >= 2890 and len(passages._common(a, b, 200)) >= 2890  # beyond CELLS, by anchors; in a band
+
+
+def test_stretches_beside_every_pair_of_ends():
+    rng = random.Random(2)
+    for _ in range(300):
+        at, partner = np.zeros((2, rng.randrange(5, 60)), int)
+        x = y = 0
+        for i in range(len(at)):
+            x, y = x + 1 + (rng.random() < 0.2) * rng.randrange(6), y + 1 + (rng.random() < 0.2) * rng.randrange(6)
+            at[i], partner[i] = x, y
+        columns = np.concatenate([[0], np.cumsum(np.maximum(np.diff(at), np.diff(partner)))])
+        good = lambda i, j: j - i + 1 >= 0.8 * (columns[j] - columns[i] + 1) - 1e-9 and min(at[j] - at[i], partner[j] - partner[i]) + 1 >= 10
+        want = [(i, j) for i in range(len(at)) for j in range(i, len(at)) if good(i, j)]
+        want = [p for p in want if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in want)]
+        got = passages.stretches(at, partner, 10, 0.8)
+        assert all(good(*g) for g in got)
+        assert len(got) <= len(want) and all(any(w[0] <= g[0] and g[1] <= w[1] for w in want) for g in got)
+        assert all(any(w[0] <= g[0] and g[1] <= w[1] and columns[g[1]] - columns[g[0]] >= (columns[w[1]] - columns[w[0]]) / 2 for g in got) for w in want)
+
+
+def test_chains_beside_a_quadratic_recursion():
+    rng = random.Random(3)
+    for _ in range(200):
+        runs = sorted({(rng.randrange(60), rng.randrange(60), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 12))})
+        best = []
+        for i, (p, q, n) in enumerate(runs):
+            before = [best[j] - passages.GAP_COST * ((p - x - m) + (q - y - m)) for j, (x, y, m) in enumerate(runs[:i]) if x < p and y < q]
+            best.append(n + max(0.0, *before, 0.0) if before else float(n))
+        top = passages.chains(runs)[0]
+        score = sum(n for *_, n in top) - passages.GAP_COST * sum((p - x - m) + (q - y - m) for (x, y, m), (p, q, _) in zip(top, top[1:]))
+        assert score == pytest.approx(max(best))
+
+
+def test_cover():
+    rng = random.Random(4)
+    for _ in range(500):
+        spans = sorted((s, s + rng.randrange(1, 9)) for s in (rng.randrange(40) for _ in range(rng.randrange(1, 12))))
+        start, end = np.array(spans).T
+        kept = passages.cover(start, end)
+        assert {v for i in kept for v in range(start[i], end[i])} == {v for s, e in spans for v in range(s, e)}
+
+
+def _fuzzy_rows(rng, rate, n):
+    """Documents 2 i and 2 i + 1 that share a passage of 60 words, in the second with edits, and where it lies there."""
+    common = [f"c{i}" for i in range(60)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"x{rng.randrange(1 << 30)}"
+    rows, plan = [], []
+    while len(plan) < n:
+        passage = [word() for _ in range(60)]
+        edited = []
+        for w in passage:
+            r = rng.random()
+            edited += [word()] if r < 0.7 * rate else [] if r < 0.85 * rate else [w, word()] if r < rate else [w]
+        if _lcs(passage, edited) < 0.8 * max(60, len(edited)) or len(edited) < 50:
+            continue
+        d = 2 * len(plan)
+        rows += [(d, " ".join([*(word() for _ in range(80)), *passage, *(word() for _ in range(90))])), (d + 1, " ".join([*(word() for _ in range(70)), *edited, *(word() for _ in range(50))]))]
+        plan.append((d + 1, d, 70, 70 + len(edited)))
+    return rows, plan
+
+
+@pytest.mark.parametrize("rate,least", [(0.05, 0.95), (0.1, 0.95), (0.15, 0.9)])
+def test_recall_of_edited_passages(spark, rate, least):
+    rows, plan = _fuzzy_rows(random.Random(5), rate, 60)
+    got = defaultdict(list)
+    for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got[r["doc_id"], r["other_id"]].append((r["start"], r["end"]))
+    assert sum(any(min(e, b) - max(s, a) >= 0.8 * (e - s) for a, b in got[d, o]) for d, o, s, e in plan) >= least * len(plan)
+
+
+def test_seeds_met_in_their_step(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"x{rng.randrange(1 << 30)}"
+    passage = [word() for _ in range(55)]
+    rows = [(d, " ".join([*(word() for _ in range(d % 7)), *(passage if d % 3 else []), *(word() for _ in range(30))])) for d in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for often in (2, 8, 10**6):
+        monkeypatch.setattr(passages, "OFTEN", often)
+        found.append(sorted(map(tuple, passages.spans(passages.passages(df)).collect())))
+    assert found[0] == found[1] == found[2] == [(d, d % 7, d % 7 + 55) for d in range(2, 120) if d % 3]
