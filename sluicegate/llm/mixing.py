@@ -11,8 +11,8 @@ Targets: the sources, by code point with null last, weigh 3, 1, 2, repeating; th
 stops at twice its source's words and the excess goes to the others by weight until none is above.
 
 Defined results: a null or empty text has no words and takes nothing; null is a source of its own; a source without
-words has target 0; rows that are equal in all of doc_id, source and text share what is taken; other columns are
-ignored.  One row for each source is read by the driver; nothing that grows with the documents is.
+words has target 0; rows that are equal in all of doc_id, source and text share what is taken; other columns, whatever
+their names, are ignored.  One row for each source is read by the driver; nothing that grows with the documents is.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sluicegate.llm.common import BROADCAST_ROWS, small, steps, table
+from sluicegate.llm.common import fresh, small, steps, table
 
 #: Weights in turn, the share of all words that is taken, and how often a source may be taken.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -181,24 +181,39 @@ class Mix:
 
     def result(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken), a row for each document."""
-        rows = self.rows.join(self.by_row(), "row").join(self.sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-        return rows.withColumn("taken", _own_part()).select("doc_id", "size", "source_size", "target", "taken")
+        met = shared_out(self.rows.join(table(self.by_row(), "mix-taken"), "row"), "row")
+        rows = met.join(self.sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+        return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _own_part():
-    """What one of n equal rows has of what they take together."""
-    nth = F.row_number().over(W.partitionBy("row").orderBy("doc_id"))
-    return (F.expr("taken div n") + F.when(nth <= F.expr("taken % n"), 1).otherwise(0)).cast("long")
+def shared_out(rows: DataFrame, key: str, taken: str = "taken", n: str = "n") -> DataFrame:
+    """rows, each with its own part of what the n rows of its key take together; the first ones take one word more.
+
+    Only rows that do not share evenly are numbered, in a written table: within its partitions, and the partitions' counts
+    then give the places, so that no task holds all rows of a key.
+    """
+    odd = (F.col(n) > 1) & (F.col(taken) % F.col(n) > 0)
+    share = F.expr(f"`{taken}` div `{n}`")
+    if rows.where(odd).isEmpty():
+        return rows.withColumn(taken, share)
+    uid, part, nth, base = (fresh(rows, c) for c in ("mix_uid", "mix_part", "mix_nth", "mix_base"))
+    own = table(rows.where(odd).withColumn(uid, F.monotonically_increasing_id()), "mix-shared").withColumn(part, F.shiftright(uid, 33))
+    earlier = F.sum("count").over(W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    bases = own.groupBy(key, part).count().select(key, part, F.coalesce(earlier, F.lit(0)).alias(base))
+    own = own.withColumn(nth, F.row_number().over(W.partitionBy(key, part).orderBy(uid))).join(bases, [key, part])
+    own = own.withColumn(taken, (share + F.when(F.col(nth) + F.col(base) <= F.col(taken) % F.col(n), 1).otherwise(0)).cast("long"))
+    return rows.where(~odd).withColumn(taken, share).unionByName(own.select(rows.columns))
 
 
 def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
     """The mix as rows of docs: a document comes once for each whole time that it is taken, and once more, cut after as
     many words, if a part is left.  n_chars follows the text.  Documents that aren't taken go; so do texts without words.
-    Rows that are equal in doc_id, source and text take the same number of words, rounded down.
+    Rows that are equal in doc_id, source and text share what is taken of them.
     """
     mix = Mix(docs, block_words, seed)
-    taken = mix.by_row().select(F.col("row").alias("_mix_row"), F.expr("taken div n").alias("_mix_taken"))
-    rows = docs.withColumn("_mix_row", row_key()).join(small(taken, mix.rows.count(), BROADCAST_ROWS), "_mix_row")
+    key, own, n = fresh(docs, "mix_row"), fresh(docs, "mix_taken"), fresh(docs, "mix_n")
+    taken = table(mix.by_row().select(F.col("row").alias(key), F.col("taken").alias(own), F.col("n").alias(n)).where(F.col(own) > 0), "mix-taken")
+    rows = shared_out(docs.withColumn(key, row_key()).join(small(taken, taken.count()), key), key, own, n)
     columns, schema = docs.columns, docs.schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -206,7 +221,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> Dat
         for b in steps(batches):
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
             pick, whole = [], []
-            for i, (t, words) in enumerate(zip(texts, b.column("_mix_taken").to_pylist(), strict=True)):
+            for i, (t, words) in enumerate(zip(texts, b.column(own).to_pylist(), strict=True)):
                 raw = t.encode()
                 size = len(raw.split()) if words else 0
                 if not size:
@@ -222,4 +237,4 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> Dat
             made = {"text": pa.array(whole, pa.string()), "n_chars": pa.array([len(t) for t in whole], pa.int64())}
             yield pa.RecordBatch.from_arrays([made[c] if c in made and (c == "text" or "n_chars" in columns) else took.column(c) for c in columns], columns)
 
-    return rows.select(*columns, "_mix_taken").mapInArrow(run, out)
+    return rows.select(*columns, own).mapInArrow(run, out)
