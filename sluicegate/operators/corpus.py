@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sluicegate.functions.text import char_grams, dot
+from sluicegate.operators.sizes import cut, small
 
 
 def exact_overlap(test: DataFrame, train: DataFrame, *keys: str) -> DataFrame:
@@ -21,16 +22,32 @@ def overlap_agreement(test: DataFrame, train: DataFrame, key: str, label: str, o
 
 
 def contains_passage(docs: DataFrame, passages: DataFrame, text: str = "text", words: int = 8) -> DataFrame:
-    """(doc_id, item_id): documents that hold a whole passage, found by a shared run of words and then verified.
+    """(doc_id, item_id): documents that hold a whole passage as a part of their text.
 
-    passages: item_id, passage.  Only a passage's first run is looked up, so a document meets a passage by few rows.
+    passages: item_id, passage.  A passage's first and last word may be parts of the document's words; a run of up to
+    words words between them is looked up by hash, and documents that have it are verified.  Passages of one or two words
+    have no such run and are looked for in every text.  Only (doc_id, hash) is exploded; texts come in for verification.
+    Passages without words hold nowhere.
     """
     split = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    first = passages.select("item_id", "passage", F.xxhash64(F.array_join(F.slice(split(F.col("passage")), 2, words), " ")).alias("_h"))
-    tokens = split(F.col(text))
-    runs = docs.select("doc_id", text, tokens.alias("_w")).select("doc_id", text, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(words)), " ")))).alias("_h"))
-    hits = runs.join(F.broadcast(first), "_h").where(F.contains(F.col(text), F.col("passage")))
-    return hits.select("doc_id", "item_id").distinct()
+    asked = passages.select("item_id", "passage", split(F.col("passage")).alias("_w")).where("trim(passage) <> ''")
+    asked = asked.withColumn("_n", F.least(F.lit(words), F.size("_w") - 2))
+    sizes = sorted(r["_n"] for r in asked.where("_n > 0").select("_n").distinct().collect())  # words numbers at most
+    run = lambda at, n: F.xxhash64(F.array_join(F.slice("_w", at, n), " "))
+    found = None
+    if sizes:
+        first = asked.where("_n > 0").select("item_id", "passage", run(F.lit(2), F.col("_n")).alias("_h"))
+        places = lambda n: F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        of = lambda n: F.transform(places(n), lambda i: run(i, F.lit(n)))
+        runs = F.array_distinct(F.flatten(F.array(*map(of, sizes))))
+        hits = docs.select("doc_id", split(F.col(text)).alias("_w")).select("doc_id", F.explode(runs).alias("_h")).join(small(first.select("_h", "item_id")), "_h")
+        hits = hits.select("doc_id", "item_id").distinct().join(small(first.select("item_id", "passage")), "item_id")
+        found = docs.select("doc_id", text).join(hits, "doc_id").where(F.contains(F.col(text), F.col("passage"))).select("doc_id", "item_id")
+    short = asked.where("_n <= 0").select("item_id", "passage")
+    if not short.isEmpty():
+        met = docs.select("doc_id", text).join(small(short), F.contains(F.col(text), F.col("passage"))).select("doc_id", "item_id")
+        found = met if found is None else found.unionByName(met)
+    return docs.join(asked, F.lit(False)).select("doc_id", "item_id") if found is None else found.distinct()
 
 
 def deduplicate(df: DataFrame, text: str, order: str) -> DataFrame:
@@ -82,47 +99,61 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], keys: list[str], base: flo
     return rows.groupBy(*keys).agg(F.sum("_s").alias("rrf"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, digits: int = 6, block: int = 256) -> DataFrame:
     """(query_id, vec_id, sim, rank): k nearest by inner product, rounded; lowest id on ties.
 
-    queries are a small stated set: they are gathered into one array that every task of the base scan holds, and a
-    task keeps k rows a query by a partial aggregate.  queries: query_id, q; base: vec_id, v.
+    A stated set of queries against all rows, in blocks: a block of queries is one array, which a base row meets at once,
+    and a task keeps k rows a query before anything is exchanged.  Blocks are broadcast while the queries are few, and
+    meet copies of the base in an exchange beyond that.  queries: query_id, q; base: vec_id, v.
     """
-    packed = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("_qs"))
-    met = base.crossJoin(F.broadcast(packed)).select("vec_id", "v", F.inline("_qs")).where("query_id <> vec_id")
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q")).alias("_qs"))
+    spread = base.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    met = spread.join(F.broadcast(packed) if n <= 64 * block else packed, "_b").select("vec_id", "v", F.inline("_qs")).where("query_id <> vec_id")
     sims = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("sim"))
     return top(sims, k, "query_id", order=[F.desc("sim"), F.asc("vec_id")])
 
 
+def novel(neighbours: DataFrame, share: float, eps: float = 0.0) -> DataFrame:
+    """(query_id, distance, novel): 1 - similarity of the first neighbour, novel where it lies strictly above the share's
+    percentile of such distances (linear) plus eps."""
+    near = neighbours.where("rank = 1").select("query_id", F.round(1 - F.col("sim"), 6).alias("distance"))
+    bar = near.agg(F.percentile("distance", F.lit(share)).alias("_t"))
+    return near.crossJoin(F.broadcast(bar)).select("query_id", "distance", (F.col("distance") > F.col("_t") + eps).alias("novel"))
+
+
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, i, mean): mean of each dimension."""
     return df.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
 def gram_cosine(a: DataFrame, b: DataFrame, text: str, n: int, least: float) -> DataFrame:
-    """(a_id, b_id, cosine) of pairs with character n-gram cosine at least least, through shared grams; grams that
-    occur in over a tenth of b don't make candidates but count in the score."""
-    def bag(df: DataFrame, name: str) -> DataFrame:
-        g = df.select("id", F.explode(char_grams(text, n)).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias(name))
-        return g.join(g.groupBy("id").agg(F.sqrt(F.sum(F.col(name) * F.col(name)).cast("double")).alias(f"{name}_norm")), "id")
-
-    x, y = bag(a, "x"), bag(b, "y")
-    met = x.withColumnRenamed("id", "a_id").join(y.withColumnRenamed("id", "b_id"), "g").where("a_id < b_id")
-    out = met.groupBy("a_id", "b_id").agg((F.sum(F.col("x") * F.col("y")) / (F.first("x_norm") * F.first("y_norm"))).alias("cosine"))
-    return out.where(F.col("cosine") >= least)
-
+    """(a_id, b_id, cosine) of pairs a_id < b_id with character n-gram cosine at least least.
 
-def single_linkage(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, cluster): the smallest id reachable over edges (a, b); label propagation with reliable checkpoints."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("cluster"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster")).checkpoint()
-        labels = step.select("id", "cluster")
-        if step.where("old <> cluster").isEmpty():
-            break
-    return labels
+    Grams are ordered by the texts that have them, rare ones first.  The grams that come last in a text, as long as their
+    share of its norm stays below least, cannot reach least on their own; so a pair's rarest common gram is among the
+    others of both, and only those make candidates.  Frequent grams thus count in the score but bring no pairs together.
+    """
+    def bag(df: DataFrame) -> DataFrame:
+        return df.select("id", F.explode(char_grams(text, n)).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias("c"))
+
+    x, y = bag(a), bag(b)
+    often = x.unionByName(y).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+
+    def weighed(bags: DataFrame) -> DataFrame:
+        per = W.partitionBy("id")
+        late = F.sum(F.col("c") * F.col("c")).over(per.orderBy(F.desc("f"), F.desc("g")).rowsBetween(W.unboundedPreceding, 0))
+        rows = bags.join(often, "g").withColumn("late", late).withColumn("square", F.sum(F.col("c") * F.col("c")).over(per))
+        return cut(rows.select("id", "g", "c", F.sqrt(F.col("square").cast("double")).alias("norm"), (F.col("late") >= (least - 1e-9) ** 2 * F.col("square")).alias("lead")))
+
+    x, y = weighed(x), weighed(y)
+    of = lambda rows, name: rows.select(F.col("id").alias(f"{name}_id"), "g", F.col("c").alias(name), F.col("norm").alias(f"{name}_norm"), "lead")
+    x, y = of(x, "a"), of(y, "b")
+    pairs = x.where("lead").select("a_id", "g").join(y.where("lead").select("b_id", "g"), "g").where("a_id < b_id").select("a_id", "b_id").distinct()
+    met = pairs.join(x.drop("lead"), "a_id").join(y.drop("lead"), ["b_id", "g"])
+    out = met.groupBy("a_id", "b_id").agg((F.sum(F.col("a") * F.col("b")) / (F.first("a_norm") * F.first("b_norm"))).alias("cosine"))
+    return out.where(F.col("cosine") >= least)
 
 
 def merge_groups(df: DataFrame, group: str, text: str, count: str) -> DataFrame:
@@ -139,11 +170,15 @@ def repeated_lines(df: DataFrame, text: str, least: int) -> DataFrame:
 
 
 def association_rules(df: DataFrame, item: str, key: str, support: int, confidence: float, lift: float) -> DataFrame:
-    """(a, b, n, confidence, lift): b holds for at least confidence of the keys with a; pairs meet per key."""
+    """(a, b, n, confidence, lift): b holds for at least confidence of the keys with a; pairs meet per key.
+
+    Items of fewer than support keys cannot be part of a rule and make no pairs.
+    """
     rows = df.select(key, item).distinct()
     total = rows.agg(F.countDistinct(key).alias("_t"))
-    base = rows.groupBy(item).agg(F.count(F.lit(1)).alias("c"))
-    pairs = rows.withColumnRenamed(item, "a").join(rows.withColumnRenamed(item, "b"), key).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    out = pairs.join(F.broadcast(base.select(F.col(item).alias("a"), F.col("c").alias("ca"))), "a").join(F.broadcast(base.select(F.col(item).alias("b"), F.col("c").alias("cb"))), "b").crossJoin(F.broadcast(total))
+    base = rows.groupBy(item).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
+    kept = rows.join(small(base.select(item)), item, "left_semi")
+    pairs = kept.select(key, F.col(item).alias("a")).join(kept.select(key, F.col(item).alias("b")), key).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    out = pairs.join(small(base.select(F.col(item).alias("a"), F.col("c").alias("ca"))), "a").join(small(base.select(F.col(item).alias("b"), F.col("c").alias("cb"))), "b").crossJoin(F.broadcast(total))
     conf = F.col("n") / F.col("ca")
     return out.select("a", "b", "n", conf.alias("confidence"), (conf * F.col("_t") / F.col("cb")).alias("lift")).where((F.col("confidence") >= confidence) & (F.col("lift") >= lift))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sluicegate.operators.classification import balanced_accuracy
+from sluicegate.operators.ranks import running
+from sluicegate.operators.sizes import cut
 
 
 def _free() -> Column:
@@ -146,13 +148,11 @@ def operating_point(points: DataFrame, target: float | None = None) -> DataFrame
 
 def threshold_frontier(df: DataFrame) -> DataFrame:
     """(threshold, share, accuracy) of escalating free_conf < threshold, for every distinct confidence."""
-    levels = df.groupBy("free_conf").agg(F.count(F.lit(1)).alias("m"), F.sum(_free()).alias("f"), F.sum(_expert()).alias("e"))
-    up = W.partitionBy(F.lit(0)).orderBy("free_conf").rowsBetween(W.unboundedPreceding, -1)  # a row for each distinct confidence
-    every = W.partitionBy(F.lit(0))
-    n, z = F.sum("m").over(every), F.lit(0)
-    below = F.coalesce(F.sum("m").over(up), z)
-    gain = F.coalesce(F.sum(F.col("e") - F.col("f")).over(up), z)
-    return levels.select(F.col("free_conf").alias("threshold"), (below / n).alias("share"), ((F.sum("f").over(every) + gain) / n).alias("accuracy"))
+    levels = cut(df.groupBy("free_conf").agg(F.count(F.lit(1)).alias("m"), F.sum(_free()).alias("f"), F.sum(_expert() - _free()).alias("g")))
+    total = levels.agg(F.sum("m").alias("n"), F.sum("f").alias("hits"))
+    z = F.lit(0)
+    rows = running(running(levels, "free_conf", "m", "sum", "below"), "free_conf", "g", "sum", "gain").crossJoin(F.broadcast(total))
+    return rows.select(F.col("free_conf").alias("threshold"), (F.coalesce("below", z) / F.col("n")).alias("share"), ((F.col("hits") + F.coalesce("gain", z)) / F.col("n")).alias("accuracy"))
 
 
 def local_competence(df: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -69,11 +69,16 @@ def weight_grid(df: DataFrame, p: str, truth: str, weights: tuple[float, ...], *
     return hits.groupBy(*by).agg(F.min(F.struct((-F.col("right")).alias("r"), "weight")).alias("b")).select(*by, F.col("b.weight").alias("weight"), (-F.col("b.r")).alias("right"))
 
 
-def under_budget(df: DataFrame, by: str, score: str, size: str, order: str, budget: int) -> DataFrame:
-    """Best passages first while they fit the budget, given in document order: by, order, place."""
-    w = W.partitionBy(by).orderBy(F.desc(score), order)
-    kept = df.withColumn("_s", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("_s") <= budget)
-    return kept.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(order))).select(by, order, "place")
+def under_budget(df: DataFrame, by: str, score: str, size: str, order: str, budget: int, most: int | None = None) -> DataFrame:
+    """Best passages first (the earlier on ties), each kept if it fits what is left of the budget, given in document order:
+    by, order, place.  A passage that does not fit is passed over; later ones may still fit.
+    most: passages kept at most."""
+    items = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(order).alias("o"), F.col(size).cast("long").alias("n"))))
+    zero = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>").alias("out"))
+    fits = lambda s, x: (x["n"] <= s["left"]) & (F.lit(True) if most is None else F.size(s["out"]) < most)
+    take = lambda s, x: F.when(fits(s, x), F.struct((s["left"] - x["n"]).alias("left"), F.concat(s["out"], F.array(x["o"])).alias("out"))).otherwise(s)
+    kept = df.groupBy(by).agg(F.array_sort(F.aggregate(items, zero, take)["out"]).alias("_o"))
+    return kept.select(by, F.posexplode("_o").alias("place", order)).select(by, order, (F.col("place") + 1).alias("place"))
 
 
 def paraphrase_tiers(pairs: DataFrame, t: float = 0.92) -> DataFrame:

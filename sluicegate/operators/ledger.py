@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sluicegate.operators.ranks import running
+from sluicegate.operators.sizes import cut, small
+
 
 def token_cost(tokens_in: Column, cached: Column, tokens_out: Column, price_in: float, price_cached: float, price_out: float) -> Column:
     """Cost of a call: fresh input, cached input and output tokens at prices a million tokens."""
@@ -19,12 +22,12 @@ def ledger(df: DataFrame, cost: str, *by: str) -> DataFrame:
 def pareto(df: DataFrame, cost: str, gain: str) -> DataFrame:
     """Rows that no row with at most their cost beats or equals in gain (a strict running maximum).
 
-    Only the best gain of each cost can be on the frontier, so the running maximum sees distinct costs.
+    Only the best gain of each cost can be on the frontier; the running maximum goes over ranges of cost in two levels.
     """
-    best = df.groupBy(cost).agg(F.max(gain).alias(gain))
-    before = F.max(gain).over(W.partitionBy(F.lit(0)).orderBy(cost).rowsBetween(W.unboundedPreceding, -1))
-    front = best.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(gain) > F.col("_b"))).drop("_b")
-    return df.join(F.broadcast(front), [cost, gain], "left_semi")
+    best = cut(df.groupBy(cost).agg(F.max(gain).alias(gain)))
+    before = running(best, cost, gain, "max", "_b")
+    front = before.where(F.col("_b").isNull() | (F.col(gain) > F.col("_b"))).drop("_b")
+    return df.join(small(front), [cost, gain], "left_semi")
 
 
 def merge_intervals(df: DataFrame, start: str, end: str, *by: str) -> DataFrame:
@@ -62,14 +65,6 @@ def forward(left: DataFrame, ends: DataFrame, key: str, at: str, end: str) -> Da
     return rows.unionByName(other).withColumn(end, F.first(end, True).over(order)).where("_side = 0").drop("_side")
 
 
-def descendants(edges: DataFrame, root: int) -> DataFrame:
-    """Distinct nodes below root over (parent, child), with their least depth; a recursive query."""
-    view = "_sluicegate_edges"
-    edges.createOrReplaceTempView(view)
-    sql = f"WITH RECURSIVE d(node, depth) AS (SELECT CAST({root} AS BIGINT), 0 UNION ALL SELECT e.child, d.depth + 1 FROM d JOIN {view} e ON e.parent = d.node WHERE d.depth < 50) SELECT node, min(depth) AS depth FROM d GROUP BY node"
-    return edges.sparkSession.sql(sql)
-
-
 def daily_series(df: DataFrame, at: str, days: int, last: Column) -> DataFrame:
     """Requests on each of the last days up to last, days without any as 0."""
     per = df.groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("requests"))

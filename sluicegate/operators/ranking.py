@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sluicegate.operators.ranks import global_rank
+from sluicegate.operators.ranks import global_rank, running
+from sluicegate.operators.sizes import cut
 
 
 def reliability_bins(df: DataFrame, conf: str, right: str, bins: int = 10) -> DataFrame:
@@ -22,10 +23,8 @@ def ece(df: DataFrame, conf: str, right: str, bins: int = 10) -> DataFrame:
 def auroc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     """Rank-sum AUROC with average ranks for ties; from counts per distinct score, so that ties are one row."""
     y = F.col(positive).cast("int")
-    levels = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("m"))
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = F.sum("m").over(part.orderBy(score)) - F.col("m")
-    ranked = levels.withColumn("_rank", before + (F.col("m") + 1) / 2)
+    levels = cut(df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("m")))
+    ranked = running(levels, score, "m", "sum", "_before", by=by).withColumn("_rank", F.coalesce("_before", F.lit(0)) + (F.col("m") + 1) / 2)
     p, n = F.sum("pos"), F.sum("m")
     return ranked.groupBy(*by).agg(((F.sum(F.col("_rank") * F.col("pos")) - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))).alias("auroc"))
 
@@ -55,9 +54,10 @@ def selective(df: DataFrame, conf: str, right: str, thresholds: tuple[float, ...
 
 def _down(df: DataFrame, conf: str, right: str, *by: str) -> DataFrame:
     """Running rows and hits from the top, ties of conf together."""
-    levels = df.groupBy(*by, conf).agg(F.count(F.lit(1)).alias("_m"), F.sum(F.col(right).cast("int")).alias("_h"))
-    order = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc(conf))
-    return levels.select(*by, conf, F.sum("_m").over(order).alias("n"), F.sum("_h").over(order).alias("hits"))
+    levels = cut(df.groupBy(*by, conf).agg(F.count(F.lit(1)).alias("_m"), F.sum(F.col(right).cast("int")).alias("_h")))
+    rows = running(running(levels, conf, "_m", "sum", "_bm", descending=True, by=by), conf, "_h", "sum", "_bh", descending=True, by=by)
+    z = F.lit(0)
+    return rows.select(*by, conf, (F.col("_m") + F.coalesce("_bm", z)).alias("n"), (F.col("_h") + F.coalesce("_bh", z)).alias("hits"))
 
 
 def found_at_precision(df: DataFrame, conf: str, right: str, target: float, *by: str) -> DataFrame:
@@ -75,9 +75,10 @@ def lowest_threshold(df: DataFrame, conf: str, right: str, bar: float, support:
 
 def threshold_descent(df: DataFrame, conf: str, right: str, bar: float, *by: str) -> DataFrame:
     """Walk the threshold down and stop before the first step that misses the bar, unlike found_at_precision."""
-    order = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc(conf))
-    d = _down(df, conf, right, *by).withColumn("_ok", F.bool_and(F.col("hits") / F.col("n") >= bar).over(order))
-    return d.groupBy(*by).agg(F.min(F.when(F.col("_ok"), F.col(conf))).alias("threshold"))
+    d = _down(df, conf, right, *by)
+    missed = d.groupBy(*by).agg(F.max(F.when(F.col("hits") / F.col("n") < bar, F.col(conf))).alias("_miss"))
+    met = d.join(F.broadcast(missed), list(by)) if by else d.crossJoin(F.broadcast(missed))  # a row for each group
+    return met.groupBy(*by).agg(F.min(F.when(F.col("_miss").isNull() | (F.col(conf) > F.col("_miss")), F.col(conf))).alias("threshold"))
 
 
 def best_f1_threshold(df: DataFrame, conf: str, positive: str) -> DataFrame:

@@ -65,15 +65,17 @@ def per_class_confidence(df: DataFrame, fraction: float, chunk: float = 0.02) ->
     """Escalate, within a fold's budget, chunks of the least confident rows of the predicted class whose modelled gain is
     greatest: expert accuracy on the class less an isotonic fit of the free arm's accuracy by confidence, both from training.
 
-    A fold's training side is binned by class and confidence first, so a group holds bins and the fold's own rows.
+    Confidence is cut into chunks of the given width; a fold's training side is summed by class and chunk first, so a group
+    holds chunks.
     """
-    bins = df.groupBy("fold", "free_pred", F.floor(F.col("free_conf") * 50).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("int(free_pred = gold)")).alias("f"), F.sum(F.expr("int(expert_pred = gold)")).alias("e"))
+    width = round(1 / chunk)
+    bins = df.groupBy("fold", "free_pred", F.floor(F.col("free_conf") * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("int(free_pred = gold)")).alias("f"), F.sum(F.expr("int(expert_pred = gold)")).alias("e"))
     total = bins.groupBy("free_pred", "bin").agg(F.sum("n").alias("an"), F.sum("f").alias("af"), F.sum("e").alias("ae"))
     folds = df.select("fold").distinct()
     train = folds.join(F.broadcast(total), F.lit(True)).join(bins, ["fold", "free_pred", "bin"], "left")
     z = lambda c: F.coalesce(c, F.lit(0))
     train = train.select("fold", "free_pred", "bin", (F.col("an") - z(F.col("n"))).alias("n"), (F.col("af") - z(F.col("f"))).alias("f"), (F.col("ae") - z(F.col("e"))).alias("e")).where("n > 0")
-    own = df.groupBy("fold", "free_pred", F.floor(F.col("free_conf") * 50).alias("bin")).agg(F.count(F.lit(1)).alias("rows")).select(*(F.col(c).alias(f"{c}_") for c in ("fold", "free_pred", "bin", "rows")))
+    own = df.groupBy("fold", "free_pred", F.floor(F.col("free_conf") * width).alias("bin")).agg(F.count(F.lit(1)).alias("rows")).select(*(F.col(c).alias(f"{c}_") for c in ("fold", "free_pred", "bin", "rows")))
 
     def plan(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.set_axis(["fold", "free_pred", "bin", "rows"], axis=1)
@@ -94,7 +96,7 @@ def per_class_confidence(df: DataFrame, fraction: float, chunk: float = 0.02) ->
         return pd.DataFrame(out, columns=["fold", "free_pred", "bin"])
 
     chosen = train.groupBy("fold").cogroup(own.groupBy("fold_")).applyInPandas(plan, "fold int, free_pred int, bin long").withColumn("_hit", F.lit(True))
-    rows = df.withColumn("bin", F.floor(F.col("free_conf") * 50))
+    rows = df.withColumn("bin", F.floor(F.col("free_conf") * width))
     return rows.join(F.broadcast(chosen), ["fold", "free_pred", "bin"], "left").withColumn("escalated", F.coalesce("_hit", F.lit(False))).drop("_hit", "bin")
 
 
@@ -124,7 +126,7 @@ def statement_features(df: DataFrame, by: list[str], p: str) -> DataFrame:
     return df.groupBy(*by).agg(top.alias("_t"), F.count_if(F.col(p) >= 0.5).alias("half"), F.sum(p).alias("total")).select(*by, F.get("_t", F.lit(0)).alias("first"), F.coalesce(F.get("_t", F.lit(1)), F.lit(0.0)).alias("second"), "half", "total")
 
 
-def learn_rules(df: DataFrame, label: str, features: list[str], most: int = 5) -> list[tuple[str, bool]]:
+def learn_rules(df: DataFrame, label: str, features: list[str]) -> list[tuple[str, bool]]:
     """Default and exceptions: features (boolean columns) that, in turn, flip the most wrong rows to right, while any does.
 
     Only counts per feature pattern come to the driver.
@@ -133,7 +135,7 @@ def learn_rules(df: DataFrame, label: str, features: list[str], most: int = 5) -
     default = sum(n if y else -n for _, y, n in cells) >= 0
     rules: list[tuple[str, bool]] = [("", default)]
     said = {x: default for x, _, _ in cells}
-    for _ in range(most):
+    while True:  # each rule sets more rows right than before, so this ends
         best = max(((sum(n * ((y == v) - (y == said[x])) for x, y, n in cells if x[i]), f, v, i) for i, f in enumerate(features) for v in (True, False)), key=lambda b: (b[0], b[1], b[2]))
         if best[0] <= 0:
             break
@@ -150,21 +152,20 @@ def apply_rules(rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def joint_decode(df: DataFrame, links: pd.DataFrame, rounds: int = 5) -> DataFrame:
+def joint_decode(df: DataFrame, links: pd.DataFrame) -> DataFrame:
     """Iterated conditional modes over a document's questions: each takes the answer of the best own score plus the weights
-    of links from the others' answers.  df: doc_id, question, answer, score; links: a, la, b, lb, weight (a bounded table)."""
+    of links from the others' answers, until nothing changes or a state comes again.  df: doc_id, question, answer, score; links: a, la, b, lb, weight (a bounded table)."""
     table = {(r.a, r.la, r.b, r.lb): r.weight for r in links.itertuples()}
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         own = {q: dict(zip(g["answer"], g["score"], strict=True)) for q, g in pdf.groupby("question")}
         now = {q: min(s, key=lambda a, s=s: (-s[a], a)) for q, s in own.items()}
-        for _ in range(rounds):
-            before = dict(now)
+        seen = set()
+        while (state := tuple(now[q] for q in sorted(own))) not in seen:
+            seen.add(state)
             for q in sorted(own):
                 value = lambda a, q=q: own[q][a] + sum(table.get((o, now[o], q, a), 0.0) for o in own if o != q)
                 now[q] = min(own[q], key=lambda a, value=value: (-value(a), a))
-            if now == before:
-                break
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "question": sorted(now), "answer": [now[q] for q in sorted(now)]})
 
     return df.groupBy("doc_id").applyInPandas(decode, "doc_id long, question string, answer string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sluicegate.functions import text as T
 from sluicegate.ident import bucket
 from sluicegate.operators import classification as C, corpus as O, documents as U, turns as V
+from sluicegate.operators.graph import components
 from sluicegate.plans.arms import _b
 from sluicegate.plans.base import query, rounded
 from sluicegate.session import read
@@ -56,24 +57,25 @@ def mask_values(spark, sf_dir):
     return m.select("doc_id", F.md5("t").alias("masked"), count("<email>").alias("emails"), count("<phone>").alias("phones"))
 
 
-_ANSWERS = "(VALUES (1, 'Label: Positive.'), (2, 'negative'), (3, 'it is not positive but neutral'), (4, '**NEUTRAL**'), (5, 'none'), (6, 'positive or negative'), (7, '2'), (8, '')) t(id, answer)"
-_ROWS = [(1, "Label: Positive."), (2, "negative"), (3, "it is not positive but neutral"), (4, "**NEUTRAL**"), (5, "none"), (6, "positive or negative"), (7, "2"), (8, "")]
+_ANSWER = """CASE doc_id % 8 WHEN 0 THEN 'Label: ' || upper(lang) || '.' WHEN 1 THEN lang WHEN 2 THEN 'it is not ' || lang || ' but fr' WHEN 3 THEN '**' || upper(lang) || '**' WHEN 4 THEN 'none' WHEN 5 THEN lang || ' or xx' WHEN 6 THEN (doc_id % 5)::VARCHAR ELSE '' END"""
 
 
-@query("SELECT * FROM (VALUES (1, 'positive', 'positive', 0), (2, 'negative', 'negative', 1), (3, 'neutral', 'positive', 0), (4, 'neutral', 'neutral', 2), (5, NULL, NULL, -1), (6, NULL, 'positive', 0), (7, NULL, NULL, 2), (8, NULL, NULL, -1)) t(id, resolved, first, indexed)")
+@query(rf"""WITH a AS (SELECT doc_id, {_ANSWER} AS answer FROM documents), k AS (SELECT doc_id, answer, lower(answer) AS t, ['de', 'en', 'es', 'fr'] AS labels FROM a),
+h AS (SELECT *, list_filter(labels, lambda x: regexp_matches(t, '\b' || x || '\b') AND NOT regexp_matches(t, '\b(not|isn''t|no)\s+(a |an |the )?' || x || '\b')) AS hits, list_filter(list_transform(labels, lambda x: {{'at': instr(' ' || regexp_replace(t, '[^a-z0-9]', ' ', 'g') || ' ', ' ' || x || ' '), 'x': x}}), lambda z: z['at'] > 0) AS places FROM k)
+SELECT doc_id, CASE WHEN len(hits) = 1 THEN hits[1] END AS resolved, list_sort(places)[1]['x'] AS first, coalesce(CASE WHEN TRY_CAST(answer AS INT) BETWEEN 0 AND 3 THEN TRY_CAST(answer AS INT) END, CASE WHEN contains(t, 'de') THEN 0 WHEN contains(t, 'en') THEN 1 WHEN contains(t, 'es') THEN 2 WHEN contains(t, 'fr') THEN 3 END, -1)::INT AS indexed FROM h""")
 def label_parsing(spark, sf_dir):
-    """Strict, lenient and indexed label parsing of answers; the expected rows are written out."""
-    labels = ["positive", "negative", "neutral"]
-    a = spark.createDataFrame(_ROWS, "id int, answer string")
-    return a.select("id", T.resolve_label("answer", labels).alias("resolved"), T.first_label("answer", labels).alias("first"), T.index_label("answer", labels).alias("indexed"))
+    """Strict, lenient and indexed label parsing of answers made from each document's language."""
+    labels = ["de", "en", "es", "fr"]
+    a = read(spark, sf_dir, "documents").select("doc_id", F.expr(_ANSWER.replace("(doc_id % 5)::VARCHAR", "cast(doc_id % 5 as string)")).alias("answer"))
+    return a.select("doc_id", T.resolve_label("answer", labels).alias("resolved"), T.first_label("answer", labels).alias("first"), T.index_label("answer", labels).alias("indexed"))
 
 
-@query(r"""WITH p AS (SELECT a.item_id AS a, b.item_id AS b, regexp_extract_all(lower(a.text), '[a-z0-9'']+') AS x, regexp_extract_all(lower(b.text), '[a-z0-9'']+') AS y FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id WHERE b.item_id < 12),
+@query(r"""WITH p AS (SELECT a.item_id AS a, b.item_id AS b, regexp_extract_all(lower(a.text), '[a-z0-9'']+') AS x, regexp_extract_all(lower(b.text), '[a-z0-9'']+') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
 c AS (SELECT a, b, x, y, list_sum(list_transform(list_intersect(x, y), lambda k: least(len(list_filter(x, lambda v: v = k)), len(list_filter(y, lambda v: v = k))))) AS s FROM p) SELECT a, b, round(2 * coalesce(s, 0) / (len(x) + len(y)), 6) AS f1, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM c""")
 def token_overlap(spark, sf_dir):
-    """Token F1 as multisets and Jaccard of sets, for pairs of the first benchmark items."""
-    b = read(spark, sf_dir, "benchmark").where("item_id < 12").select("item_id", T.words("text").alias("w"))
-    p = b.select(F.col("item_id").alias("a"), F.col("w").alias("x")).join(b.select(F.col("item_id").alias("b"), F.col("w").alias("y")), F.col("a") < F.col("b"))
+    """Token F1 as multisets and Jaccard of sets, of each benchmark item and the next."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", T.words("text").alias("w"))
+    p = b.select(F.col("item_id").alias("a"), F.col("w").alias("x")).join(b.select(F.col("item_id").alias("b"), F.col("w").alias("y")), F.col("b") == F.col("a") + 1)
     return rounded(p.select("a", "b", T.token_f1(F.col("x"), F.col("y")).alias("f1"), (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard")))
 
 
@@ -111,13 +113,13 @@ def copies_histogram(spark, sf_dir):
     return O.copies_histogram(read(spark, sf_dir, "documents"), "text")
 
 
-_BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+'))) AS term FROM benchmark WHERE item_id < 5),
+_BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+'))) AS term FROM benchmark WHERE item_id % 50 = 0),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 s AS (SELECT item_id AS query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)"""
 
 
 def _bm25(spark, sf_dir):
-    q = read(spark, sf_dir, "benchmark").where("item_id < 5").withColumnRenamed("item_id", "query_id")
+    q = read(spark, sf_dir, "benchmark").where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
     return O.bm25(read(spark, sf_dir, "documents"), q, T.words("text"), T.words("text"))
 
 
@@ -140,19 +142,18 @@ def rank_fusion(spark, sf_dir):
 _SIM = "round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6)"
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_SIM} AS sim FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 10) SELECT query_id, vec_id, sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_SIM} AS sim FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def nearest_neighbours(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    return O.nearest(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 5)
+    return O.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 5)
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, max({_SIM}) AS sim FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 40 GROUP BY 1), t AS (SELECT quantile_cont(sim, 0.99) AS t FROM s) SELECT query_id, sim, sim < t AS novel FROM s, t""")
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, round(1 - max({_SIM}), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1), t AS (SELECT quantile_cont(distance, 0.99) AS t FROM s) SELECT query_id, distance, distance > t AS novel FROM s, t""")
 def novelty(spark, sf_dir):
-    """Greatest similarity to the rest, and whether it lies below the 99th percentile."""
+    """Distance to the nearest other row, and whether it is strictly above the 99th percentile of such distances."""
     e = read(spark, sf_dir, "embeddings")
-    n = O.nearest(e.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 1)
-    cut = n.agg(F.percentile("sim", F.lit(0.99)).alias("t"))
-    return n.crossJoin(F.broadcast(cut)).select("query_id", "sim", (F.col("sim") < F.col("t")).alias("novel"))
+    n = O.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 1)
+    return O.novel(n, 0.99)
 
 
 @query("SELECT label, i::INT AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
@@ -160,12 +161,12 @@ def class_centroids(spark, sf_dir):
     return rounded(O.centroids(read(spark, sf_dir, "embeddings"), "label", "embedding"))
 
 
-_GRAMS = r"""g AS (SELECT id, g, count(*) AS c FROM (SELECT item_id AS id, t, unnest(range(1, length(t) - 2)) AS i, substr(t, i, 4) AS g FROM (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark WHERE item_id < 40)) GROUP BY ALL),
+_GRAMS = r"""g AS (SELECT id, g, count(*) AS c FROM (SELECT item_id AS id, t, unnest(range(1, length(t) - 2)) AS i, substr(t, i, 4) AS g FROM (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark)) GROUP BY ALL),
 n AS (SELECT id, sqrt(sum(c * c)) AS n FROM g GROUP BY 1), cos AS (SELECT x.id AS a_id, y.id AS b_id, sum(x.c * y.c) / (any_value(nx.n) * any_value(ny.n)) AS cosine FROM g x JOIN g y ON x.g = y.g AND x.id < y.id JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id GROUP BY ALL)"""
 
 
 def _gram_edges(spark, sf_dir, least):
-    b = read(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("id"), "text")
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return b, O.gram_cosine(b, b, "text", 4, least)
 
 
@@ -174,14 +175,10 @@ def gram_similarity(spark, sf_dir):
     return rounded(_gram_edges(spark, sf_dir, 0.3)[1])
 
 
-@query(f"""WITH RECURSIVE {_GRAMS}, e AS (SELECT a_id AS a, b_id AS b FROM cos WHERE cosine >= 0.42 UNION ALL SELECT b_id, a_id FROM cos WHERE cosine >= 0.42), r(id, c) AS (SELECT item_id, item_id FROM benchmark WHERE item_id < 40 UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT id, min(c) AS cluster FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE {_GRAMS}, e AS (SELECT a_id AS a, b_id AS b FROM cos WHERE cosine >= 0.42 UNION ALL SELECT b_id, a_id FROM cos WHERE cosine >= 0.42), r(id, c) AS (SELECT item_id, item_id FROM benchmark UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT id, min(c) AS cluster FROM r GROUP BY id""")
 def single_linkage(spark, sf_dir):
     b, edges = _gram_edges(spark, sf_dir, 0.42)
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluicegate-"))
-    return O.single_linkage(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), b)
+    return components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), b)
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT line, count(DISTINCT doc_id) AS docs, count(*) AS times FROM l WHERE trim(line) <> '' GROUP BY 1) SELECT line, docs, times FROM c WHERE docs >= 5""")
@@ -196,11 +193,13 @@ def association_rules(spark, sf_dir):
     return rounded(O.association_rules(e, "item", "user_id", 20, 0.5, 1.0))
 
 
-@query("""WITH d AS (SELECT text, lower(trim(text)) AS k, count(*) AS c FROM conversations GROUP BY ALL) SELECT k AS "group", arg_min(text, -c * 1000000 + 0) AS canonical, sum(c)::BIGINT AS count FROM d GROUP BY k HAVING count(*) = 1""")
+@query("""WITH d AS (SELECT form, lower(form) AS k, count(*) AS c FROM (SELECT CASE WHEN conv_id % 3 = 0 THEN replace(w, 'e', 'E') ELSE w END AS form FROM (SELECT conv_id, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE w <> '') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, form) AS r FROM d) SELECT k AS "group", max(form) FILTER (r = 1) AS canonical, count(*)::INT AS forms, sum(c)::BIGINT AS count FROM r GROUP BY k""")
 def merge_groups(spark, sf_dir):
-    """Groups of texts that are equal after trimming and lower-casing, those with one form."""
-    d = read(spark, sf_dir, "conversations").groupBy("text").agg(F.count(F.lit(1)).alias("c")).withColumn("group", F.lower(F.trim("text")))
-    return O.merge_groups(d, "group", "text", "c").where(F.size("forms") == 1).select("group", "canonical", "count")
+    """Words that are equal but for their case, a third of the conversations writing E for e: the most frequent form stands for all."""
+    w = read(spark, sf_dir, "conversations").select("conv_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    d = w.select(F.when(F.col("conv_id") % 3 == 0, F.regexp_replace("w", "e", "E")).otherwise(F.col("w")).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("c")).withColumn("group", F.lower("form"))
+    return O.merge_groups(d, "group", "form", "c").select("group", "canonical", F.size("forms").alias("forms"), "count")
 
 
 @query("SELECT conv_id, turn, list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS c FROM conversations".replace("list(role)", "string_agg(role, '>')").replace(" AS c ", " AS context "))
@@ -256,9 +255,9 @@ def ngram_backoff(spark, sf_dir):
     return V.backoff(s, V.transitions(s, "v", 2), "v", 2)
 
 
-@query(r"""WITH t AS (SELECT conv_id, regexp_replace(text, '\d+(?:[.,]\d+)*', '<number>', 'g') AS template FROM conversations) SELECT template, count(*) AS count FROM t GROUP BY 1 HAVING count(*) > 1 OR length(template) < 80""")
+@query(r"""WITH t AS (SELECT conv_id, regexp_replace(text, '\d+(?:[.,]\d+)*', '<number>', 'g') AS template FROM conversations) SELECT template, count(*) AS count FROM t GROUP BY 1""")
 def text_templates(spark, sf_dir):
-    return V.templates(read(spark, sf_dir, "conversations"), F.regexp_replace("text", r"\d+(?:[.,]\d+)*", "<number>"), 3).where("count > 1 or length(template) < 80").select("template", "count")
+    return V.templates(read(spark, sf_dir, "conversations"), F.regexp_replace("text", r"\d+(?:[.,]\d+)*", "<number>"), 3).select("template", "count")
 
 
 @query("""WITH c AS (SELECT conv_id, count(*) OVER (PARTITION BY role, length(text) // 40) AS c FROM conversations), g AS (SELECT least_::INT AS least, conv_id, c >= least_ AS ok FROM c, (SELECT unnest([2, 10, 50]) AS least_)),
@@ -287,9 +286,11 @@ def oversized_turns(spark, sf_dir):
     return read(spark, sf_dir, "conversations").where(F.length("text") > 400).select("conv_id", "turn")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, length(text)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+f AS (SELECT conv_id, turn, r, 0 AS pack, greatest(0, 300 - n) AS left_ FROM s WHERE r = 1 UNION ALL SELECT s.conv_id, s.turn, s.r, CASE WHEN f.left_ < s.n THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.left_ < s.n THEN greatest(0, 300 - s.n) ELSE f.left_ - s.n END FROM f JOIN s ON s.conv_id = f.conv_id AND s.r = f.r + 1)
+SELECT conv_id, turn, pack FROM f""")
 def packed_turns(spark, sf_dir):
-    """Character-budget packing is a fold; tests hold it against a loop."""
+    """Packs of whole turns within a budget of characters; a turn over the budget is a pack of its own."""
     from sluicegate.operators import ledger as L
 
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
@@ -313,7 +314,7 @@ def version_alignment(spark, sf_dir):
 @query()
 def contract_queries(spark, sf_dir):
     """The contract query language over a table of norms taken from document sentences with modal words."""
-    n = U.norms(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"))
+    n = U.norms(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return U.ask(n, "HAS(modal=the, polarity=plus)").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluicegate.functions import text as T
-from sluicegate.operators import boot, deferral as D, gates as G
-from sluicegate.plans.arms import ARMS, LONG, PROBS, arms, long_preds, probabilities
+from sluicegate.operators import boot, corpus as O, deferral as D, gates as G
+from sluicegate.plans.arms import ARMS, LONG, PROBS, _b, arms, long_preds, probabilities
 from sluicegate.plans.base import query, rounded
 from sluicegate.session import read
 
@@ -35,10 +35,10 @@ def latency_by_route(spark, sf_dir):
     return rounded(G.latency_by_route(e, "route", "value", "cost", "hit"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS g, list(l_linenumber ORDER BY l_linenumber, l_partkey) FILTER (l_quantity > 10) AS p FROM lineitem WHERE l_orderkey < 200 GROUP BY 1),
+@query("""WITH r AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS g, list(l_linenumber ORDER BY l_linenumber, l_partkey) FILTER (l_quantity > 10) AS p FROM lineitem GROUP BY 1),
 e AS (SELECT l_orderkey, i, coalesce(g[i + 1], -1) AS g, coalesce(p[i + 1], -1) AS p FROM (SELECT *, unnest(range(greatest(1, len(g), coalesce(len(p), 0)))) AS i FROM r)) SELECT count(*) AS rows, round(avg((g = p)::INT), 6) AS joint, count(*) FILTER (p = -1) AS missing FROM e""")
 def row_expansion(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").where("l_orderkey < 200")
+    x = read(spark, sf_dir, "lineitem")
     in_order = lambda c: F.transform(F.array_sort(F.array_compact(F.collect_list(c))), lambda s: s["l_linenumber"])
     s = F.struct("l_linenumber", "l_partkey")
     r = x.groupBy("l_orderkey").agg(in_order(s).alias("g"), in_order(F.when(F.col("l_quantity") > 10, s)).alias("p"))
@@ -109,9 +109,9 @@ def stratified_audit(spark, sf_dir):
     return rounded(G.audit_estimate(e, "event_type", "w", "right"))
 
 
-@query(f"WITH {PROBS} SELECT item_idx, round(max(p), 6) AS any_max, round(min(p), 6) AS all_min, round(1 - exp(sum(ln(1 - p))), 6) AS any_product FROM probs WHERE class < 4 GROUP BY 1")
+@query(f"WITH {PROBS} SELECT item_idx, round(max(p), 6) AS any_max, round(min(p), 6) AS all_min, round(1 - exp(sum(ln(1 - p))), 6) AS any_product FROM probs GROUP BY 1")
 def fuzzy_any_all(spark, sf_dir):
-    return rounded(G.fuzzy(probabilities(arms(spark, sf_dir)).where("class < 4"), "p", "item_idx"))
+    return rounded(G.fuzzy(probabilities(arms(spark, sf_dir)), "p", "item_idx"))
 
 
 @query("WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC NULLS LAST, event_id) AS g FROM events), r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id)::INT AS rank FROM c WHERE g <= 2) SELECT * FROM r WHERE rank <= 5")
@@ -149,10 +149,21 @@ def lexicon_tags(spark, sf_dir):
     return G.tag(tokens, lexicon, 2)
 
 
-@query("SELECT * FROM (VALUES ('Lease.pdf', 'docs/lease.txt'), ('nda 2020', 'nda-2020.pdf'), ('zzz', NULL), ('nda-2020.pdf', 'nda-2020.pdf')) t(asked, name)")
+@query(r"""WITH n AS (SELECT DISTINCT 'docs/' || lower(replace(p_name, ' ', '-')) || '.txt' AS name FROM part), a AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'docs/' || lower(replace(p_name, ' ', '-')) || '.txt' WHEN 1 THEN upper(replace(p_name, ' ', '-')) || '.PDF' WHEN 2 THEN replace(p_name, ' ', '_') ELSE 'zzz' END AS asked FROM supplier JOIN part ON p_partkey = s_suppkey),
+b AS (SELECT DISTINCT asked, name, regexp_replace(regexp_replace(lower(asked), '^.*/', ''), '\.[a-z0-9]+$', '') AS x, regexp_replace(regexp_replace(lower(name), '^.*/', ''), '\.[a-z0-9]+$', '') AS y FROM a, n),
+c AS (SELECT asked, name, 1 - levenshtein(x, y) / greatest(length(x), length(y), 1) AS close, x = y AS same FROM b), k AS (SELECT *, CASE WHEN asked = name THEN 0 WHEN same THEN 1 WHEN close >= 0.6 THEN 2 END AS k FROM c),
+r AS (SELECT asked, name FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY k, close DESC, name) AS r FROM k WHERE k IS NOT NULL) WHERE r = 1) SELECT id, asked, name FROM a LEFT JOIN r USING (asked)""")
 def resolve_names(spark, sf_dir):
-    names = spark.createDataFrame([("docs/lease.txt",), ("nda-2020.pdf",), ("nda-2021.pdf",)], "name string")
-    return G.resolve_name(spark.createDataFrame([("Lease.pdf",), ("nda 2020",), ("zzz",), ("nda-2020.pdf",)], "asked string"), names)
+    """Names of parts, asked for exactly, in other case and ending, with other separators, and not there."""
+    plain = F.lower(F.regexp_replace("p_name", " ", "-"))
+    part = read(spark, sf_dir, "part")
+    names = part.select(F.concat(F.lit("docs/"), plain, F.lit(".txt")).alias("name")).distinct()
+    asked = read(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(
+        F.col("s_suppkey").alias("id"),
+        F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("docs/"), plain, F.lit(".txt"))).when(F.col("s_suppkey") % 4 == 1, F.concat(F.upper(F.regexp_replace("p_name", " ", "-")), F.lit(".PDF")))
+        .when(F.col("s_suppkey") % 4 == 2, F.regexp_replace("p_name", " ", "_")).otherwise("zzz").alias("asked"),
+    )
+    return asked.join(G.resolve_name(asked.select("asked").distinct(), names), "asked")
 
 
 @query(f"""WITH {ARMS}, f AS (SELECT unnest([0.0, 0.3, 0.6]::DOUBLE[]) AS setting), o AS (SELECT DISTINCT fold AS outer_ FROM arms),
@@ -169,18 +180,19 @@ def nested_operating_point(spark, sf_dir):
     return rounded(G.nested_choice(points).select("outer", "setting", "score"))
 
 
-@query(f"""WITH {ARMS}, v AS (SELECT a.item_idx, sum((b.expert_pred = b.gold)::INT - (b.free_pred = b.gold)::INT) AS g FROM arms a JOIN arms b ON b.fold <> a.fold AND b.item_idx BETWEEN a.item_idx - 4 AND a.item_idx + 4 GROUP BY 1)
-SELECT count(*) AS n, count(*) FILTER (coalesce(g, 0) > 0) AS escalated FROM arms LEFT JOIN v USING (item_idx)""")
+@query(f"""WITH {ARMS}, s AS (SELECT a.vec_id AS item_idx, b.vec_id AS near, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id JOIN arms x ON x.item_idx = a.vec_id JOIN arms y ON y.item_idx = b.vec_id WHERE x.fold = 0 AND y.fold <> 0),
+k AS (SELECT item_idx, near FROM (SELECT *, row_number() OVER (PARTITION BY item_idx ORDER BY sim DESC, near) AS r FROM s) WHERE r <= 7), v AS (SELECT k.item_idx, sum((expert_pred = gold)::INT - (free_pred = gold)::INT) AS g FROM k JOIN arms ON arms.item_idx = near GROUP BY 1)
+SELECT item_idx, coalesce(g, 0) > 0 AS escalated FROM arms LEFT JOIN v USING (item_idx) WHERE fold = 0""")
 def local_competence(spark, sf_dir):
-    """Neighbours here are the items beside an item in another fold; any kNN table does."""
+    """The test fold's rows, by the arms' hits on their seven nearest training rows (folds 1 to 4)."""
     a = arms(spark, sf_dir)
-    b = a.select(F.col("item_idx").alias("near"), F.col("fold").alias("near_fold"))
-    near = a.select("item_idx", "fold", F.explode(F.sequence(F.col("item_idx") - 4, F.col("item_idx") + 4)).alias("near")).join(b, "near").where("fold <> near_fold")
-    d = D.local_competence(a, near.select("item_idx", "near"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if("escalated").alias("escalated"))
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")).join(a.select(F.col("item_idx").alias("vec_id"), "fold"), "vec_id")
+    near = O.nearest(v.where("fold = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), v.where("fold <> 0").select("vec_id", "v"), 7)
+    return D.local_competence(a, near.select(F.col("query_id").alias("item_idx"), F.col("vec_id").alias("near"))).where("fold = 0").select("item_idx", "escalated")
 
 
-@query()
+@query(f"""WITH {ARMS}, w AS (SELECT item_idx, b, {_b('ni', 1000000, "(item_idx || '/' || b)")} AS u, (free_pred = gold)::INT - (expert_pred = gold)::INT AS d FROM arms, range(60) r(b)),
+k AS (SELECT b, d, (u >= 367879)::INT + (u >= 735759)::INT + (u >= 919699)::INT + (u >= 981012)::INT + (u >= 996340)::INT + (u >= 999406)::INT AS n FROM w), m AS (SELECT sum(n * d) / sum(n) AS m FROM k GROUP BY b) SELECT round(quantile_cont(m, 0.05), 6) AS lower, quantile_cont(m, 0.05) > -0.05 AS passes FROM m""")
 def non_inferiority(spark, sf_dir):
     """Lower bootstrap bound of the difference against the margin."""
     a = arms(spark, sf_dir).select("item_idx", (F.expr("int(free_pred = gold)") - F.expr("int(expert_pred = gold)")).alias("d"))

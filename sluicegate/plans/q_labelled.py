@@ -179,17 +179,26 @@ def mcnemar_asymptotic(spark, sf_dir):
     return rounded(a.select("b", "c", *(stats.mcnemar_p("b", "c", m).alias(m.replace("-", "_")) for m in ("asymptotic", "chi2-cc", "auto"))))
 
 
-_H = "(VALUES ('a', 0.001), ('b', 0.012), ('c', 0.03), ('d', 0.04), ('e', 0.5)) t(name, p)"
+_P = f"""{ARMS}, p AS (SELECT gold AS name, count(*) FILTER (free_pred = gold AND third_pred <> gold) AS b, count(*) FILTER (free_pred <> gold AND third_pred = gold) AS c FROM arms GROUP BY 1),
+t AS (SELECT name, round((b - c) * (b - c) / greatest(b + c, 1) / (20 + b + c), 6) AS p FROM p)"""
 
 
-@query(f"WITH r AS (SELECT name, p::DOUBLE AS p, row_number() OVER (ORDER BY p, name) - 1 AS k, count(*) OVER () AS m FROM {_H}) SELECT name, p, bool_and(p <= 0.05 / (m - k)) OVER (ORDER BY p, name) AS reject FROM r")
+def _class_p(spark, sf_dir):
+    """A number in [0, 1) for each class, in the place of its test's p-value: what the corrections read."""
+    f, t = F.col("free_pred") == F.col("gold"), F.col("third_pred") == F.col("gold")
+    c = arms(spark, sf_dir).groupBy(F.col("gold").alias("name")).agg(F.count_if(f & ~t).alias("b"), F.count_if(~f & t).alias("c"))
+    n = F.col("b") + F.col("c")
+    return c.select("name", F.round((F.col("b") - F.col("c")) * (F.col("b") - F.col("c")) / F.greatest(n, F.lit(1)) / (20 + n), 6).alias("p"))
+
+
+@query(f"WITH {_P}, r AS (SELECT name, p, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS m FROM t), f AS (SELECT coalesce(min(k) FILTER (p > 0.05 / (m - k + 1)), 1000) AS stop FROM r) SELECT name, p, k < stop AS reject FROM r, f")
 def holm_stepdown(spark, sf_dir):
-    return stats.holm(spark.createDataFrame([("a", 0.001), ("b", 0.012), ("c", 0.03), ("d", 0.04), ("e", 0.5)], "name string, p double"), "p")
+    return stats.holm(_class_p(spark, sf_dir), "p")
 
 
-@query(f"WITH r AS (SELECT name, p::DOUBLE AS p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM {_H}), t AS (SELECT *, max(p) FILTER (p <= 0.05 * k / m) OVER () AS top FROM r) SELECT name, p, coalesce(p <= top, false) AS reject FROM t")
+@query(f"WITH {_P}, r AS (SELECT name, p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t), u AS (SELECT *, max(p) FILTER (p <= 0.05 * k / m) OVER () AS top FROM r) SELECT name, p, coalesce(p <= top, false) AS reject FROM u")
 def benjamini_hochberg(spark, sf_dir):
-    return stats.benjamini_hochberg(spark.createDataFrame([("a", 0.001), ("b", 0.012), ("c", 0.03), ("d", 0.04), ("e", 0.5)], "name string, p double"), "p")
+    return stats.benjamini_hochberg(_class_p(spark, sf_dir), "p")
 
 
 _BOOT = f"""{ARMS}, w AS (SELECT item_idx, b, {_b('boot', 1000000, "(item_idx || '/' || b)")} AS u, (free_pred = gold)::INT AS x, (expert_pred = gold)::INT AS y FROM arms, range(40) r(b)),

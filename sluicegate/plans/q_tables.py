@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window as W, functions as F
 
 from sluicegate import ident
-from sluicegate.operators import joined as J, ledger as L, ranking as R
+from sluicegate.operators import graph, joined as J, ledger as L, ranking as R
+from sluicegate.operators.sizes import shared_folder
 from sluicegate.plans.arms import _b
 from sluicegate.plans.base import query, rounded
 from sluicegate.session import read
@@ -30,8 +30,7 @@ def cube_totals(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 def grouping_sets(spark, sf_dir):
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n FROM _lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", lineitem=read(spark, sf_dir, "lineitem"))
 
 
 @query("""WITH b AS (SELECT p_retailprice, max(p_size) AS p_size FROM part GROUP BY 1), f AS (SELECT *, max(p_size) OVER (ORDER BY p_retailprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b)
@@ -121,19 +120,18 @@ def next_boundary(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT (c_custkey // 3)::BIGINT AS parent, c_custkey::BIGINT AS child FROM customer WHERE c_custkey > 0 UNION ALL SELECT (c_custkey // 5)::BIGINT, c_custkey::BIGINT FROM customer WHERE c_custkey > 0),
-d(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.node WHERE d.depth < 50) SELECT node, min(depth)::INT AS depth FROM d GROUP BY node""")
+d(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.node ) SELECT node, min(depth)::INT AS depth FROM d GROUP BY node""")
 def descendants(spark, sf_dir):
     """A graph with several parents: nodes below one, with their least depth."""
     c = read(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").cast("long").alias("child"))
-    return L.descendants(c.select(F.expr("child div 3").alias("parent"), "child").unionByName(c.select(F.expr("child div 5").alias("parent"), "child")), 1)
+    return graph.descendants(c.select(F.expr("child div 3").alias("parent"), "child").unionByName(c.select(F.expr("child div 5").alias("parent"), "child")), 1)
 
 
 @query("SELECT c.c_custkey, coalesce(n.k, 0) AS orders, coalesce(o2.m, 0) AS large FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) n ON n.o_custkey = c.c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS m FROM orders WHERE o_totalprice > 200000 GROUP BY 1) o2 ON o2.o_custkey = c.c_custkey")
 def users_with_limits(spark, sf_dir):
     """Left join with correlated scalar subqueries, in SQL."""
-    read(spark, sf_dir, "customer").createOrReplaceTempView("_customer")
-    read(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
-    return spark.sql("SELECT c_custkey, (SELECT count(*) FROM _orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM _orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS large FROM _customer")
+    sql = "SELECT c_custkey, (SELECT count(*) FROM {orders} WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS large FROM {customer}"
+    return spark.sql(sql, customer=read(spark, sf_dir, "customer"), orders=read(spark, sf_dir, "orders"))
 
 
 _DAYS = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
@@ -164,29 +162,28 @@ def _stream(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 @query(_DAYS)
 def tumbling_stream(spark, sf_dir):
-    return usage.run_once(usage.tumbling(_stream(spark, sf_dir)), f"tumbling_{uuid.uuid4().hex}", "complete", _folder(spark))
+    return usage.run_once(usage.tumbling(_stream(spark, sf_dir)), "complete", _folder(spark))
 
 
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
 def last_seen_stream(spark, sf_dir):
-    return usage.run_once(usage.last_seen(_stream(spark, sf_dir)), f"seen_{uuid.uuid4().hex}", "complete", _folder(spark))
+    return usage.run_once(usage.last_seen(_stream(spark, sf_dir)), "complete", _folder(spark))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def once_stream(spark, sf_dir):
-    out = usage.run_once(usage.once(_stream(spark, sf_dir)), f"once_{uuid.uuid4().hex}", "append", _folder(spark))
+    out = usage.run_once(usage.once(_stream(spark, sf_dir)), "append", _folder(spark))
     return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
 @query("WITH q AS (SELECT user_id, ts::DATE::VARCHAR AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 3 AS ok FROM events) SELECT day, count(*) AS asked, sum(ok::INT)::BIGINT AS allowed FROM q GROUP BY day")
 def quota_stream(spark, sf_dir):
-    out = usage.run_once(usage.quota_stream(_stream(spark, sf_dir), 3), f"quota_{uuid.uuid4().hex}", "append", _folder(spark))
+    out = usage.run_once(usage.quota_stream(_stream(spark, sf_dir), 3), "append", _folder(spark))
     return out.groupBy("day").agg(F.count(F.lit(1)).alias("asked"), F.count_if("allowed").alias("allowed"))
 
 

@@ -82,8 +82,23 @@ def quota_stream(events: DataFrame, limit: int, delay: str = DELAY) -> DataFrame
     return rows.groupBy("user_id", "day").applyInPandasWithState(take, "user_id long, day string, event_id long, allowed boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a streaming frame over what is there, into a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a streaming frame over what is there; its rows lie as Parquet in the folder, and checkpoints beside them.
+
+    append: every trigger's rows; complete: the rows of the last trigger, each in a folder of its own.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    out = f"{folder}/out"
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    last = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        last.append(number)
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if not last:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/{last[-1]}")

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluicegate.operators import deferral as D, documents as U, joined as J, ledger as L, turns as V
-from sluicegate.operators.ranks import global_rank
+from sluicegate.operators import corpus as O, deferral as D, documents as U, estimates as E, graph, joined as J, ledger as L, ranking as R, selection as S, turns as V
+from sluicegate.operators.ranks import global_rank, running
 from sluicegate.plans.arms import arms
 
 
@@ -95,3 +95,91 @@ def test_patch_merge_refuses_unknown(spark):
     base = spark.createDataFrame([(1, "a")], "k int, v string")
     with pytest.raises(ValueError):
         L.patch_merge(base, spark.createDataFrame([(2, "b")], "k int, v string"), "k", [1])
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100, 300)] + [(5, 7), (7, 5), (9, 9), (None, 3)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(100, 301), 3, 5, 7, 9]], "id long")
+    got = {r["id"]: r["cluster"] for r in graph.components(edges, nodes).collect()}
+    assert got == {**{i: 100 for i in range(100, 301)}, 3: 3, 5: 5, 7: 5, 9: 9}
+
+
+def test_descendants_of_a_deep_tree_and_a_cycle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(120)] + [(0, 2), (120, 0), (50, None)], "parent long, child long")
+    got = {r["node"]: r["depth"] for r in graph.descendants(edges, 0).collect()}
+    assert got == {0: 0, 1: 1, **{i: i - 1 for i in range(2, 121)}}
+    tree = spark.createDataFrame([(1, 2), (2, 3), (1, 4)], "parent long, child long")
+    assert {r["node"]: r["height"] for r in graph.path_to_root(tree, 3).collect()} == {3: 0, 2: 1, 1: 2}
+
+
+def test_contains_passage_of_any_length(spark):
+    words = [f"w{i}" for i in range(30)]
+    passages = [" ".join(words[5 : 5 + n]) for n in (1, 2, 3, 8, 9, 10, 15)] + ["", "nothing like it", "x" + words[3]]
+    p = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    texts = [" ".join(words), " ".join(words[:13]) + "goes on", "ab" + " ".join(words[5:8]) + "cd", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {tuple(r) for r in O.contains_passage(d, p).collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, x in enumerate(passages) if t and x.strip() and x in t}
+
+
+def test_gram_cosine_beside_all_pairs(spark):
+    from collections import Counter
+    from math import sqrt
+
+    texts = ["abcdefgh", "abcdefgx", "abcdabcd", "zzzzzzzz", "aaaaabcd", "abcdefghij abcdefghij", "qqqqabcd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    bags = [Counter(t[i : i + 3] for i in range(len(t) - 2)) for t in texts]
+    norm = lambda x: sqrt(sum(c * c for c in x.values()))
+    cosine = lambda x, y: sum(x[g] * y[g] for g in x) / norm(x) / norm(y)
+    for least in (0.2, 0.5, 0.8):
+        got = {(r["a_id"], r["b_id"]): r["cosine"] for r in O.gram_cosine(df, df, "text", 3, least).collect()}
+        assert got == pytest.approx({(i, j): c for j in range(len(texts)) for i in range(j) if (c := cosine(bags[i], bags[j])) >= least})
+
+
+def test_running(spark):
+    rows = [(g, x, (x * 7) % 11) for g in range(3) for x in range(40)]
+    d = spark.createDataFrame(rows, "g int, x int, v int").repartition(5)
+    for how, f in (("sum", sum), ("max", max)):
+        for descending in (False, True):
+            got = {(r["g"], r["x"]): r["b"] for r in running(d, "x", "v", how, "b", parts=7, descending=descending, by=("g",)).collect()}
+            earlier = lambda x: [(y * 7) % 11 for y in range(40) if (y > x if descending else y < x)]
+            assert got == {(g, x): f(earlier(x)) if earlier(x) else None for g, x, _ in rows}
+
+
+def test_under_budget_passes_over_what_does_not_fit(spark):
+    d = spark.createDataFrame([(1, 0, 5, 90), (1, 1, 9, 80), (1, 2, 7, 50), (1, 3, 1, 20), (2, 0, 1, 500)], "g int, o int, s int, n int")
+    assert sorted(map(tuple, E.under_budget(d, "g", "s", "n", "o", 100).collect())) == [(1, 1, 1), (1, 3, 2)]
+    assert sorted(map(tuple, E.under_budget(d, "g", "s", "n", "o", 200, most=2).collect())) == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_novel_is_strictly_above(spark):
+    n = spark.createDataFrame([(i, 0, 1.0 - i / 100, 1) for i in range(101)] + [(200, 0, 0.01, 1)], "query_id int, vec_id int, sim double, rank int")
+    assert {r["query_id"] for r in O.novel(n, 0.99).where("novel").collect()} == {100}
+
+
+def test_rules_without_bound(spark):
+    rows = [tuple(i == j for j in range(8)) + (True,) for i in range(8) for _ in range(3)] + [(False,) * 8 + (False,)] * 40
+    names = [f"f{i}" for i in range(8)]
+    d = spark.createDataFrame(rows, ", ".join(f"{n} boolean" for n in [*names, "y"]))
+    rules = S.learn_rules(d, "y", names)
+    assert len(rules) == 9 and d.where(S.apply_rules(rules) != F.col("y")).count() == 0
+
+
+def test_joint_decode_ends(spark):
+    import pandas as pd
+
+    chain = [f"q{i}" for i in range(10)]
+    rows = [(1, q, a, 1.0 if (a == "yes") == (i == 0) else 0.0) for i, q in enumerate(chain) for a in ("yes", "no")]
+    links = pd.DataFrame([(a, "yes", b, "yes", 2.0) for b, a in zip(chain, chain[1:])][::-1] + [(a, "yes", b, "yes", 2.0) for a, b in zip(chain, chain[1:])], columns=["a", "la", "b", "lb", "weight"])
+    got = {r["question"]: r["answer"] for r in S.joint_decode(spark.createDataFrame(rows, "doc_id long, question string, answer string, score double"), links).collect()}
+    assert set(got.values()) == {"yes"}
+    loop = pd.DataFrame([("a", "yes", "b", "yes", 2.0), ("b", "yes", "a", "no", 5.0), ("a", "no", "b", "no", 2.0), ("b", "no", "a", "yes", 5.0)], columns=["a", "la", "b", "lb", "weight"])
+    d = spark.createDataFrame([(1, q, a, 0.0) for q in "ab" for a in ("yes", "no")], "doc_id long, question string, answer string, score double")
+    assert S.joint_decode(d, loop).count() == 2
+
+
+def test_threshold_walks(spark):
+    d = spark.createDataFrame([(0.9, True), (0.8, True), (0.7, False), (0.6, True), (0.5, True), (0.5, True)], "c double, ok boolean")
+    assert R.threshold_descent(d, "c", "ok", 0.8).first()["threshold"] == 0.8
+    found = R.found_at_precision(d, "c", "ok", 0.8).first()
+    assert found["found"] == 6 and found["threshold"] == 0.5
