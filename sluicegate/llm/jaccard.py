@@ -27,19 +27,24 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sluicegate.llm.common import Words, mix, small, steps, table, windows
+from sluicegate.llm.common import Words, fresh, mix, small, steps, table, windows
 from sluicegate.llm.components import components
 
 #: Smallest hashes that make a document a candidate of a star.
 STARS = 8
 #: Cells in which shingles are counted for the order: 4 MB as int32, whatever the input.
 CELLS = 1 << 20
+#: Parts of the table that are summed by tasks of their own.
+SLICES = 256
+#: Classes of one star that meet its first one in one task.
+STAR = 4096
 #: Members that are compared with a leader in one task; entries of a column whose pairs are listed; sets of a block.
 MEMBERS, COLUMN, BLOCK = 512, 32, 1024
 #: Shingles of a block, so that blocks of long documents have fewer sets.
@@ -79,7 +84,8 @@ def needed(n, num: int, den: int):
 
 
 def _features(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, n, sig1, sig2, stars), and one for each task with its cell counts."""
+    """A row for each document (doc_id, n, sig1, sig2, stars), and SLICES for each task with its cell counts (n the number
+    of the slice, less SLICES)."""
     schema = "doc_id long, n long, sig1 long, sig2 long, stars array<long>, cells binary"
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
@@ -96,24 +102,31 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
             sigs = np.array(sigs).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array(stars, pa.list_(pa.int64())), pa.nulls(len(sizes), pa.binary())], names)
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), *(pa.nulls(1, f) for f in (pa.int64(), pa.int64(), pa.list_(pa.int64()))), pa.array([cells.tobytes()])], names)
+            slices = [x.tobytes() for x in np.split(cells, SLICES)]
+            none = (pa.nulls(SLICES, f) for f in (pa.int64(), pa.int64(), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array(np.arange(SLICES) - SLICES), *none, pa.array(slices)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _busy(cells: DataFrame, tasks: int) -> np.ndarray:
-    """The sum of all tasks' cell counts, added up in two levels on the executors: one row of 4 MB for the driver."""
+def _busy(cells: DataFrame) -> np.ndarray:
+    """The sum of all tasks' cell counts: a slice of the table is one key of an exchange, and is summed by one task; the
+    driver gets the 4 MB of the sums."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int32)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b.column("cells"):
-                total = np.minimum(total.astype(np.int64) + np.frombuffer(x.as_buffer(), np.int32), np.iinfo(np.int32).max).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["cells"])
+            for n, x in zip(b.column("n").to_pylist(), b.column("cells"), strict=True):
+                own = total.setdefault(n, np.zeros(CELLS // SLICES, np.int64))
+                own += np.frombuffer(x.as_buffer(), np.int32)
+        if total:
+            sums = [np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(sums)], ["n", "cells"])
 
-    level = cells.repartition(max(1, round(tasks**0.5))).mapInArrow(add, "cells binary").coalesce(1).mapInArrow(add, "cells binary")
-    rows = level.collect()
-    return np.frombuffer(rows[0]["cells"], np.int32).copy() if rows else np.zeros(CELLS, np.int32)
+    out = np.zeros((SLICES, CELLS // SLICES), np.int32)
+    for r in cells.select("n", "cells").repartition(SLICES, "n").mapInArrow(add, "n long, cells binary").collect():  # SLICES rows
+        out[r["n"] + SLICES] = np.frombuffer(r["cells"], np.int32)
+    return out.reshape(-1)
 
 
 def _overlaps(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -293,10 +306,19 @@ def _families(docs: DataFrame, passed: DataFrame, k: int, num: int, den: int) ->
     family = components(held.select(F.col("first").alias("a"), F.col("id").alias("b")))
     member = held.select("id", "comp", "n").distinct().groupBy("id", "comp").agg(F.sum("n").alias("n")).join(family, "id").select("id", "comp", "n", F.col("component").alias("family"))
     member = table(member, "families")
-    blocks = member.groupBy("family").agg(F.expr(f"greatest((count(1) + {BLOCK - 1}) div {BLOCK}, (sum(n) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("blocks"))
-    roles = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    roles = roles.where("blocks = 1 or block <> with")  # pairs within a block are met wherever the block is
-    roles = roles.groupBy("id", "comp").agg(F.collect_list(F.struct("family", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block")).alias("roles"))
+    # sets that link differ in size by den / num at most: those of one band of sizes, or of neighbouring ones
+    member = member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n"))
+    blocks = member.groupBy("family", "band").agg(F.expr(f"greatest((count(1) + {BLOCK - 1}) div {BLOCK}, (sum(n) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("blocks"))
+    blocks = table(blocks, "blocks")
+    placed = member.join(blocks, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # a block meets itself, the others of its band and all of the bands beside it
+    reach = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other")
+    others = placed.select("id", "comp", "family", "band", "block", reach).join(blocks.select("family", F.col("band").alias("other"), F.col("blocks").alias("others")), ["family", "other"])
+    others = others.withColumn("with", F.explode(F.expr("sequence(0L, others - 1)")))
+    one, two = F.struct("band", "block"), F.struct(F.col("other").alias("band"), F.col("with").alias("block"))
+    roles = others.select("id", "comp", "family", F.least(one, two).alias("low"), F.greatest(one, two).alias("high"))
+    place = lambda c: F.xxhash64(f"{c}.band", f"{c}.block")
+    roles = roles.groupBy("id", "comp").agg(F.collect_list(F.struct("family", place("low").alias("low"), place("high").alias("high"))).alias("roles"))
     roles = table(roles, "roles")
     rows = roles.count()
 
@@ -307,12 +329,12 @@ def _families(docs: DataFrame, passed: DataFrame, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("comp"), b.column("roles"), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])], ["id", "comp", "roles", "grams"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(roles, rows), "id").select("id", "comp", "roles", "text")
-    own = own.mapInArrow(sets, "id long, comp long, roles array<struct<family: long, low: long, high: long, block: long>>, grams binary")
+    own = own.mapInArrow(sets, "id long, comp long, roles array<struct<family: long, low: long, high: long>>, grams binary")
     sent = own.select("id", "comp", "grams", F.inline("roles")).repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
 
     def links(members: list[tuple]) -> list[tuple[int, int]]:
         """Each document with the first one of its component, by links of the block pair and the components so far."""
-        ids, comp, block, grams = zip(*members, strict=True)
+        ids, comp, grams = zip(*members, strict=True)
         comp = np.unique(np.array(comp), return_inverse=True)[1]
         n = np.array([len(g) for g in grams])
         if len(ids) < 2 or comp.max() == 0:
@@ -342,15 +364,15 @@ def _families(docs: DataFrame, passed: DataFrame, k: int, num: int, den: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("id", "comp", "family", "low", "high", "block")]
-            for i, (name, comp, family, low, high, block) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("id", "comp", "family", "low", "high")]
+            for i, (name, comp, family, low, high) in enumerate(zip(*columns, strict=True)):
                 if (family, low, high) != at:
                     yield from out()
                     at, members = (family, low, high), []
-                members.append((name, comp, block, np.frombuffer(batch.column("grams")[i].as_py(), np.uint64)))
+                members.append((name, comp, np.frombuffer(batch.column("grams")[i].as_py(), np.uint64)))
         yield from out()
 
-    return sent.select("id", "comp", "family", "low", "high", "block", "grams").mapInArrow(compare, "a long, b long")
+    return sent.select("id", "comp", "family", "low", "high", "grams").mapInArrow(compare, "a long, b long")
 
 
 def _across(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, busy: np.ndarray) -> DataFrame:
@@ -371,7 +393,7 @@ def _across(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, bus
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs (columns doc_id and text)."""
     features = table(_features(docs, k), "shingles")
-    cells = features.where("n < 0").select("cells")
+    cells = features.where("n < 0").select("n", "cells")
     rows = features.where("n >= 0").select("doc_id", "n", "sig1", "sig2", "stars")
     named = rows.where("n > 0 and doc_id is not null")
     classes = table(named.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("stars").alias("stars")), "classes")
@@ -381,14 +403,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     same = several.select("a", F.explode("reps").alias("b"))
     # star
     stars = classes.select("rep", "n", F.explode("stars").alias("star"))
-    leaders = stars.groupBy("star").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("star", F.col("lead.rep").alias("a"), F.col("lead.n").alias("na"))
-    pairs = stars.join(leaders, "star").where((F.col("rep") != F.col("a")) & (F.least("n", "na") * den >= F.greatest("n", "na") * num)).select("a", F.col("rep").alias("b")).distinct()
+    leaders = stars.groupBy("star").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    leaders = table(leaders.select("star", F.col("lead.rep").alias("a"), F.col("lead.n").alias("na"), F.expr(f"(m + {STAR - 1}) div {STAR}").alias("parts")), "leaders")
+    hot = leaders.where("parts > 1").select("star", "parts")  # a row for each STAR classes at most
+    stars = stars.join(small(hot, hot.count()), "star", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    leaders = leaders.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
+    pairs = stars.join(leaders, ["star", "part"]).where((F.col("rep") != F.col("a")) & (F.least("n", "na") * den >= F.greatest("n", "na") * num)).select("a", F.col("rep").alias("b")).distinct()
     linked = table(_overlaps(docs, pairs, k, num, den).unionByName(same), "links")
     parts = components(linked)
     # product across the components found so far
     count = classes.count()
     named_parts = table(classes.select("rep").distinct().join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "parts")
-    busy = _busy(cells, features.rdd.getNumPartitions())
+    busy = _busy(cells)
     more = table(_across(docs, small(named_parts, count), k, num, den, busy), "links")
     if not more.isEmpty():
         parts = components(more.unionByName(parts.select(F.col("component").alias("a"), F.col("id").alias("b"))))
@@ -399,15 +425,24 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without the documents whose component has a smaller doc_id; of rows that share a doc_id the one
-    with the least text hash stays.  Rows without doc_id or without words link with nothing and stay."""
-    found = table(join(docs, k, num, den), "components")
-    gone = table(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    left = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    twice = table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """The rows of docs without near copies: of each component of linked texts the row with the smallest doc_id stays (of
+    several such, the one with the least hash), and of equal rows one.  Rows are told apart by doc_id and text, so texts
+    that share a doc_id link by their words alone.  Rows without doc_id or without words link with nothing and stay, but
+    for equal rows with a doc_id."""
+    uid, first, nth = fresh(docs, "row_id"), fresh(docs, "first_id"), fresh(docs, "row_nth")
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    found = table(join(docs.select(own.alias("doc_id"), "text"), k, num, den).where("doc_id is not null").groupBy("doc_id", "component_id").count(), "components")
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component_id")
+    linked = table(found.join(several, "component_id").select(F.col("doc_id").alias(uid), "component_id"), "linked")
+    # of the linked rows, the doc_ids, and the first of each component
+    ids = docs.select(own.alias(uid), F.col("doc_id").cast("long").alias(first)).join(small(linked, linked.count()), uid).distinct()
+    ids = table(ids.select(uid, first, "component_id"), "linked-ids")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(first, uid))[uid].alias(uid))
+    gone = table(ids.select(uid).join(kept, uid, "left_anti").distinct(), "copies")
+    left = docs.withColumn(uid, own).join(small(gone, gone.count()), uid, "left_anti")
+    twice = table(found.where("count > 1").select(F.col("doc_id").alias(uid)), "repeated")
     n = twice.count()
     if not n:
-        return left
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    several = left.join(small(twice, n), "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1")
-    return left.join(small(twice, n), "doc_id", "left_anti").select(docs.columns).unionByName(several.select(docs.columns))
+        return left.select(docs.columns)
+    equal = left.join(small(twice, n), uid, "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(uid).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), uid))).where(F.col(nth) == 1)
+    return left.join(small(twice, n), uid, "left_anti").select(docs.columns).unionByName(equal.select(docs.columns))
