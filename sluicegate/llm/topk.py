@@ -10,8 +10,9 @@ one key of one exchange, so a task holds one group of queries and streams its st
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; a query meets candidates
 of its own length only; rows with the query's own vec_id are never its candidates; repeated rows are separate
-candidates; a null vec_id is no query and no candidate; a query that occurs more than once counts once, by the first of
-its vectors in byte order; other columns are ignored.
+candidates; a null vec_id is no query and no candidate; a query that occurs more than once counts once, by the least of
+its vectors that take part; scores that may pass 2**53 in size, where doubles are no longer exact, raise; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -44,12 +45,15 @@ class Best:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
+        self.norm = np.sqrt((x * x).sum(1).max()) if len(x) else 0.0
         self.stats = [statistics(x, s) for s in RESOLUTIONS]
         self.score = np.full((len(ids), k), -np.inf)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.pairs = self.exact = 0
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if len(x) and self.norm * np.sqrt((x * x).sum(1).max()) >= 2**53:
+            raise ValueError("inner products beyond 2**53 are not exact in doubles")
         bar = self.score[:, -1]
         live = None
         for own, s in zip(self.stats, RESOLUTIONS, strict=True):
@@ -114,10 +118,13 @@ def pack(vectors: DataFrame, rows: int, scale: float | None, key: str, vector: s
     return vectors.select(F.col(key).cast("long").alias(key), vector).where(F.col(vector).isNotNull()).mapInArrow(run, "dim int, ids binary, values binary")
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float | None = 256.0, key: str = "vec_id", vector: str = "embedding", group: int = GROUP) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k candidates of the highest inner product for each query."""
+def search(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float | None = 256.0, key: str = "vec_id", vector: str = "embedding", group: int = GROUP, report: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k candidates of the highest inner product for each query; with report instead
+    (pairs, exact): the pairs that met, and those that the bounds left for the exact product."""
     spark = queries.sparkSession
-    one = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.min(vector).alias(vector))
+    # a vector without part in the search is no vector of its query, whatever its place in the order
+    sound = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    one = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(sound).groupBy(F.col(key).cast("long").alias(key)).agg(F.min(vector).alias(vector))
     n = one.count()
     groups = max(1, -(-n // group))
     stripes = max(1, -(-2 * spark.sparkContext.defaultParallelism // groups))
@@ -134,6 +141,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float |
 
         def out() -> Iterator[pa.RecordBatch]:
             for b in best:
+                if report:
+                    yield pa.RecordBatch.from_arrays([pa.array([b.pairs]), pa.array([b.exact]), pa.array([0])], ["query_id", "vec_id", "score"])
+                    continue
                 q, r = np.nonzero(np.isfinite(b.score))
                 yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(b.vec[q, r]), pa.array(b.score[q, r].astype(np.int64) if scale is not None else b.score[q, r])], ["query_id", "vec_id", "score"])
 
@@ -152,7 +162,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float |
                         b.meet(ids, x)
         yield from out()
 
-    kind = "double" if scale is None else "long"
+    kind = "double" if scale is None and not report else "long"
     found = both.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    if report:
+        return found.agg(F.sum("query_id").alias("pairs"), F.sum("vec_id").alias("exact"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
