@@ -18,7 +18,7 @@ Counts cover all training documents.  The most frequent words (``top_words``, a
 shorten the exchange; every other word occurrence meets its scores in a join on the word's hash.
 
 Defined results: a null or empty text is the end token alone; without training documents the scores are those of the
-lattice with the vocabulary's own weights and an end probability of 1/2; rows with null doc_id are training rows;
+lattice with the vocabulary's own weights, words and the end having 1/2 each; rows with null doc_id are training rows;
 repeated rows count as often as they occur; other columns are ignored.
 """
 
@@ -295,7 +295,16 @@ class Model:
         for _ in range(rounds if self.types.any() else 0):
             self._fit(words)
         self.words = table(self._weighted(words), "lm-words")
-        top = _gathered(self.words.orderBy(F.desc("c"), "h").limit(top_words).select("h", "b", *(F.col("s")[z] for z in range(k))))  # top_words at most
+        # words above the least count that leaves top_words at most, by a histogram of counts in steps of 2 ** (1 / 16)
+        step = F.floor(16 * F.log2("c")).alias("step")
+        levels = sorted(map(tuple, self.words.where("c > 0").groupBy(step).count().collect()), reverse=True)  # 1,008 at most
+        n, least = 0, None
+        for level, m in levels:
+            if (n := n + m) > top_words:
+                break
+            least = level
+        often = F.lit(False) if least is None else F.floor(16 * F.log2("c")) >= least
+        top = _gathered(self.words.where(often).select("h", "b", *(F.col("s")[z] for z in range(k))))  # top_words at most
         h = top[:, 0].copy().view(np.uint64)
         order = np.argsort(h)
         self.top_h, self.top_base, self.top_score = h[order], top[order, 1], top[order, 2:]
@@ -335,7 +344,7 @@ class Model:
     def scores(self, c: np.ndarray, ln: np.ndarray) -> np.ndarray:
         """log10 P of words [word, component] from their counts and ln lattice."""
         back = ln + np.log(np.maximum(self.discount * self.types, 1e-300) / np.maximum(self.tokens, 1))
-        back = np.where(self.types > 0, back, ln)  # a component without words is the bare lattice
+        back = np.where(self.types > 0, back, ln + math.log(0.5))  # a component without words: the bare lattice, and an end as likely as a word
         with np.errstate(divide="ignore"):
             seen = np.log(np.maximum(c - self.discount, 0) / np.maximum(self.tokens, 1))
         return np.logaddexp(seen, back) / math.log(10)
@@ -344,7 +353,7 @@ class Model:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
     def end_scores(self) -> np.ndarray:
-        return np.log10(np.where(self.ends > 0, self.ends, 0.5 * np.maximum(self.tokens, 1)) / np.maximum(self.tokens, 1))
+        return np.log10(np.where(self.types > 0, self.ends, 0.5 * np.maximum(self.tokens, 1)) / np.maximum(self.tokens, 1))
 
     def _weighted(self, words: DataFrame) -> DataFrame:
         """(h, c, b, s): hash, count, base score and scores of each training word."""
