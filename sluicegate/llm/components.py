@@ -8,7 +8,8 @@ from sluicegate.llm.common import table
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): each id of the edges and the smallest id reachable from it.
+    """(id, component): each id of the edges and the smallest id reachable from it.  Edges with a null end or with equal
+    ends link nothing.
 
     Every round takes the least label among a node's neighbours and then the label of that label; written tables in the
     shared folder cut the lineage.  Only the number of changes comes to the driver.

@@ -37,6 +37,8 @@ REGISTERS = 256
 CUT_BITS, LONGEST = 7, 512
 #: Bands of a walk and sampled steps of a band.
 BANDS, SAMPLES = 16, 4
+#: Registers of a band of the fingerprint: texts that agree in all registers of one band are compared.
+WIDTH = 3
 
 _U = np.uint64
 _STEPS = 2 * LONGEST
@@ -243,7 +245,7 @@ def distance(a: str, b: str, most: int) -> int | None:
     return score if score <= most else None
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 8, text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = WIDTH, text: str = "text") -> DataFrame:
     """(doc_id, class_id): the smallest doc_id that verified links reach, for every named row of docs.
 
     Bands are runs of width registers; a link is 1 - edit distance / longer length >= similarity, between the smallest
@@ -254,7 +256,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 8, text:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             f = fingerprints([(t or "").encode() for t in b.column("text").to_pylist()])
-            bands = f.reshape(len(f), -1, width)
+            bands = f[:, : REGISTERS // width * width].reshape(len(f), -1, width)
             keys = [[int.from_bytes(hashlib.blake2b(bytes([i]) + x.tobytes(), digest_size=8).digest(), "little", signed=True) for i, x in enumerate(r) if (x >= 0).any()] for r in bands]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "bands"])
 

@@ -501,3 +501,181 @@ def test_seeds_met_in_their_step(spark, monkeypatch):
         monkeypatch.setattr(passages, "OFTEN", often)
         found.append(sorted(map(tuple, passages.spans(passages.passages(df)).collect())))
     assert found[0] == found[1] == found[2] == [(d, d % 7, d % 7 + 55) for d in range(2, 120) if d % 3]
+
+
+def _scalar_fingerprint(text):
+    """A walk at a time, in plain Python, from the rules of the module's docstring and its tables."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 31
+        x = x * 0x9E3779B97F4A7C15 & mask
+        x ^= x >> 29
+        x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    cuts, start = [], 0
+    for i in range(len(text)):
+        h = 0
+        for back, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)):
+            h = (h + text[i - back] * m) & 0xFFFFFFFF if i >= back else h
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & 0xFFFFFFFF
+        if i == len(text) - 1 or (i >= 6 and h >> (32 - fingerprints.CUT_BITS) == 0):
+            cuts += [(a, min(a + fingerprints.LONGEST, i + 1)) for a in range(start, i + 1, fingerprints.LONGEST)]
+            start = i + 1
+    best = {}
+    for a, z in cuts:
+        values, at = [0] * len(fingerprints._SAMPLED), a
+        for step in range(2 * fingerprints.LONGEST):
+            if at >= z:
+                break
+            for band, chosen in enumerate(fingerprints._SAMPLED.tolist()):
+                for _ in range(chosen.count(step)):
+                    values[band] = (values[band] * 0x9FB21C651E98DF25 + text[at] + 1 + (band << 16) + (step << 24)) & mask
+            at += mix(step * 256 + text[at] + 77) & 1
+        for v in values:
+            if v:
+                cell = mix(v) & (fingerprints.REGISTERS - 1)
+                best[cell] = min(best.get(cell, mask), mix(v))
+    return "".join(f"{best[i] >> 20 & 255:02x}" if i in best else "--" for i in range(fingerprints.REGISTERS))
+
+
+def test_fingerprints_beside_scalar_walks(rows):
+    texts = [b"", b"a", b"abcdefgh" * 3, b"\n" * 1500, "\u00e9\u4e2d".encode() * 90] + [r["text"].encode()[:3000] for r in rows[:25]]
+    assert fingerprints.shown(fingerprints.fingerprints(texts)) == [_scalar_fingerprint(t) for t in texts]
+
+
+def _edit_share(a, b):
+    d = fingerprints.distance(a, b, max(len(a), len(b)))
+    return 1 - d / max(len(a), len(b), 1)
+
+
+def test_near_copies_beside_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    texts = []
+    for rate in (0, 0.01, 0.03, 0.05):
+        for _ in range(12):
+            t = " ".join(word() for _ in range(250))
+            texts += [t, "".join(rng.choice("xyz ") if rng.random() < rate else c for c in t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_copies(df).collect()}
+    linked = [(i, j) for j in range(len(texts)) for i in range(max(0, j - 1), j) if _edit_share(texts[i], texts[j]) >= 0.8]
+    assert len(linked) == 48 and all(got[j] == got[i] for i, j in linked if i < 48)  # up to 1 % of characters: all
+    assert sum(got[j] == got[i] for i, j in linked) >= 0.9 * len(linked)
+    assert all(_edit_share(texts[c], texts[d]) >= 0.8 for d, c in got.items())
+
+
+def test_statistics_beside_plain_python():
+    rng = random.Random(12)
+    texts = ["", "   ", "One two.", "a\nb\na\nb c", "AAA AAA aaa!!", "\u00e9t\u00e9 \u4e2d\u6587 | x"] + ["".join(rng.choice("aB1 .\n!|\u00e9$") for _ in range(rng.randrange(200))) for _ in range(40)]
+    got = quality.statistics(pa.array(texts))
+    at = {name: i for i, name in enumerate(quality.FEATURES)}
+    for t, x in zip(texts, got, strict=True):
+        raw, w = t.encode(), re.findall(r"[^\x20\x09-\x0D]+", t)
+        low = [v.translate(UP) for v in w]
+        n, b, lines = max(len(w), 1), max(len(raw), 1), [v for v in (re.findall(r"[^\x20\x09-\x0D]+", li.translate(UP)) for li in t.split("\n")) if v]
+        marks = [c for c in raw if 33 <= c < 127 and not chr(c).isalnum()]
+        pairs = list(zip(low, low[1:]))
+        letters = lambda v: sum(c > 127 or chr(c).isalpha() for c in v.encode())
+        want = {
+            "chars": len(t), "words": len(w), "lines": len(lines), "longest_word": max((len(v.encode()) for v in w), default=0), "word_length": sum(len(v.encode()) for v in w) / n,
+            "letter_share": sum(c > 127 or chr(c).isalpha() for c in raw) / b, "digit_share": sum(48 <= c < 58 for c in raw) / b, "mark_share": len(marks) / b, "upper_share": sum(65 <= c < 91 for c in raw) / b,
+            "exclamation_share": raw.count(b"!") / b, "bar_share": raw.count(b"|") / b, "line_words": len(w) / max(len(lines), 1), "type_share": len(set(low)) / n, "top_word_share": max(Counter(low).values(), default=0) / n,
+            "repeated_line_share": 1 - len({tuple(v) for v in lines}) / max(len(lines), 1), "worded_share": sum(letters(v) > 0 for v in w) / n, "marked_word_share": sum(letters(v) < len(v.encode()) for v in w) / n,
+            "short_word_share": sum(len(v.encode()) <= 3 for v in w) / n, "repeated_pair_share": 1 - len(set(pairs)) / max(len(pairs), 1), "distinct_bytes": len(set(raw)),
+        }
+        assert {k: x[at[k]] for k in want} == pytest.approx(want), t
+
+
+def test_first_split_beside_every_threshold():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (300, 3)).astype(float)
+    y = (rng.random(300) < 0.2 + 0.6 * (x[:, 1] > 11)).astype(float)
+    model = quality.fit(x, y, trees=1, depth=1, bins=64, penalty=1.0, least=2.0)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    best = {}
+    for f in range(3):
+        for t in range(20):
+            left = x[:, f] <= t
+            if h[left].sum() >= 2 and h[~left].sum() >= 2:
+                best[f, t] = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left))
+    assert (int(model.feature[0, 0]), model.threshold[0, 0]) in [k for k, v in best.items() if v >= max(best.values()) - 1e-9]
+    left = x[:, model.feature[0, 0]] <= model.threshold[0, 0]
+    assert model.leaf[0] == pytest.approx([-0.15 * g[s].sum() / (h[s].sum() + 1) for s in (left, ~left)])
+
+
+def _lattice_words(pieces):
+    """P(word) in a component by a plain recursion over all segmentations."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    number, names = {}, 0
+    for i in range(m.get_piece_size()):
+        if m.is_byte(i):
+            names += 1
+        elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
+            raw = m.id_to_piece(i).replace("\u2581", " ").encode()
+            if b" " not in raw[1:]:
+                number[raw] = names
+                names += 1
+
+    def of(word, z):
+        data = b" " + word.encode()
+        total = [1.0] + [0.0] * len(data)
+        for i in range(len(data)):
+            weights = (pieces.start if i == 0 else pieces.inner)[z]
+            if i:
+                total[i + 1] += total[i] * math.exp(weights[pieces.byte[data[i]]])
+            for j in range(i + 1, min(len(data), i + pieces.longest) + 1):
+                if (at := number.get(data[i:j])) is not None:
+                    total[j] += total[i] * math.exp(weights[at])
+        return total[-1] * math.exp(pieces.stop[z])
+
+    return of
+
+
+def test_scores_beside_a_plain_model(spark):
+    rng = random.Random(13)
+    vocabulary = {"en": ["the", "house", "of", "green", "xqz", "walking"], "de": ["das", "haus", "von", "gr\u00fcn", "the"]}
+    rows = [(d, " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.randrange(12))) + " " * (d % 2) + f"rare{d}", lang) for d in range(40) for lang in [rng.choice(["en", "de"])]] + [(90, "", "en"), (91, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    model = lattice.Model(docs.where(~lattice.held_out()), PIECE)
+    for start, inner, stop in zip(model.pieces.start, model.pieces.inner, model.pieces.stop, strict=True):
+        assert np.exp(start).sum() == pytest.approx(1) and np.exp(inner).sum() + math.exp(stop) == pytest.approx(1)
+    word = _lattice_words(model.pieces)
+    names = [None, *model.names]
+    assert set(model.names) == {"en", "de"}
+    count = [Counter() for _ in names]
+    for d, t, lang in rows:
+        if not held(d):
+            count[names.index(lang)].update([*words(t), None])
+    ends = [c.pop(None, 0) for c in count]
+    n = [sum(c.values()) + e for c, e in zip(count, ends, strict=True)]
+    discount = [min(max((o := sum(v == 1 for v in c.values())) / max(o + 2 * sum(v == 2 for v in c.values()), 1), 0.1), 0.95) for c in count]
+    end = [e / m if c else 0.5 for e, m, c in zip(ends, n, count, strict=True)]
+    share = [(e + 0.5) / (sum(ends) + 0.5 * len(ends)) for e in ends]
+
+    def of(w, z):
+        if not count[z]:
+            return 0.5 * word(w, z)
+        return max(count[z][w] - discount[z], 0) / n[z] + discount[z] * len(count[z]) / n[z] * word(w, z)
+
+    def document(t, z):
+        return math.prod([end[z], *(of(w, z) for w in words(t))])
+
+    assert all(sum(of(w, z) for w in {v for c in count for v in c}) + end[z] <= 1 + 1e-9 for z in range(len(names)))
+    got = {r["doc_id"]: r["score"] for r in lattice.score(docs, model, lattice.held_out()).collect()}
+    assert got == pytest.approx({d: math.log10(sum(share[z] * document(t, z) for z in range(len(names)))) for d, t, _ in rows})
+
+
+def test_expected_counts_beside_all_segmentations():
+    pieces = lattice.Pieces.load(PIECE)
+    start, inner = pieces.lattices([b"the", b"thing"]).expected(np.zeros(2, int))
+    assert start.sum() == pytest.approx(2)  # each word begins with one piece
+    before = pieces.log_words([b"the", b"thing"]).sum()
+    pieces.weigh(start, inner, np.array([2.0]))
+    assert pieces.log_words([b"the", b"thing"]).sum() > before

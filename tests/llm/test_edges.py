@@ -1,10 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns: each operator has a defined result."""
 
+import hashlib
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from sluicegate.llm import bpe, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, topk
+from sluicegate.llm.components import components
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, row long, component_id long, n long, start long"
@@ -72,10 +75,14 @@ def test_counts(odd, empty):
 
 def test_topk(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, [-1.0, 0.5]), (None, [1.0, 1.0]), (50, [0.5, 0.5])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, [-1.0, 0.5]), (None, [1.0, 1.0]), (50, [0.5, 0.5]), (100, [None, 1.0]), (100, [nan, 1.0]), (100, []), (100, [1.0, 0.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(3))
     got = [tuple(r) for r in topk.search(d.where("vec_id % 50 = 0"), d).orderBy("query_id", "rank").collect()]
-    assert [g for g in got if g[0] == 0] == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536), (0, 4, 50, 32768), (0, 5, 7, -65536)]
+    assert [g for g in got if g[0] == 0] == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536), (0, 4, 100, 65536), (0, 5, 50, 32768)]
+    assert [g for g in got if g[0] == 100] == [(100, 1, 0, 65536), (100, 2, 1, 65536), (100, 3, 2, 65536), (100, 4, 2, 65536), (100, 5, 50, 32768)]
+    wide = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="not exact"):
+        topk.search(wide.where("vec_id = 0"), wide).collect()
     assert len([g for g in got if g[0] == 50]) == 5
     assert topk.search(d.where("vec_id is null"), d).count() == 0
 
@@ -129,3 +136,71 @@ def test_passages(odd, empty):
     left = passages.without_passages(odd)
     assert left.columns == odd.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([1, 2, 3, 4, 6, 7, None], key=str)
     assert passages.without_passages(empty).count() == 0
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, row_id int, first_id int, row_nth int, cuts int, cut_id int, mix_row int, mix_taken int, mix_n int, mix_uid int, mix_part int, mix_nth int, mix_base int, Row_ID0 int, id int, roles int, taken int, n int"
+
+
+@pytest.fixture(scope="module")
+def clash(spark, odd):
+    numbers = [f.split(" ")[0] for f in CLASH.split(", ")[5:]]
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    return plain.select("*", *(F.lit(i).alias(n) for i, n in enumerate(numbers)))
+
+
+@pytest.mark.parametrize("stage", [jaccard.keep_one, passages.without_passages, mixing.mixed])
+def test_columns_with_the_names_of_helpers(clash, stage):
+    out = stage(clash)
+    assert out.columns == clash.columns
+    rows = out.collect()
+    assert rows and all(list(r)[5:] == list(range(len(clash.columns) - 5)) for r in rows)
+
+
+def test_rows_that_share_a_doc_id_with_other_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    docs = table(spark, [(1, one, "en", "a"), (9, one, "en", "a"), (9, two, "en", "a"), (9, two, "en", "a"), (9, three, "en", "a"), (12, three, "en", "a")])
+    kept = sorted((r["doc_id"], r["text"][0]) for r in jaccard.keep_one(docs).collect())
+    assert kept == [(1, "x"), (9, "y"), (9, "z")]
+
+
+def test_equal_rows_share_all_that_a_mix_takes(spark):
+    rows = [(None, "a b c d e", "en", "s")] * 7 + [(3, "f g h", "en", "t"), (4, "i j", "en", "u"), (None, "", "en", "s"), (None, "", "en", "s")]
+    docs = table(spark, rows).repartition(4)
+    taken = mixing.Mix(docs, block_words=4).result().agg(F.sum("taken")).first()[0]
+    result = mixing.Mix(docs, block_words=4).result().where("doc_id is null and size > 0").collect()
+    assert len(result) == 7 and max(r["taken"] for r in result) - min(r["taken"] for r in result) <= 1
+    assert taken == sum(len(r["text"].split()) for r in mixing.mixed(docs, block_words=4).collect())
+
+
+def test_digests(spark, odd, empty):
+    got = bpe.digests(odd.where("doc_id is null or doc_id < 4"), BYTE, with_ids=True).collect()
+    none = hashlib.sha256(b"").hexdigest()
+    assert {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"])) for r in got if r["doc_id"] in (1, 2)} == {(0, none, none, ())}
+    assert bpe.digests(empty, BYTE, with_ids=True).count() == 0
+
+
+def test_components_without_ends(spark):
+    edges = spark.createDataFrame([(1, None), (None, 2), (None, None), (3, 3), (5, 4), (5, 4)], "a long, b long")
+    assert {tuple(r) for r in components(edges).collect()} == {(4, 4), (5, 4)}
+
+
+def test_near_copies_ties(spark, empty):
+    same = "some words that occur again and again in this text"
+    docs = table(spark, [(2, same, "en", "a"), (1, same, "en", "a"), (1, same, "en", "a"), (3, same + "!", "en", "a"), (4, "other", "en", "a"), (None, same, "en", "a")])
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_copies(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert fingerprints.near_copies(empty).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["odd", "empty", "clash"])
+def test_pipeline_stages(spark, request, labels, rows, tmp_path):
+    import corpus_pipeline as P
+
+    docs = request.getfixturevalue(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    at = docs
+    for _, stage in P.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path)).cache()
+        assert at.columns == docs.columns and at.count() <= 2 * docs.count()
+    assert P.run(spark, str(tmp_path)).count() == at.count()
