@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Characters that decorate a label, and prefixes before it.
@@ -192,3 +193,17 @@ def entropy(counts: Column) -> Column:
     """Bits of an array of counts."""
     total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
     return F.aggregate(counts, F.lit(0.0), lambda s, x: s - F.when(x > 0, x / total * F.log2(x / total)).otherwise(0.0))
+
+
+def plain(x: Column | str) -> Column:
+    """The compatibility form (NFKC) in lower case, with anything but a-z, 0-9 and space as a space, spaces joined."""
+
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    x = _c(x)
+    # the form leaves ASCII as it is, so only other texts go through Python
+    text = F.when(F.length(x) == F.octet_length(x), x).otherwise(form(x))
+    text = F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9 ]", " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))

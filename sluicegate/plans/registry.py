@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from sluicegate.plans.base import ORACLES, QUERIES
-from sluicegate.plans import q_corpus, q_estimates, q_gates, q_labelled, q_selection, q_tables  # noqa: F401
+from sluicegate.plans import q_corpus, q_estimates, q_gates, q_labelled, q_selection, q_signals, q_tables  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

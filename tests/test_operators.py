@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluicegate.operators import corpus as O, deferral as D, documents as U, estimates as E, graph, joined as J, ledger as L, ranking as R, selection as S, turns as V
+from sluicegate.operators import corpus as O, deferral as D, documents as U, estimates as E, graph, joined as J, ledger as L, ranking as R, selection as S, signals as G, turns as V
 from sluicegate.operators.ranks import global_rank, running
 from sluicegate.plans.arms import arms
 
@@ -183,3 +183,78 @@ def test_threshold_walks(spark):
     assert R.threshold_descent(d, "c", "ok", 0.8).first()["threshold"] == 0.8
     found = R.found_at_precision(d, "c", "ok", 0.8).first()
     assert found["found"] == 6 and found["threshold"] == 0.5
+
+
+def _balanced(rows, pred):
+    by = {}
+    for r, p in zip(rows, pred):
+        by.setdefault(r["gold"], []).append(p == r["gold"])
+    return sum(sum(v) / len(v) for v in by.values()) / len(by)
+
+
+def test_headroom_beside_a_loop(spark, data):
+    rows = [r.asDict() for r in arms(spark, data).orderBy("item_idx").collect()]
+    fraction, step = 0.23, 0.07
+    sent, plain = set(), set()
+    for fold in range(5):
+        test = sorted((r for r in rows if r["fold"] == fold), key=lambda r: (r["free_conf"], r["item_idx"]))
+        room, chunk = int(fraction * len(test)), max(1, int(step * len(test)))
+        plain |= {r["item_idx"] for r in test[:room]}
+        total = {}
+        for r in test:
+            total[r["gold"]] = total.get(r["gold"], 0) + 1
+        worth = lambda r: ((r["expert_pred"] == r["gold"]) - (r["free_pred"] == r["gold"])) / (len(total) * total[r["gold"]])
+        queue = {c: [r for r in test if r["free_pred"] == c] for c in sorted({r["free_pred"] for r in test})}
+        while room:
+            offers = [(sum(map(worth, q[: min(chunk, room)])) / len(q[: min(chunk, room)]), -c) for c, q in queue.items() if q]
+            value, c = max(offers, default=(0, 0))
+            if value <= 0:
+                break
+            took = queue[-c][: min(chunk, room)]
+            sent |= {r["item_idx"] for r in took}
+            queue[-c] = queue[-c][len(took) :]
+            room -= len(took)
+    route = lambda chosen: [r["expert_pred"] if r["item_idx"] in chosen else r["free_pred"] for r in rows]
+    got = G.headroom(arms(spark, data), fraction, 2, "t", step).first()
+    assert got["oracle_per_class"] == pytest.approx(_balanced(rows, route(sent))) and got["oracle_global"] == pytest.approx(_balanced(rows, route(plain)))
+    assert got["headroom"] == pytest.approx(got["oracle_per_class"] - got["oracle_global"]) and got["over_null"] == pytest.approx(got["headroom"] - got["null_headroom"])
+    assert got["worth_it"] == (got["over_null"] >= got["half_width"])
+
+
+def test_shuffled_classes_keep_their_sizes(spark, data):
+    a = arms(spark, data)
+    rows = G.shuffled_classes(a, "x").collect()
+    count = lambda name: {c: sum(r[name] == c for r in rows) for c in range(10)}
+    assert len(rows) == a.count() and count("group") == count("free_pred") and sum(r["group"] != r["free_pred"] for r in rows) > len(rows) / 2
+
+
+def test_group_rungs_keep_groups_whole(spark):
+    d = spark.createDataFrame([(g, i, (g + (i == 0)) % 3) for g in range(40) for i in range(1 + g % 5)], "g int, i int, y int")
+    small, large = ({(r["g"], r["i"]) for r in G.group_rung(d, "g", "y", f, "s").collect()} for f in (0.25, 0.6))
+    sizes = {g: 1 + g % 5 for g in range(40)}
+    assert small < large and all(sum(x[0] == g for x in part) in (0, sizes[g]) for part in (small, large) for g in sizes)
+
+
+def test_router_learns_who_is_right(spark):
+    rows = [(i, i % 5, i % 2, (i % 2) if i % 3 else 1 - i % 2, (i % 2) if i % 3 == 0 else 1 - i % 2, float(i % 3 == 0)) for i in range(300)]
+    d = spark.createDataFrame(rows, "item_idx int, fold int, gold int, free_pred int, expert_pred int, x double")
+    for kind in ("logistic", "trees"):
+        got = G.router_scores(d, ["x"], kind, 5).collect()
+        assert len(got) == 300 and all((r["score"] < 0) == (r["x"] == 1.0) for r in got)
+    always = d.withColumn("expert_pred", d["gold"])
+    assert G.router_scores(always, ["x"]).where("score > 0").count() == 0
+
+
+def test_quoted_sections(spark):
+    text = "One two three four. Five six\nseven eight, nine ten."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    sections = spark.createDataFrame([(1, 0, 20), (1, 20, 60)], "doc_id int, start int, end int")
+    asked = spark.createDataFrame([(1, "two, three four"), (1, "seven eight nine"), (1, "one two"), (1, "not in there"), (1, None), (2, "two three four")], "doc_id int, evidence string")
+    assert {(r["evidence"], r["start"]) for r in G.quoted_section(asked, sections, docs).collect()} == {("two, three four", 0), ("seven eight nine", 20)}
+
+
+def test_plain_text(spark):
+    from sluicegate.functions.text import plain
+
+    d = spark.createDataFrame([("\uff21\uff22c  D-e",), ("\u2460 x\u00b2",), (None,), ("",)], "t string")
+    assert [r[0] for r in d.select(plain("t")).collect()] == ["abc d e", "1 x2", None, ""]
