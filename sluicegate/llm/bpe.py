@@ -1,9 +1,10 @@
 """Operator 3, BPE encoding and decoding: batched numpy merge rounds.
 
-The symbols of many pre-tokens lie in one flat array.  Each round looks up every adjacent pair by binary search in the
-sorted pair keys, takes the lowest rank of each pre-token, merges all its occurrences from left to right and drops
-pre-tokens without a known pair.  Texts are cut at single spaces between visible characters, where a pre-token always
-begins, so that pieces repeat and each distinct piece of a step is merged once.
+The symbols of many pre-tokens lie in one flat array.  Each round takes the lowest rank of each pre-token's adjacent
+pairs, merges all its occurrences from left to right, drops pre-tokens without a known pair and looks up the new pairs by
+binary search in the sorted pair keys.  Texts are cut at single spaces between visible characters and before a word's
+closing marks, where a pre-token always begins, so that parts repeat; each distinct part is merged once, and a bounded
+table keeps its ids under a 64-bit hash.
 
 Defined results: a null text counts as empty; an empty text has no ids; a literal added token in a text becomes its id;
 repeated rows are encoded as often as they occur; other columns are ignored.
@@ -12,15 +13,18 @@ repeated rows are encoded as often as they occur; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sluicegate.llm.common import STEP_BYTES, steps
+from sluicegate.llm.common import STEP_BYTES, span_hashes, steps, utf8
+from sluicegate.llm.idtable import CLOSING, LETTER, Table, spans, stems
 
 #: Fixed value: the byte-level pre-token pattern of the vocabulary file's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,18 +71,25 @@ class Merger:
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(raw), np.uint8)
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one flat array, and the number of ids of each word."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
+    def merge(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one flat array, and the number of ids of each word.  data: the words' bytes, joined.
+
+        A round merges the lowest-ranked pairs of every word at once; then only pairs with a new symbol are looked up.
+        """
+        symbol = self.of_byte[data]
+        word = np.repeat(np.arange(len(lengths)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        last = len(self.key) - 1
+        at = np.full(len(symbol), -1)  # the place of each symbol's pair with the next among the keys
+
+        def look(i: np.ndarray) -> None:
+            i = i[i < len(symbol) - 1]
+            key = (symbol[i] << 32) | symbol[i + 1]
+            found = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            at[i] = np.where((self.key[found] == key) & (word[i + 1] == word[i]), found, -1)
+
+        look(np.arange(len(symbol)))
         while len(symbol):
-            key = (symbol[:-1] << 32) | symbol[1:]
-            at = np.minimum(np.searchsorted(self.key, key), last)
-            rank = np.full(len(symbol), _NONE)
-            rank[:-1] = np.where((self.key[at] == key) & (word[1:] == word[:-1]), self.rank[at], _NONE)
+            rank = np.where(at >= 0, self.rank[at], _NONE)
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbol))))
             live = least < _NONE
@@ -92,14 +103,23 @@ class Merger:
             begin = hit[np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))]
             hit = hit[(hit - begin) % 2 == 0]
             symbol[hit] = self.made[at[hit]]
+            new = np.zeros(len(symbol), bool)
+            new[hit] = True
             live[hit + 1] = False
-            symbol, word = symbol[live], word[live]
+            symbol, word, at, new = symbol[live], word[live], at[live], new[live]
+            new = np.flatnonzero(new)
+            # pairs with a new symbol, on its right or on its left
+            changed = np.zeros(len(symbol), bool)
+            changed[new] = True
+            changed[new[(new > 0) & (word[new - 1] == word[new])] - 1] = True
+            at[changed] = -1
+            look(np.flatnonzero(changed))
         if not done:
-            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
         word = np.concatenate([w for w, _ in done])
         symbol = np.concatenate([s for _, s in done])
         order = np.argsort(word, kind="stable")
-        return symbol[order], np.bincount(word, minlength=len(words))
+        return symbol[order], np.bincount(word, minlength=len(lengths))
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, as one array."""
@@ -109,8 +129,18 @@ class Merger:
         return self.token_bytes[shift + np.arange(len(shift))]
 
 
+def _blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white-space character begins at each place; any byte up to 32 counts as one."""
+    text = np.append(data, np.zeros(2, np.uint8))
+    a, b, c = text[at], text[at + 1], text[at + 2]
+    wide = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | np.isin(c, (0xA8, 0xA9, 0xAF)))) | ((b == 0x81) & (c == 0x9F)))
+    wide |= ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return (a <= 32) | ((a == 0xC2) & np.isin(b, (0x85, 0xA0))) | wide
+
+
 class Encoder:
-    """Texts to ids (little-endian uint32 bytes) with a bounded cache of pieces."""
+    """Texts to ids.  Texts are cut into parts at single spaces between visible characters, and before a word's closing
+    marks; a bounded table keeps the ids of parts."""
 
     def __init__(self, path: str):
         self.merger = Merger(path)
@@ -118,67 +148,101 @@ class Encoder:
         added = sorted(self.merger.added, key=len, reverse=True)
         self.added = added
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.pieces: dict[str, bytes | None] = {}  # a piece after a single space; None: its edge is white space
-        self.tokens: dict[str, bytes] = {}  # pre-tokens met elsewhere
+        self.table = Table()
+        self.tokens: dict[str, bytes] = {}  # ids of pre-tokens, for known()
 
     def pretokens(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def _merged(self, groups: list[list[str]]) -> list[bytes]:
-        flat = [t.encode() for g in groups for t in g]
-        ids, counts = self.merger.merge(flat)
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)] * 4
-        raw = ids.astype("<u4").tobytes()
-        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    def learn(self, cache: dict, new: Iterable[str], lead: str = "") -> None:
-        new = list(new)
-        for key, ids in zip(new, self._merged([self.pretokens(lead + x) if lead else [x] for x in new]), strict=True):
-            cache[key] = ids
+    def merged(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after the other, and how many each has."""
+        return self.merger.merge(np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens)))
 
     def known(self, tokens: set[str]) -> dict[str, bytes]:
-        """The pre-token cache, with all of tokens in it."""
+        """A bounded cache of pre-tokens' ids (little-endian uint32 bytes), with all of tokens in it."""
         new = tokens.difference(self.tokens)
         if len(self.tokens) + len(new) > CACHE_PIECES:
             self.tokens = {k: self.tokens[k] for k in tokens - new} if len(tokens) <= CACHE_PIECES else {}
             new = tokens.difference(self.tokens)
-        self.learn(self.tokens, new)
+        if new:
+            ids, n = self.merged([t.encode() for t in new])
+            raw, ends = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+            self.tokens.update(zip(new, [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
         return self.tokens
 
-    def _plain(self, text: str) -> bytes:
-        """Any text without added tokens, pre-token by pre-token."""
-        found = self.pretokens(text)
-        return b"".join(map(self.known(set(found)).__getitem__, found))
-
-    def _odd(self, text: str) -> bytes:
-        parts = self.cut.split(text) if self.cut else [text]
-        return b"".join(np.uint32(self.merger.added[p]).tobytes() if p in self.merger.added else self._plain(p) for p in parts if p)
+    def _odd(self, text: str) -> np.ndarray:
+        """Any text, cut at added tokens first."""
+        out = [np.zeros(0, np.int64)]
+        for part in self.cut.split(text):
+            out.append(np.array([self.merger.added[part]]) if part in self.merger.added else self.merged([t.encode() for t in self.pretokens(part)])[0])
+        return np.concatenate(out)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of all texts (null: empty), one after the other, and where each text begins (with the end)."""
+        data, offsets = utf8(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        # a pre-token begins at a single space between visible characters
+        space = np.flatnonzero(data[1:-1] == 32) + 1
+        space = space[~_blank(data, space + 1) & (data[space - 1] > 32)]
+        wide = space[data[space - 1] >= 128]
+        ends_blank = _blank(data, np.maximum(wide - 2, 0)) & (data[np.maximum(wide - 2, 0)] == 0xC2)
+        ends_blank |= _blank(data, np.maximum(wide - 3, 0)) & (data[np.maximum(wide - 3, 0)] >= 0xE1)
+        begins = np.zeros(len(data), bool)
+        begins[space] = True
+        begins[wide[ends_blank]] = False
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))
+        stem = stems(data, start, end, np.ones(len(start), bool))
+        begins[stem[stem < end]] = True
+        start = np.flatnonzero(begins)
+        ids, ends = self.table.ids(span_hashes(data, start), lambda at: self._learn(data, start[at], np.append(start[1:], len(data))[at]))
+        ends = ends[np.searchsorted(start, offsets)]
+        raw = data.tobytes()
+        if any(a.encode() in raw for a in self.added):  # rare: such texts are encoded anew
+            texts = texts_of(column)
+            found = [self._odd(t) if any(a in t for a in self.added) else ids[i:j] for t, i, j in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            return np.concatenate(found).astype(np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        return ids, ends
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts of data, one after the other, and how many each has.
+
+        A part of ASCII letters, with a space before them or not, is one pre-token, and so is one of closing marks; others
+        are cut by the pattern.
+        """
+        flat, ends = spans(data, start, end - start)
+        lead = flat[ends[:-1]] == 32
+        other = np.concatenate([[0], np.cumsum(~LETTER[flat])])
+        marks = np.concatenate([[0], np.cumsum(~CLOSING[flat])])
+        count = other[ends[1:]] - other[ends[:-1]]
+        plain = ((count == 0) | (lead & (count == 1) & (np.diff(ends) > 1))) | (marks[ends[1:]] == marks[ends[:-1]])
+        rest = np.flatnonzero(~plain)
+        raw = flat.tobytes()
+        found = [[t.encode() for t in self.pretokens(raw[i:j].decode())] for i, j in zip(ends[rest].tolist(), ends[rest + 1].tolist(), strict=True)]
+        number = {t: i for i, t in enumerate(dict.fromkeys(itertools.chain.from_iterable(found)))}
+        own, _ = spans(flat, ends[:-1][plain], np.diff(ends)[plain])
+        tokens = list(number)
+        lengths = np.concatenate([np.diff(ends)[plain], np.fromiter(map(len, tokens), np.int64, len(tokens))])
+        ids, n = self.merger.merge(np.concatenate([own, np.frombuffer(b"".join(tokens), np.uint8)]), lengths)
+        # each part's pre-tokens: itself, or those found
+        many = np.ones(len(start), np.int64)
+        many[rest] = [len(f) for f in found]
+        which = np.zeros(int(many.sum()), np.int64)
+        place = np.cumsum(many) - many
+        which[place[plain]] = np.arange(int(plain.sum()))
+        at = np.repeat(~plain, many)
+        which[at] = int(plain.sum()) + np.array([number[t] for f in found for t in f], np.int64)
+        out, cuts = spans(ids, (np.cumsum(n) - n)[which], n[which])
+        cuts = cuts[np.append(place, len(which))]
+        return out, np.diff(cuts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        seen = set().union(*(s[1:] for s in split))
-        new = seen.difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces = {k: self.pieces[k] for k in seen - new} if len(seen) <= CACHE_PIECES else {}
-            new = seen.difference(self.pieces)
-        good = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        self.pieces.update(dict.fromkeys(new))
-        self.learn(self.pieces, good, " ")
-        heads = [s[0] for s in split]
-        head_tokens = [self.pretokens(h) for h in heads]
-        tokens = self.known(set().union(*head_tokens))
-        get = self.pieces.__getitem__
-        out = []
-        for text, parts, first in zip(texts, split, head_tokens, strict=True):
-            odd = any(a in text for a in self.added) or (len(parts) > 1 and parts[0] and parts[0][-1].isspace())
-            if not odd:
-                try:
-                    out.append(b"".join(map(tokens.__getitem__, first)) + b"".join(map(get, parts[1:])))
-                    continue
-                except TypeError:  # a piece with white space at its edge
-                    pass
-            out.append(self._odd(text))
-        return out
+        """Little-endian uint32 ids of each text."""
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -191,24 +255,21 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def id_lists(coded: list[bytes]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+def id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def decoded(merger: Merger, coded: list[bytes]) -> list[bytes]:
+def decoded(merger: Merger, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """UTF-8 of each decoded text; bytes that are not UTF-8 become the replacement character."""
-    ids = np.frombuffer(b"".join(coded), "<u4")
-    raw = merger.decode(ids)
-    ends = np.concatenate([[0], np.cumsum(merger.token_len[ids])])
-    at = ends[np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int64)]
+    raw = merger.decode(ids).tobytes()
+    at = np.concatenate([[0], np.cumsum(merger.token_len[ids])])[ends].tolist()
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
-        piece = raw[a:b].tobytes()
+        piece = raw[a:b]
         try:
             piece.decode()
         except UnicodeDecodeError:
@@ -225,8 +286,7 @@ def encode(docs: DataFrame, vocab_path: str, keep: list[str] | None = None, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocab_path)
         for b in steps(batches, text):
-            coded = own.encode(texts_of(b.column(text)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), id_lists(coded)], [*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), id_lists(*own.encode_column(b.column(text)))], [*keep, "ids"])
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -242,7 +302,9 @@ def decode(coded: DataFrame, vocab_path: str, keep: list[str] | None = None, ids
             rows = max(1, STEP_BYTES // 4096)
             for at in range(0, batch.num_rows, rows):
                 b = batch.slice(at, rows)
-                texts = decoded(own, [np.array(x or [], "<u4").tobytes() for x in b.column(ids).to_pylist()])
+                lists = b.column(ids).fill_null([])
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
+                texts = decoded(own, lists.flatten().to_numpy().astype(np.int64), ends)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([t.decode() for t in texts])], [*keep, "text"])
 
     return coded.select(*keep, ids).mapInArrow(run, schema)
@@ -256,14 +318,14 @@ def digests(docs: DataFrame, vocab_path: str, keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocab_path)
         for b in steps(batches, text):
-            coded = own.encode(texts_of(b.column(text)))
-            back = decoded(own.merger, coded)
+            ids, ends = own.encode_column(b.column(text))
+            raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
             out = [
-                pa.array([len(c) // 4 for c in coded], pa.int64()),
-                pa.array([hashlib.sha256(c).hexdigest() for c in coded]),
-                pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                pa.array(np.diff(ends)),
+                pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in decoded(own.merger, ids, ends)], pa.string()),
             ]
-            out += [id_lists(coded)] * with_ids
+            out += [id_lists(ids, ends)] * with_ids
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return docs.select(*keep, text).mapInArrow(run, schema)

@@ -131,6 +131,16 @@ def _powers(longest: int) -> np.ndarray:
     return _POWER
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each of the spans that begin at start and tile data from the first of them on."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = np.diff(np.append(start, len(data)))
+    within = np.arange(start[0], len(data)) - np.repeat(start, length)
+    value = _BYTE[data[start[0] :]] * _powers(int(length.max()) + 1)[within]
+    return mix(np.add.reduceat(value, start - start[0]) + length.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+
+
 class Words:
     """Words of a run of texts: start, end (byte positions), doc (row), first (first word of each row, n+1 values)."""
 

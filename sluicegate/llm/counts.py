@@ -53,8 +53,9 @@ class TokenTree:
         """Pre-tokens whose counts settle() needs."""
         return set(self.tokens or ()).union(*(tokens for tokens, _ in self.slots.values()))
 
-    def settle(self) -> None:
-        known = self.own.known(self.wanted())
+    def settle(self, known: dict[str, bytes] | None = None) -> None:
+        """Renew the counts; known: the ids of all pre-tokens wanted, where the caller has them."""
+        known = self.own.known(self.wanted()) if known is None else known
         if self.tokens is not None:
             self.counts = np.zeros(2 * self.n, np.int64)
             lengths = np.fromiter(map(len, map(known.__getitem__, self.tokens)), np.int64, len(self.tokens))
@@ -159,24 +160,24 @@ def recount(docs: DataFrame, vocab_path: str, edits: str = "edits", keep: tuple[
         for b in steps(batches, text):
             texts = texts_of(b.column(text))
             tokens = [own.pretokens(t) for t in texts]
-            own.known(set().union(*tokens))
+            known = own.known(set().union(*tokens))
             trees, before = [], []
             for t, found in zip(texts, tokens, strict=True):
                 tree = TokenTree(t, own, found)
                 if tree._has_added(t):
                     tree._anew()
                     tree.encoded = 0
-                tree.settle()
+                tree.settle(known)
                 trees.append(tree)
                 before.append(tree.n_tokens)
             for tree, changes in zip(trees, b.column(edits).to_pylist(), strict=True):
                 for e in changes or []:
                     if e is not None:
                         tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
-            own.known(set().union(*(tree.wanted() for tree in trees)))
+            known = own.known(set().union(*(tree.wanted() for tree in trees)))
             rows = []
             for tree, n, found in zip(trees, before, tokens, strict=True):
-                tree.settle()
+                tree.settle(known)
                 rows.append((n, tree.n_tokens, len(found), tree.encoded))
             out = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, "n_tokens", "edited_n_tokens", "n_pretokens", "n_reencoded"])

@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 from sluicegate.llm.common import LOWER, Words
+from sluicegate.llm.idtable import LETTER, Table, spans, stems
 
-#: Parts that one Python worker keeps between steps: about 40 bytes each.
-KEPT = 1_500_000
 #: Parts in one text for the library, texts in one call.
 GROUP, CALL = 200, 100
 
@@ -27,13 +26,6 @@ GROUP, CALL = 200, 100
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Marks that can close a word as a token run of their own; the apostrophe may belong to a contraction.
-_CLOSING = np.zeros(256, bool)
-_CLOSING[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
 #: Leading bytes of U+00C0 to U+024F, and the bytes that follow them.
 _LATIN = np.zeros(256, bool)
 _LATIN[0xC3:0xCA] = True
@@ -56,59 +48,6 @@ def splits_at_space(spec: dict) -> bool:
     )
 
 
-class Table:
-    """Ids of parts, found by sorted 64-bit hashes."""
-
-    def __init__(self):
-        self.key, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.steps = np.zeros(0, np.uint8)  # how many steps have met a part, up to 2
-        self.pool = np.zeros(0, np.uint32)
-
-    def __len__(self) -> int:
-        return len(self.key)
-
-    def lacks(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.ones(len(keys), bool)
-        return self.key[np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)] != keys
-
-    def keep(self, own: np.ndarray) -> None:
-        """Only the parts marked in own stay."""
-        n = self.n[own]
-        self.pool, _ = spans(self.pool, self.at[own], n)
-        self.key, self.n, self.steps = self.key[own], n, self.steps[own]
-        self.at = np.cumsum(n, dtype=np.int64) - n
-
-    def room(self, keys: np.ndarray, new: int) -> None:
-        """Make room for new parts: parts that one step only has met go, and all but this step's if those are many."""
-        if len(self) + new <= KEPT:
-            return
-        own = self.steps > 1
-        if own.sum() + new > KEPT // 2:
-            own = keys[np.minimum(np.searchsorted(keys, self.key), len(keys) - 1)] == self.key
-        self.keep(own)
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        """Sorted new keys and their ids, one part after the other."""
-        place = np.searchsorted(self.key, keys)
-        at = len(self.pool) + np.cumsum(n, dtype=np.int64) - n
-        self.key, self.at = np.insert(self.key, place, keys), np.insert(self.at, place, at)
-        self.n, self.steps = np.insert(self.n, place, n), np.insert(self.steps, place, 0)
-        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
-
-    def met(self, keys: np.ndarray) -> np.ndarray:
-        """Places of keys, all of which are there."""
-        place = np.searchsorted(self.key, keys)
-        self.steps[place] = np.minimum(self.steps[place] + 1, 2)
-        return place
-
-
-def spans(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[at : at + n] of each place, joined, and where each begins (with the end)."""
-    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-    return values[np.arange(ends[-1]) + np.repeat(at - ends[:-1], n)], ends
-
-
 class LibraryIds:
     """Encodes texts with a tokenizer file as the library does, without special tokens, padding or truncation."""
 
@@ -145,14 +84,7 @@ class LibraryIds:
         if not len(w):
             return np.zeros(0, np.uint32), np.zeros(len(w.offsets), np.int64)
         odd = self._parts(w)
-        keys, at, back = np.unique(w.hashes(lower=False), return_index=True, return_inverse=True)
-        new = self.table.lacks(keys)
-        self.table.room(keys, int(new.sum()))
-        new = self.table.lacks(keys)
-        if new.any():
-            self._learn(w, keys[new], at[new], odd[at[new]])
-        place = self.table.met(keys)[back]
-        ids, ends = spans(self.table.pool, self.table.at[place], self.table.n[place])
+        ids, ends = self.table.ids(w.hashes(lower=False), lambda at: self._learn(w, at, odd[at]))
         return ids, ends[w.first]
 
     def _parts(self, w: Words) -> np.ndarray:
@@ -165,14 +97,7 @@ class LibraryIds:
         bars = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
         odd = np.zeros(len(start), bool)
         odd[np.searchsorted(start, bars, side="right") - 1] = True
-        stem = end.copy()
-        open_ = np.flatnonzero(~odd)
-        while len(open_):
-            open_ = open_[_CLOSING[data[stem[open_] - 1]]]
-            stem[open_] -= 1
-            open_ = open_[stem[open_] > start[open_]]
-        whole = odd | (stem == start) | ~_ALNUM[data[np.maximum(stem, 1) - 1]]
-        stem = np.where(whole, end, stem)
+        stem = stems(data, start, end, ~odd)
         gaps = np.diff(np.append(start, len(data)))
         high = np.add.reduceat((data >= 128).astype(np.int32), start) > 0
         lowered = LOWER[data]
@@ -190,8 +115,8 @@ class LibraryIds:
         out[first] = odd
         return out
 
-    def _learn(self, w: Words, keys: np.ndarray, at: np.ndarray, odd: np.ndarray) -> None:
-        """Put the ids of the parts at of w into the table."""
+    def _learn(self, w: Words, at: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts at of w, one part after the other, and how many each has."""
         start, n = w.start[at], w.end[at] - w.start[at]
         flat, ends = spans(w.data, start, n)
         plain = ~odd & self._plain(flat, ends)
@@ -232,12 +157,12 @@ class LibraryIds:
         n = np.concatenate(counts)
         order = np.argsort(np.concatenate(rows))
         flat, _ = spans(np.concatenate(ids), (np.cumsum(n) - n)[order], n[order])
-        self.table.add(keys, flat, n[order])
+        return flat, n[order]
 
     def _plain(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Parts of Latin letters up to U+024F alone, without U+0130, whose lower case is two characters."""
         lead = _LATIN[flat]
-        good = _LETTER[flat] | lead | ((flat >= 128) & (flat < 192))
+        good = LETTER[flat] | lead | ((flat >= 128) & (flat < 192))
         after = np.append(flat[1:], np.uint8(0))
         good &= ~((flat == 0xC3) & ((after == 0x97) | (after == 0xB7)))
         good &= ~((flat == 0xC4) & (after == 0xB0)) & ~((flat == 0xC9) & (after > 0x8F))

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluicegate.llm import bpe, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, queries, topk, wordids
+from sluicegate.llm import bpe, counts, fingerprints, idtable, jaccard, lattice, mixing, packing, passages, quality, queries, topk, wordids
 from tests.conftest import DATA
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -202,7 +202,7 @@ def test_library_ids(monkeypatch):
     library = Tokenizer.from_file(WORD)
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert _library_rows(wordids.LibraryIds(WORD), texts) == want
-    monkeypatch.setattr(wordids, "KEPT", 500)  # the table drops parts again and again
+    monkeypatch.setattr(idtable, "KEPT", 500)  # the table drops parts again and again
     own = wordids.LibraryIds(WORD)
     assert own.by_words and [r for i in range(0, len(texts), 50) for r in _library_rows(own, texts[i : i + 50])] == want
 
