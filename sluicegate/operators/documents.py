@@ -7,61 +7,50 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-_HEADING = re.compile(r"^(?:(?:Section|Article)\s+)?(\d+(?:\.\d+)*|\([a-z]\))[.)]?\s+(\S.*)$")
-
-
-def split_units(text: str) -> list[tuple[int, int, int, str, str | None]]:
-    """(i, start, end, kind, label) of the non-blank lines; a short numbered line is a heading with its number."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        body = line.strip()
-        if body:
-            start = at + line.index(body[0])
-            m = _HEADING.match(body)
-            heading = m is not None and len(body) <= 80
-            out.append((len(out), start, start + len(body), "heading" if heading else "paragraph", m[1] if heading else None))
-        at += len(line) + 1
-    return out
+_HEADING = r"^(?:(?:Section|Article)\s+)?(\d+(?:\.\d+)*|\([a-z]\))[.)]?\s+(\S.*)$"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, start, end, kind, label, path): lines of each document with the number of the heading they stand under."""
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                path = None
-                for i, s, e, kind, label in split_units(text):
-                    path = label if kind == "heading" else path
-                    rows.append((doc, i, s, e, kind, label, path))
-            yield pd.DataFrame(rows, columns=["doc_id", "i", "start", "end", "kind", "label", "path"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, i int, start int, end int, kind string, label string, path string")
-
-
-def section_prefixes(number: str) -> list[str]:
-    """A section number and its parents, longest first: 3(a)(i), 3(a), 3."""
-    out, rest = [], number
-    while rest:
-        out.append(rest)
-        cut = max(rest.rfind("("), rest.rfind("."))
-        rest = rest[:cut] if cut > 0 else ""
-    return out
+    """(doc_id, i, start, end, kind, label, path): the non-blank lines of each document with the number of the heading they
+    stand under; a numbered line of at most 80 characters is a heading with its number.  Null texts have none.
+
+    Lines keep their documents' order within a document by position, so rows are numbered and headings carried down in a
+    window over a document's own lines.
+    """
+    lines = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")).select("doc_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("_n", "line"))
+    order = W.partitionBy("_row").orderBy("_n")
+    before = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    body = F.regexp_replace(F.regexp_replace("line", r"^\s+", ""), r"\s+$", "")
+    lead = F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))
+    rows = lines.withColumn("start", before + lead).withColumn("body", body).where("body <> ''")
+    label = F.when((F.length("body") <= 80) & F.col("body").rlike(_HEADING), F.regexp_extract("body", _HEADING, 1))
+    rows = rows.withColumn("label", label).withColumn("i", F.row_number().over(order) - 1).withColumn("path", F.last("label", True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    kind = F.when(F.col("label").isNotNull(), "heading").otherwise("paragraph")
+    return rows.select("doc_id", "i", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("body")).cast("int").alias("end"), kind.alias("kind"), "label", "path")
+
+
+def section_prefixes(number: Column) -> Column:
+    """A section number and its parents, longest first: 3(a)(i), 3(a), 3.  A parent ends before a bracket or a dot."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(number)), lambda i: (i > 1) & F.substring(number, i, F.lit(1)).isin("(", "."))
+    parents = F.transform(F.reverse(ends), lambda i: F.substring(number, F.lit(1), i - 1))
+    return F.when(F.length(number) > 0, F.concat(F.array(number), parents)).otherwise(F.array().cast("array<string>"))
 
 
 def resolve_sections(refs: DataFrame, sections: DataFrame) -> DataFrame:
     """refs (doc_id, ref) with the longest prefix of ref that is a section (doc_id, label) of the document."""
-    prefix = F.udf(section_prefixes, "array<string>")
-    tried = refs.select("doc_id", "ref", F.posexplode(prefix("ref")).alias("_n", "label"))
+    tried = refs.select("doc_id", "ref", F.posexplode(section_prefixes(F.col("ref"))).alias("_n", "label"))
     met = tried.join(sections.select("doc_id", "label").distinct(), ["doc_id", "label"])
     best = met.groupBy("doc_id", "ref").agg(F.min(F.struct("_n", "label")).alias("b")).select("doc_id", "ref", F.col("b.label").alias("section"))
     return refs.join(best, ["doc_id", "ref"], "left")
 
 
-def align_versions(old: list[str], new: list[str], near: float = 0.35, far: float = 0.5) -> list[tuple[int | None, int | None, str]]:
+#: The least word Jaccard of pairs within a changed block, and of pairs left over.
+NEAR, FAR = 0.35, 0.5
+
+
+def align_versions(old: list[str], new: list[str], near: float = NEAR, far: float = FAR) -> list[tuple[int | None, int | None, str]]:
     """(i, j, kind): equal pieces by longest common subsequence; within a changed block the best pairs by word Jaccard of at
     least near, greedily; then any left pairs of at least far; the rest is removed or added."""
     words = lambda s: set(re.findall(r"\w+", s.lower()))
@@ -110,7 +99,7 @@ def norms(docs: DataFrame, modals: str = "may|shall|must|the") -> DataFrame:
     return hit.select("doc_id", "stmt", "text", F.lower(F.regexp_extract("text", rf"(?i)(\w+)\s+(?:{modals})\b", 1)).alias("actor"), "modal", F.when(F.lower("text").rlike(r"\b(not|never|no)\b"), "minus").otherwise("plus").alias("polarity"))
 
 
-#: Arguments that each form needs.
+#: The query forms, and the arguments that each needs.
 FORMS = {"HAS": (), "VALUE": ("modal",), "WHO": ("modal",), "MAY": ("actor",), "MUST": ("actor",), "MUST_NOT": ("actor",), "ANSWER": ("question",)}
 
 

@@ -38,19 +38,20 @@ def _strings(columns: list[str]) -> T.StructType:
 
 
 def exact_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
-    """All-string rows; the header must be exactly columns, in order.  Only the header line comes to the driver."""
+    """All-string rows, without nulls: an empty field is an empty string.  The header must be exactly columns, in order, and
+    every line must parse.  Only the header line comes to the driver."""
     import csv
 
     head = spark.read.text(path).limit(1).collect()
     found = next(csv.reader([head[0][0].lstrip("﻿")], delimiter=sep)) if head else []
     if found != columns:
         raise DataContractError(f"{path}: header {found}, expected {columns}")
-    return spark.read.schema(_strings(columns)).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "").csv(path)
+    return spark.read.schema(_strings(columns)).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path).na.fill("")
 
 
 def typed(df: DataFrame, **kinds: str) -> DataFrame:
-    """Columns cast as named; a value that doesn't cast raises when it is read."""
-    return df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+    """Columns cast as named; an empty value is null, and one that doesn't cast raises when it is read."""
+    return df.withColumns({c: F.when(F.col(c) != "", F.col(c)).cast(k) for c, k in kinds.items()})
 
 
 #: The columns of the two prediction files.

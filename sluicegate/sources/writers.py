@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluicegate.ident import fingerprint
 from sluicegate.operators.ledger import upsert
@@ -45,6 +45,18 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
+def write_bank(parts: dict[str, DataFrame], path: str) -> None:
+    """Named parts as JSON lines; the manifest, with their schemas, comes last, so that a bank without one is unfinished."""
+    for name, df in parts.items():
+        json_lines(df, f"{path}/{name}", "overwrite")
+    manifest(parts[next(iter(parts))].sparkSession, f"{path}/manifest", {name: json.loads(df.schema.json()) for name, df in parts.items()})
+
+
+def load_bank(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    found = read_manifest(spark, f"{path}/manifest")
+    return {name: spark.read.schema(T.StructType.fromJson(schema)).json(f"{path}/{name}") for name, schema in found.items()}
+
+
 def cached(df: DataFrame, key: str, columns: list[str], folder: str, compute) -> DataFrame:
     """compute(df), kept as Parquet under the fingerprint of the content; a second call with equal content reads it."""
     digest = fingerprint(df, key, *columns).first()["fingerprint"]

@@ -65,10 +65,13 @@ def test_class_router_against_loop(spark, data):
             assert all(got[r["item_idx"]] == take for r in test if r["free_pred"] == c)
 
 
-def test_documents():
-    units = U.split_units("Title\n\n1. Scope\nText of it.\n  (a) Detail here\n")
-    assert [u[3] for u in units] == ["paragraph", "heading", "paragraph", "heading"] and units[1][4] == "1"
-    assert U.section_prefixes("3(a)(i)") == ["3(a)(i)", "3(a)", "3"]
+def test_documents(spark):
+    text = "Title\n\n1. Scope\nText of it.\n  (a) Detail here\n"
+    units = U.units(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")).orderBy("i").collect()
+    assert [u["kind"] for u in units] == ["paragraph", "heading", "paragraph", "heading"] and [u["path"] for u in units] == [None, "1", "1", "(a)"]
+    assert [text[u["start"] : u["end"]] for u in units] == ["Title", "1. Scope", "Text of it.", "(a) Detail here"]
+    prefixes = spark.createDataFrame([("3(a)(i)",), ("4.1.2",), ("7",), ("",)], "n string").select(U.section_prefixes(F.col("n")))
+    assert [r[0] for r in prefixes.collect()] == [["3(a)(i)", "3(a)", "3"], ["4.1.2", "4.1", "4"], ["7"], []]
     kinds = {k for _, _, k in U.align_versions(["same", "the old red house stands", "gone entirely"], ["same", "the new red house stands", "brand fresh"])}
     assert {"equal", "changed", "removed", "added"} <= kinds
     assert U.parse('WHO(modal="may", actor=buyer)') == ("WHO", {"modal": "may", "actor": "buyer"})
