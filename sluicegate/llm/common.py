@@ -47,10 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,8 +11,9 @@ fingerprint keeps, in each of its registers, one byte of the least of the values
 hashing), or marks it empty.  The share of equal registers estimates the Jaccard likeness of the band values; likeness is
 given as 2 J / (1 + J), the share of bands in common, from 0 to 1.
 
-Candidates: documents whose fingerprints agree in all registers of a band are compared with the smallest doc_id of that
-band only, and verified by edit distance on the whole texts, so that groups of copies make no pairs among themselves.
+Candidates (near_copies): documents whose fingerprints agree in all registers of a band are compared with the smallest
+doc_id of that band only, and verified by edit distance on the whole texts, so that groups of copies make no pairs among
+themselves; two documents that link with each other but not with that one are found where another band joins them.
 
 Defined results: a null text counts as empty; empty texts have the empty fingerprint, which is like itself (1) and like
 no other (0); rows in order of descending doc_id, null last, equal doc_id by the text's hash, then text; after the last
@@ -205,7 +206,7 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = F.desc("doc_id")
     rows = rows.repartitionByRange(parts, order).sortWithinPartitions(order, F.xxhash64("text"), "text")
-    out = table(rows.mapInArrow(run, _ROW), "fingerprints")
+    out = table(rows.mapInArrow(run, _ROW), "fingerprints", "zstd")  # hexadecimal digits halve
     # two rows for each partition are left to join: its last row with the first row of the next partition that has any
     firsts = out.where("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     there = sorted(r["part"] for r in out.where("kind = 1").select("part").collect())

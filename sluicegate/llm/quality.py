@@ -3,7 +3,7 @@
 Statistics of each whole text (characters, words, lines, repetition) are binned; trees of fixed depth grow level by
 level from gradient histograms and are stored as flat arrays (feature, threshold, leaf), which numpy walks for all
 documents and trees at once.  Training rows are a sample of at most ``sample_rows`` labelled documents, those with the
-smallest hash of doc_id; that bound is a parameter.  Scoring covers every document.
+smallest hash of doc_id, each with one text; that bound is a parameter.  Scoring covers every document.
 
 Defined results: a null text counts as empty and gets the score of an empty one; labels that are null or not 0/1 don't
 count; several labels of one document count as their smallest; without labels of both kinds the score is the share of
@@ -181,8 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, folds:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_y"), lists], ["doc_id", "y", "x"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_y")
-    got = found.mapInArrow(run, schema).toPandas()  # sample_rows at most, for distinct doc_id
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    # of rows that share a doc_id, the text with the least hash
+    found = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_y").alias("_y"))
+    got = found.mapInArrow(run, schema).toPandas()  # sample_rows at most
     x = np.array(got["x"].tolist()).reshape(len(got), len(FEATURES))
     order = np.lexsort((x[:, 0], got["doc_id"].to_numpy()))
     return fit(x[order], got["y"].to_numpy()[order], **options)
