@@ -78,3 +78,23 @@ def coverage_by_count(df: DataFrame, template: str, thresholds: tuple[int, ...])
     grid = counted.withColumn("least", F.explode(F.array(*(F.lit(t) for t in thresholds)))).withColumn("_ok", F.col("_c") >= F.col("least"))
     per = grid.groupBy("least", "conv_id").agg(F.bool_and("_ok").alias("_all"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("_ok").cast("int")).alias("_k"))
     return per.groupBy("least").agg((F.sum("_k") / F.sum("_n")).alias("rows"), F.avg(F.col("_all").cast("double")).alias("conversations"))
+
+
+def turn_key(split: Column, conv: Column, turn: Column) -> Column:
+    """split:conversation:turn."""
+    return F.concat_ws(":", split, conv.cast("string"), turn.cast("string"))
+
+
+def state_line(df: DataFrame, facts: DataFrame, actions: DataFrame, empty: str = "none") -> DataFrame:
+    """state: what was disclosed and done before each turn, "disclosed: a=1; b=2 || actions: x(1, 2); y()".
+
+    facts: conv_id, turn, field, value, where a field's first disclosure counts; actions: conv_id, turn, action, values.
+    Facts come in the order of their turns, then fields; nothing of the turn itself or later shows.
+    """
+    first = facts.groupBy("conv_id", "field").agg(F.min(F.struct("turn", "value")).alias("f"))
+    known = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("f.turn").alias("t"), "field", F.col("f.value").alias("v")))).alias("_f"))
+    done = actions.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("t"), "action", F.coalesce("values", F.array().cast("array<string>")).alias("v")))).alias("_a"))
+    met = df.join(known, "conv_id", "left").join(done, "conv_id", "left")
+    line = lambda own, show: F.coalesce(F.nullif(F.array_join(F.transform(F.filter(own, lambda x: x["t"] < F.col("turn")), show), "; "), F.lit("")), F.lit(empty))
+    fact, act = line("_f", lambda x: F.concat(x["field"], F.lit("="), x["v"])), line("_a", lambda x: F.concat(x["action"], F.lit("("), F.array_join(x["v"], ", "), F.lit(")")))
+    return met.withColumn("state", F.concat(F.lit("disclosed: "), fact, F.lit(" || actions: "), act)).drop("_f", "_a")

@@ -36,9 +36,10 @@ def word_grams(spark, sf_dir):
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(text, '\b(Mr|Mrs|Dr|No|Inc|Ltd|vs|Sec|Art)\.(\s)', '\1' || chr(2) || '\2', 'g') AS t FROM documents), d AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM p)
+SELECT doc_id, len(s)::INT AS sentences, (1 + len(list_filter(s[2:], lambda x: length(x) >= 20)))::INT AS merged FROM d""")
 def sentence_counts(spark, sf_dir):
-    """Lookbehind has no form in the other engine's patterns; tests hold the splitter against examples."""
+    """Sentences, and sentences with short ones joined to the one before."""
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(T.sentences("text")).alias("sentences"), F.size(T.sentences("text", 20)).alias("merged"))
 
@@ -234,8 +235,9 @@ def actions_so_far(spark, sf_dir):
 
 
 _TRANS = """s AS (SELECT conv_id, turn, CASE WHEN length(text) > 120 THEN 'long' WHEN length(text) > 60 THEN 'mid' ELSE 'short' END AS v FROM conversations),
-l AS (SELECT v AS next, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b, conv_id, turn FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-tr AS (SELECT 0 AS n, '' AS context, next, count(*) AS count FROM l GROUP BY ALL UNION ALL SELECT 1, a, next, count(*) FROM l WHERE a IS NOT NULL GROUP BY ALL UNION ALL SELECT 2, b || ' ' || a, next, count(*) FROM l WHERE b IS NOT NULL GROUP BY ALL)"""
+l AS (SELECT v AS next, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 3) OVER w AS c, lag(v, 4) OVER w AS d, conv_id, turn FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+tr AS (SELECT 0 AS n, '' AS context, next, count(*) AS count FROM l GROUP BY ALL UNION ALL SELECT 1, a, next, count(*) FROM l WHERE a IS NOT NULL GROUP BY ALL UNION ALL SELECT 2, b || ' ' || a, next, count(*) FROM l WHERE b IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 3, c || ' ' || b || ' ' || a, next, count(*) FROM l WHERE c IS NOT NULL GROUP BY ALL UNION ALL SELECT 4, d || ' ' || c || ' ' || b || ' ' || a, next, count(*) FROM l WHERE d IS NOT NULL GROUP BY ALL)"""
 
 
 def _steps(spark, sf_dir):
@@ -245,7 +247,7 @@ def _steps(spark, sf_dir):
 
 @query(f"WITH {_TRANS} SELECT n, context, next, count FROM tr")
 def ngram_transitions(spark, sf_dir):
-    return V.transitions(_steps(spark, sf_dir), "v", 2)
+    return V.transitions(_steps(spark, sf_dir), "v", 4)
 
 
 @query(f"""WITH {_TRANS}, best AS (SELECT n, context, next FROM (SELECT *, row_number() OVER (PARTITION BY n, context ORDER BY count DESC, next) AS r FROM tr) WHERE r = 1)
@@ -317,7 +319,8 @@ def version_alignment(spark, sf_dir):
     return U.aligned(pairs)
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g') AS t FROM documents), s AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS s FROM d)
+SELECT doc_id, count(*) AS n FROM s WHERE lower(regexp_extract(s, '(?i)\b(may|shall|must|the)\b', 1)) = 'the' AND NOT regexp_matches(lower(s), '\b(not|never|no)\b') GROUP BY 1""")
 def contract_queries(spark, sf_dir):
     """The contract query language over a table of norms taken from document sentences with modal words."""
     n = U.norms(read(spark, sf_dir, "documents").select("doc_id", "text"))

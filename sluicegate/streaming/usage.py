@@ -82,6 +82,23 @@ def quota_stream(events: DataFrame, limit: int, delay: str = DELAY) -> DataFrame
     return rows.groupBy("user_id", "day").applyInPandasWithState(take, "user_id long, day string, event_id long, allowed boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def decision_log(turns: DataFrame, last: int) -> DataFrame:
+    """(conv_id, turn, context, known): for each turn of a stream, the roles of the last turns before it and all roles seen,
+    by commas.  State is a conversation's last roles and its set of roles; turns of a trigger are taken in order, and a row
+    shows nothing of its own turn or later ones, so the log can be appended to."""
+
+    def take(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, known = (list(filter(None, x.split(","))) for x in (state.get if state.exists else ("", "")))
+        rows = []
+        for turn, role in sorted(row for pdf in pdfs for row in zip(pdf["turn"], pdf["role"], strict=True)):
+            rows.append((key[0], turn, ",".join(before), ",".join(sorted(known))))
+            before, known = [*before, role][-last:], {*known, role}
+        state.update((",".join(before), ",".join(sorted(known))))
+        yield pd.DataFrame(rows, columns=["conv_id", "turn", "context", "known"])
+
+    return turns.select("conv_id", "turn", "role").groupBy("conv_id").applyInPandasWithState(take, "conv_id long, turn long, context string, known string", "before string, known string", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a streaming frame over what is there; its rows lie as Parquet in the folder, and checkpoints beside them.
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluicegate.operators import corpus as O, deferral as D, documents as U, estimates as E, graph, joined as J, ledger as L, ranking as R, selection as S, signals as G, turns as V
+from sluicegate.operators import corpus as O, deferral as D, documents as U, estimates as E, graph, joined as J, ledger as L, matching as M, ranking as R, selection as S, signals as G, turns as V
 from sluicegate.operators.ranks import global_rank, running
 from sluicegate.plans.arms import arms
 
@@ -261,3 +261,40 @@ def test_plain_text(spark):
 
     d = spark.createDataFrame([("\uff21\uff22c  D-e",), ("\u2460 x\u00b2",), (None,), ("",)], "t string")
     assert [r[0] for r in d.select(plain("t")).collect()] == ["abc d e", "1 x2", None, ""]
+
+
+def test_occurrences_of_phrases(spark):
+    import re
+
+    texts = ["The thing, the other; in the end", "bathe THE\u00e9 the", "", None, "in the in the"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    forms = ["the", "in the", "th"]
+    for prefix in (False, True):
+        want = {(i, f, m.start()) for i, t in enumerate(texts) for f in forms for m in re.finditer(rf"(?<![^\W_]){f}" + ("" if prefix else r"(?![^\W_])"), (t or "").lower())}
+        assert {tuple(r) for r in M.occurrences(d, forms, prefix).collect()} == want
+    assert M.occurrences(d, []).count() == 0
+
+
+def test_resume_refuses_changed_texts(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")], "item int, sha string")
+    done = spark.createDataFrame([(1, "a", "ok"), (5, "c", "<error: x>")], "item int, sha string, raw string")
+    failed = F.startswith("raw", F.lit("<error:"))
+    assert {r["item"]: r["state"] for r in M.resume(asked, done, failed).collect()} == {1: "done", 2: "copy", 3: "call", 4: "wait", 5: "call"}
+    with pytest.raises(J.DataContractError):
+        M.resume(asked, spark.createDataFrame([(1, "z", "ok")], "item int, sha string, raw string"), failed)
+
+
+def test_contracts_of_joins(spark):
+    a, b = spark.range(4), spark.range(1, 5)
+    for call in (lambda: M.answered(a, b, "id"), lambda: M.answered(a, a.unionByName(a), "id"), lambda: M.disjoint(a, b, "id")):
+        with pytest.raises(J.DataContractError):
+            call()
+    assert M.answered(a, a.withColumn("x", F.lit(1)), "id").count() == 4 and M.disjoint(a, spark.range(9, 12), "id").count() == 4
+
+
+def test_state_shows_no_future(spark):
+    turns = spark.createDataFrame([(1, t) for t in range(3)], "conv_id long, turn long")
+    facts = spark.createDataFrame([(1, 1, "name", "Ann"), (1, 2, "name", "Bob"), (1, 0, "zip", "1")], "conv_id long, turn long, field string, value string")
+    done = spark.createDataFrame([(1, 1, "look", ["a", "b"]), (1, 0, "ask", None)], "conv_id long, turn long, action string, values array<string>")
+    got = [r["state"] for r in V.state_line(turns, facts, done).orderBy("turn").collect()]
+    assert got == ["disclosed: none || actions: none", "disclosed: zip=1 || actions: ask()", "disclosed: zip=1; name=Ann || actions: ask(); look(a, b)"]
