@@ -68,16 +68,23 @@ def copies_histogram(df: DataFrame, text: str) -> DataFrame:
     return df.groupBy(text).agg(F.count(F.lit(1)).alias("copies")).groupBy("copies").agg(F.count(F.lit(1)).alias("groups"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k1: float = 1.2, b: float = 0.75, in_line: int = 10_000) -> DataFrame:
     """(query_id, doc_id, score) of every pair with a shared term; query terms as a set, idf = ln(1 + (N - df + .5) / (df + .5)).
 
-    Only postings of query terms take part: document terms are joined with the queries' terms before they are counted.
+    Texts are cut into terms once: a document keeps its length and its query terms.  Up to in_line query terms are looked up
+    as a set where the terms arise; more meet the documents' terms in a join.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(query_tokens)).alias("term"))
-    toks = docs.select("doc_id", tokens.alias("_t"))
-    size = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+    terms = cut(queries.select("query_id", F.explode(F.array_distinct(query_tokens)).alias("term")))
     wanted = terms.select("term").distinct()
-    tf = toks.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    toks = docs.select("doc_id", tokens.alias("_t"))
+    asked = [r["term"] for r in wanted.limit(in_line + 1).collect()]
+    if len(asked) <= in_line:
+        kept = cut(toks.select("doc_id", F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(asked)).alias("_t")))
+        size, posts = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), kept.select("doc_id", "dl", F.explode("_t").alias("term"))
+    else:
+        size = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+        posts = toks.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
+    tf = posts.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     post = tf.join(df, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
