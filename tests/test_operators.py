@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluicegate.operators import corpus as O, deferral as D, documents as U, estimates as E, graph, joined as J, ledger as L, matching as M, ranking as R, selection as S, signals as G, turns as V
+from sluicegate.operators import corpus as O, deferral as D, documents as U, estimates as E, graph, joined as J, ledger as L, matching as M, ranking as R, registries, selection as S, signals as G, turns as V
 from sluicegate.operators.ranks import global_rank, running
-from sluicegate.plans.arms import arms
+from sluicegate.plans.arms import arms, probabilities
 
 
 def test_dial_ends(spark, data):
@@ -298,3 +298,18 @@ def test_state_shows_no_future(spark):
     done = spark.createDataFrame([(1, 1, "look", ["a", "b"]), (1, 0, "ask", None)], "conv_id long, turn long, action string, values array<string>")
     got = [r["state"] for r in V.state_line(turns, facts, done).orderBy("turn").collect()]
     assert got == ["disclosed: none || actions: none", "disclosed: zip=1 || actions: ask()", "disclosed: zip=1; name=Ann || actions: ask(); look(a, b)"]
+
+
+def test_registries_refuse_unknown_names(spark, data):
+    for call in (registries.scorer, registries.metric):
+        with pytest.raises(KeyError):
+            call("nothing")
+    a = arms(spark, data)
+    with pytest.raises(ValueError):
+        registries.allocate(a, "nothing", 0.5)
+    with pytest.raises(KeyError):
+        registries.cross_validated(a, "nothing")
+    for rule, options in (("router", {"features": ["free_conf"]}), ("class_aware", {}), ("per_class_conf", {}), ("margin", {"probs": probabilities(a)})):
+        share = registries.allocate(a, rule, 0.3, **options).agg(F.avg(F.col("escalated").cast("double"))).first()[0]
+        assert 0 < share < 0.45, rule
+    assert registries.allocate(a, "precision_floor", 0.0).where("escalated").count() >= registries.allocate(a, "precision_floor", 1.0).where("escalated").count()
