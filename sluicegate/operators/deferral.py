@@ -180,6 +180,7 @@ def class_router(df: DataFrame, budget: float = 1.0) -> DataFrame:
         for r in per:
             if r["test"] == fold:
                 worth[r["free_pred"]] = worth.get(r["free_pred"], 0.0) + r["gain"] / support[r["gold"]] / len(support)
+        worth = {c: round(v, 12) for c, v in worth.items()}  # the order of sums does not show
         sizes = {r["free_pred"]: r["count"] for r in size if r["fold"] == fold}
         left = budget * sum(sizes.values())
         for c in sorted(worth, key=lambda c: (-worth[c], c)):

@@ -431,9 +431,14 @@ def threshold_frontier(spark, sf_dir):
     return rounded(D.threshold_frontier(arms(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ARMS}, tr AS (SELECT o.test, a.* FROM arms a JOIN (SELECT DISTINCT fold AS test FROM arms) o ON a.fold <> o.test), sup AS (SELECT *, count(*) OVER (PARTITION BY test) AS k FROM (SELECT test, gold, count(*) AS n FROM tr GROUP BY ALL)),
+g AS (SELECT test, free_pred, gold, sum((expert_pred = gold)::INT - (free_pred = gold)::INT) AS gain FROM tr GROUP BY ALL), w AS (SELECT test, free_pred, round(sum(gain / n / k), 12) AS worth FROM g JOIN sup USING (test, gold) GROUP BY ALL),
+z AS (SELECT fold, free_pred, count(*) AS size FROM arms GROUP BY ALL), r AS (SELECT w.test AS fold, w.free_pred, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY w.test ORDER BY worth DESC, w.free_pred) AS r FROM w LEFT JOIN z ON z.fold = w.test AND z.free_pred = w.free_pred WHERE worth > 0),
+f(fold, r, room, free_pred, take) AS (SELECT fold, 0::BIGINT, 0.5 * count(*)::DOUBLE, -1, false FROM arms GROUP BY fold UNION ALL SELECT f.fold, r.r, CASE WHEN r.size <= f.room THEN f.room - r.size ELSE f.room END, r.free_pred, r.size <= f.room FROM f JOIN r ON r.fold = f.fold AND r.r = f.r + 1),
+d AS (SELECT arms.*, coalesce(take, false) AS esc FROM arms LEFT JOIN f ON f.fold = arms.fold AND f.free_pred = arms.free_pred AND f.take), c AS (SELECT gold, avg((free_pred = gold)::INT) AS a, avg((expert_pred = gold)::INT) AS b, avg((CASE WHEN esc THEN expert_pred ELSE free_pred END = gold)::INT) AS e FROM d GROUP BY 1)
+SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(esc::INT) FROM d), 6) AS share, round(avg(a), 6) AS free, round(avg(b), 6) AS expert, round(avg(e), 6) AS routed FROM c""")
 def class_router(spark, sf_dir):
-    """A greedy choice over class totals; tests hold it against a plain loop."""
+    """A greedy choice over class totals; tests hold it against a plain loop as well."""
     return rounded(D.summary(D.class_router(arms(spark, sf_dir), 0.5)))
 
 
