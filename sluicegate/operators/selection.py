@@ -87,7 +87,7 @@ def per_class_confidence(df: DataFrame, fraction: float, chunk: float = 0.02) ->
             here = b[b["free_pred"] == c]
             for bin_, rows in zip(here["bin"], here["rows"], strict=True):
                 at = min(max(int(np.searchsorted(t["bin"].to_numpy(), bin_, side="right")) - 1, 0), len(fit) - 1)
-                gains.append((expert - fit[at], c, bin_, rows))
+                gains.append((round(expert - fit[at], 9), c, bin_, rows))
         left, out = fraction * b["rows"].sum(), []
         for g, c, bin_, rows in sorted(gains, key=lambda x: (-x[0], x[1], x[2])):
             if g > 0 and rows <= left:

@@ -38,9 +38,17 @@ def slot_cover(spark, sf_dir):
     return S.covers_all(p, spark.createDataFrame([(0, "the"), (0, "a"), (1, "of"), (1, "in")], "slot int, term string"), 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ARMS}, o AS (SELECT fold, free_pred AS c, floor(free_conf * 50)::INT AS b, count(*) AS n, sum((free_pred = gold)::INT) AS f, sum((expert_pred = gold)::INT) AS e FROM arms GROUP BY ALL), a AS (SELECT c, b, sum(n) AS n, sum(f) AS f, sum(e) AS e FROM o GROUP BY ALL),
+t AS (SELECT d.fold, a.c, a.b, a.n - coalesce(o.n, 0) AS n, a.f - coalesce(o.f, 0) AS f, a.e - coalesce(o.e, 0) AS e FROM a CROSS JOIN (SELECT DISTINCT fold FROM o) d LEFT JOIN o ON o.fold = d.fold AND o.c = a.c AND o.b = a.b WHERE a.n - coalesce(o.n, 0) > 0),
+p AS (SELECT *, sum(n) OVER w AS sn, sum(f) OVER w AS sf, sum(n) OVER w - n AS pn, sum(f) OVER w - f AS pf FROM t WINDOW w AS (PARTITION BY fold, c ORDER BY b ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT x.fold, x.c, x.b, i.b AS lo, min((j.sf - i.pf) / (j.sn - i.pn)) AS v FROM p x JOIN p i ON i.fold = x.fold AND i.c = x.c AND i.b <= x.b JOIN p j ON j.fold = x.fold AND j.c = x.c AND j.b >= x.b GROUP BY ALL), iso AS (SELECT fold, c, b, max(v) AS fit FROM m GROUP BY ALL),
+ex AS (SELECT fold, c, sum(e) / sum(n) AS expert, min(b) AS least FROM t GROUP BY ALL), cells AS (SELECT o.fold, o.c, o.b, o.n, coalesce(max(t.b), any_value(least)) AS place, any_value(expert) AS expert FROM o JOIN ex USING (fold, c) LEFT JOIN t ON t.fold = o.fold AND t.c = o.c AND t.b <= o.b GROUP BY o.fold, o.c, o.b, o.n),
+g AS (SELECT cells.*, round(expert - fit, 9) AS gain FROM cells JOIN iso ON iso.fold = cells.fold AND iso.c = cells.c AND iso.b = cells.place), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY gain DESC, c, b) AS r FROM g WHERE gain > 0),
+w(fold, r, room, c, b, take) AS (SELECT fold, 0::BIGINT, 0.3 * sum(n)::DOUBLE, -1, -1, false FROM o GROUP BY fold UNION ALL SELECT w.fold, r.r, CASE WHEN r.n <= w.room THEN w.room - r.n ELSE w.room END, r.c, r.b, r.n <= w.room FROM w JOIN r ON r.fold = w.fold AND r.r = w.r + 1),
+d AS (SELECT arms.*, coalesce(take, false) AS esc FROM arms LEFT JOIN w ON w.fold = arms.fold AND w.c = free_pred AND w.b = floor(free_conf * 50)::INT AND w.take), k AS (SELECT gold, avg((free_pred = gold)::INT) AS a, avg((expert_pred = gold)::INT) AS b, avg((CASE WHEN esc THEN expert_pred ELSE free_pred END = gold)::INT) AS e FROM d GROUP BY 1)
+SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(esc::INT) FROM d), 6) AS share, round(avg(a), 6) AS free, round(avg(b), 6) AS expert, round(avg(e), 6) AS routed FROM k""")
 def per_class_confidence(spark, sf_dir):
-    """Isotonic fits and a greedy allocation; a test holds the fit and the budget."""
+    """Isotonic fits, by pooling here and by the greatest least mean in SQL, and a greedy allocation."""
     return rounded(D.summary(S.per_class_confidence(arms(spark, sf_dir), 0.3)))
 
 
