@@ -33,7 +33,7 @@ def contains_passage(docs: DataFrame, passages: DataFrame, text: str = "text", w
     asked = passages.select("item_id", "passage", split(F.col("passage")).alias("_w")).where("trim(passage) <> ''")
     asked = asked.withColumn("_n", F.least(F.lit(words), F.size("_w") - 2))
     sizes = sorted(r["_n"] for r in asked.where("_n > 0").select("_n").distinct().collect())  # words numbers at most
-    run = lambda at, n: F.xxhash64(F.array_join(F.slice("_w", at, n), " "))
+    run = lambda at, n: F.xxhash64(F.slice("_w", at, n))
     found = None
     if sizes:
         first = asked.where("_n > 0").select("item_id", "passage", run(F.lit(2), F.col("_n")).alias("_h"))
