@@ -339,9 +339,7 @@ def test_passages(spark, rows):
         for i in range(len(w) - 49):
             if min(first[tuple(w[i : i + 50])]) < d:
                 want[d].update(range(i, i + 50))
-    assert set(want) <= set(got)
-    total = sum(map(len, want.values()))
-    assert sum(len(want[d] - got[d]) for d in want) <= 0.02 * total
+    assert want and all(want[d] <= got[d] for d in want)
 
 
 def test_planted_passage(spark):
