@@ -10,7 +10,7 @@ from sluicegate.operators.sizes import shared_folder
 from sluicegate.plans.arms import ARMS, LONG, arms, long_preds
 from sluicegate.plans.base import query, rounded
 from sluicegate.session import read
-from sluicegate.sources import readers, writers
+from sluicegate.sources import adapters, readers, writers
 
 
 def _folder(spark) -> str:
@@ -192,3 +192,38 @@ def audited_counts(spark, sf_dir):
     path = _folder(spark)
     writers.audit(d, {"langs": read(spark, sf_dir, "documents").select("lang").distinct().count()}, path)
     return spark.read.schema(d.schema).json(path)
+
+
+def _adapted(spark, sf_dir):
+    """Labelled documents as rows of a dataset: text, label and split."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").where("quality IS NOT NULL AND text IS NOT NULL")
+    label = F.concat_ws("_", "lang", F.when(F.col("quality") == 1, "good").otherwise("poor"))
+    return d.select("doc_id", "text", label.alias("label"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+
+
+_ADAPTED = """WITH d AS (SELECT doc_id, text, lang || ' ' || CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS label, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL), k AS (SELECT * FROM d WHERE label <> 'es poor')
+"""
+
+
+@query(_ADAPTED + "SELECT split, md5(text) AS text, label, (dense_rank() OVER (ORDER BY label) - 1)::INT AS class FROM k")
+def dataset_adapter(spark, sf_dir):
+    """A dataset written and read through its data source: pooled splits, a reject class left out, classes renumbered."""
+    adapters.register(spark)
+    path = _folder(spark)
+    _adapted(spark, sf_dir).select("text", "label", "split").write.format("labelled_lines").mode("append").save(path)
+    rows = spark.read.format("labelled_lines").option("underscores", True).option("drop", "es_poor").option("partition_bytes", 1 << 20).load(path)
+    return adapters.numbered(rows).select("split", F.md5("text").alias("text"), "label", "class")
+
+
+@query(_ADAPTED + "SELECT split, md5(text) AS text, replace(label, ' ', '_') AS label FROM d")
+def dataset_adapter_stream(spark, sf_dir):
+    """The dataset as a stream: a third of it, more of it in a second trigger, and the rest after a restart from the
+    checkpoint."""
+    adapters.register(spark)
+    path, out = _folder(spark), _folder(spark)
+    rows = _adapted(spark, sf_dir).select("doc_id", "text", "label", "split")
+    for part in range(3):
+        rows.where(F.col("doc_id") % 3 == part).drop("doc_id").write.format("labelled_lines").mode("append").save(path)
+        stream = spark.readStream.format("labelled_lines").option("partition_bytes", 1 << 20).load(path)
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(adapters.SCHEMA).parquet(f"{out}/rows").select("split", F.md5("text").alias("text"), "label")
