@@ -126,32 +126,6 @@ def statement_features(df: DataFrame, by: list[str], p: str) -> DataFrame:
     return df.groupBy(*by).agg(top.alias("_t"), F.count_if(F.col(p) >= 0.5).alias("half"), F.sum(p).alias("total")).select(*by, F.get("_t", F.lit(0)).alias("first"), F.coalesce(F.get("_t", F.lit(1)), F.lit(0.0)).alias("second"), "half", "total")
 
 
-def learn_rules(df: DataFrame, label: str, features: list[str]) -> list[tuple[str, bool]]:
-    """Default and exceptions: features (boolean columns) that, in turn, flip the most wrong rows to right, while any does.
-
-    Only counts per feature pattern come to the driver.
-    """
-    cells = [(tuple(r[f] for f in features), r[label], r["n"]) for r in df.groupBy(*features, label).agg(F.count(F.lit(1)).alias("n")).collect()]
-    default = sum(n if y else -n for _, y, n in cells) >= 0
-    rules: list[tuple[str, bool]] = [("", default)]
-    said = {x: default for x, _, _ in cells}
-    while True:  # each rule sets more rows right than before, so this ends
-        best = max(((sum(n * ((y == v) - (y == said[x])) for x, y, n in cells if x[i]), f, v, i) for i, f in enumerate(features) for v in (True, False)), key=lambda b: (b[0], b[1], b[2]))
-        if best[0] <= 0:
-            break
-        rules.append((best[1], best[2]))
-        said = {x: (best[2] if x[best[3]] else s) for x, s in said.items()}
-    return rules
-
-
-def apply_rules(rules: list[tuple[str, bool]]) -> Column:
-    """The last rule that holds decides."""
-    out = F.lit(rules[0][1])
-    for name, value in rules[1:]:
-        out = F.when(F.col(name), value).otherwise(out)
-    return out
-
-
 def joint_decode(df: DataFrame, links: pd.DataFrame) -> DataFrame:
     """Iterated conditional modes over a document's questions: each takes the answer of the best own score plus the weights
     of links from the others' answers, until nothing changes or a state comes again.  df: doc_id, question, answer, score; links: a, la, b, lb, weight (a bounded table)."""

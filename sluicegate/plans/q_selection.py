@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluicegate.functions import text as T
-from sluicegate.operators import corpus as O, deferral as D, selection as S
+from sluicegate.operators import fold, corpus as O, deferral as D, selection as S
 from sluicegate.plans.arms import ARMS, LONG, PROBS, arms, long_preds, probabilities
 from sluicegate.plans.base import query, rounded
 from sluicegate.session import read
@@ -72,11 +72,15 @@ def statement_features(spark, sf_dir):
 
 @query()
 def learned_rules(spark, sf_dir):
-    """Default and exceptions over boolean features; a test holds the learner against examples."""
+    """Rules with exceptions for good documents, learned from their statistics; tests hold the learner against a loop."""
     t = read(spark, sf_dir, "labels").where("quality in (0, 1)").join(read(spark, sf_dir, "documents"), "doc_id")
-    x = t.select((F.col("quality") == 1).alias("y"), F.contains("text", F.lit("!!")).alias("bangs"), F.contains("text", F.lit(" | ")).alias("bars"), (F.col("n_chars") < 300).alias("short"))
-    rules = S.learn_rules(x, "y", ["bangs", "bars", "short"])
-    return rounded(x.agg(F.count(F.lit(1)).alias("n"), F.avg((S.apply_rules(rules) == F.col("y")).cast("double")).alias("accuracy"), F.lit(len(rules)).alias("rules")))
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    x = t.select(
+        (F.col("quality") == 1).alias("good"), "lang", F.col("n_chars").cast("double").alias("chars"), (F.regexp_count("text", F.lit("[!|]")) / (words + 1)).alias("marks"),
+        (F.col("n_chars") / (words + 1)).alias("length"), (F.size(F.array_distinct(F.split("text", r"\s+"))) / (words + 1)).alias("distinct"), F.contains("text", F.lit("!!")).alias("bangs"),
+    )
+    rules = fold.learn(x, "good", ["lang", "chars", "marks", "length", "distinct", "bangs"], 0.9)
+    return fold.covered(x, "good", rules)
 
 
 @query()

@@ -160,14 +160,6 @@ def test_novel_is_strictly_above(spark):
     assert {r["query_id"] for r in O.novel(n, 0.99).where("novel").collect()} == {100}
 
 
-def test_rules_without_bound(spark):
-    rows = [tuple(i == j for j in range(8)) + (True,) for i in range(8) for _ in range(3)] + [(False,) * 8 + (False,)] * 40
-    names = [f"f{i}" for i in range(8)]
-    d = spark.createDataFrame(rows, ", ".join(f"{n} boolean" for n in [*names, "y"]))
-    rules = S.learn_rules(d, "y", names)
-    assert len(rules) == 9 and d.where(S.apply_rules(rules) != F.col("y")).count() == 0
-
-
 def test_joint_decode_ends(spark):
     import pandas as pd
 

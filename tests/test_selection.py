@@ -17,13 +17,6 @@ def test_per_class_budget(spark, data):
     assert sum(r["n"] for r in rows) == 500 and all(r["share"] <= 0.3 for r in rows) and any(r["share"] > 0.15 for r in rows)
 
 
-def test_rules(spark):
-    d = spark.createDataFrame([(True, False, False)] * 8 + [(False, True, False)] * 5 + [(True, True, True)] * 3, "y boolean, a boolean, b boolean")
-    rules = S.learn_rules(d, "y", ["a", "b"])
-    assert rules == [("", True), ("a", False), ("b", True)]
-    assert d.where(S.apply_rules(rules) != F.col("y")).count() == 0
-
-
 def test_joint_decode(spark):
     d = spark.createDataFrame([(1, "q", "yes", 0.6), (1, "q", "no", 0.5), (1, "r", "yes", 2.0), (1, "r", "no", 0.0)], "doc_id long, question string, answer string, score double")
     links = pd.DataFrame([("r", "yes", "q", "no", 0.5)], columns=["a", "la", "b", "lb", "weight"])
