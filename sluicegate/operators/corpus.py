@@ -106,8 +106,9 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], keys: list[str], base: flo
     return rows.groupBy(*keys).agg(F.sum("_s").alias("rrf"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, digits: int = 6, block: int = 256) -> DataFrame:
-    """(query_id, vec_id, sim, rank): k nearest by inner product, rounded; lowest id on ties.
+def nearest(queries: DataFrame, base: DataFrame, k: int, digits: int = 6, block: int = 256, apart: str | None = None) -> DataFrame:
+    """(query_id, vec_id, sim, rank): k nearest by inner product, rounded; lowest id on ties; with apart, a column of both
+    sides, of those with another value of it only.
 
     A stated set of queries against all rows, in blocks: a block of queries is one array, which a base row meets at once,
     and a task keeps k rows a query before anything is exchanged.  Blocks are broadcast while the queries are few, and
@@ -115,9 +116,11 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, digits: int = 6, block:
     """
     n = queries.count()
     blocks = max(1, -(-n // block))
-    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q")).alias("_qs"))
-    spread = base.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
-    met = spread.join(F.broadcast(packed) if n <= 64 * block else packed, "_b").select("vec_id", "v", F.inline("_qs")).where("query_id <> vec_id")
+    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q", *([F.col(apart).alias("_group")] if apart else []))).alias("_qs"))
+    own = [F.col(apart).alias("_own")] if apart else []
+    spread = base.select("vec_id", "v", *own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    met = spread.join(F.broadcast(packed) if n <= 64 * block else packed, "_b").select("vec_id", "v", *["_own"] * bool(apart), F.inline("_qs")).where("query_id <> vec_id")
+    met = met.where("_group <> _own") if apart else met
     sims = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("sim"))
     return top(sims, k, "query_id", order=[F.desc("sim"), F.asc("vec_id")])
 

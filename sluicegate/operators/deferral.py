@@ -165,6 +165,39 @@ def local_competence(df: DataFrame, neighbours: DataFrame) -> DataFrame:
     return df.join(votes, "item_idx", "left").withColumn("escalated", F.coalesce(F.col("gain") > 0, F.lit(False))).drop("gain")
 
 
+def dynamic_selection(preds: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(item_idx, gold, ola, lca, knora, oracle): what is predicted by the models that do best around an item.
+
+    preds: item_idx, gold, model, pred; neighbours: item_idx, near (a training item), rank from 1.  ola: the model that is right
+    on most neighbours.  lca: the one that is right on the greatest share of the neighbours of the class that it predicts
+    for the item (0 without any).  knora: the class that most of the models predict that are right on all of the nearest r
+    neighbours, for the greatest r at which there is one; all models if the nearest defeats them all.  oracle: the class if any
+    model is right, else the first model's.  Of equal models the first by name counts, of equal classes the least.
+
+    Neighbours meet the models' hits in one join on the neighbour, and an item's k rows a model are aggregated; nothing of an item
+    leaves its rows.  An item without neighbours is given to the first model, by knora to all.
+    """
+    hits = preds.select(F.col("item_idx").alias("near"), "model", F.col("gold").alias("near_gold"), (F.col("pred") == F.col("gold")).cast("int").alias("hit"))
+    own = preds.select("item_idx", "gold", "model", "pred")
+    met = neighbours.select("item_idx", "near", "rank").join(hits, "near").join(own.select("item_idx", "model", "pred"), ["item_idx", "model"])
+    same = F.col("near_gold") == F.col("pred")
+    first_wrong = F.min(F.when(F.col("hit") == 0, F.col("rank")))
+    per = met.groupBy("item_idx", "model").agg(
+        F.sum("hit").alias("hits"),
+        (F.sum(F.when(same, F.col("hit")).otherwise(0)) / F.greatest(F.count_if(same), F.lit(1))).alias("local"),
+        F.coalesce(first_wrong - 1, F.max("rank")).alias("run"),
+    )
+    per = own.join(per, ["item_idx", "model"], "left").na.fill(0, ["hits", "run"]).na.fill(0.0, ["local"])
+    pick = lambda by: F.min(F.struct((-F.col(by)).alias("s"), "model", "pred"))["pred"]
+    told = F.collect_list(F.struct("pred", "run", "model", "gold"))  # a row for each model
+    found = per.groupBy("item_idx", "gold").agg(pick("hits").alias("ola"), pick("local").alias("lca"), told.alias("_all"), F.max("run").alias("_run"))
+    votes = F.transform(F.filter("_all", lambda x: x["run"] == F.col("_run")), lambda x: x["pred"])
+    ranked = F.transform(votes, lambda v: F.struct((-F.size(F.filter(votes, lambda u: u == v))).alias("n"), v.alias("pred")))
+    first = F.array_min(F.transform("_all", lambda x: F.struct(x["model"].alias("model"), x["pred"].alias("pred"))))["pred"]
+    oracle = F.when(F.exists("_all", lambda x: x["pred"] == F.col("gold")), F.col("gold")).otherwise(first)
+    return found.select("item_idx", "gold", "ola", "lca", F.array_min(ranked)["pred"].alias("knora"), oracle.alias("oracle"))
+
+
 def class_router(df: DataFrame, budget: float = 1.0) -> DataFrame:
     """Hand whole predicted classes over, greedily by the balanced accuracy they add in training, while they add and the
     budget holds; a row per fold and class comes to the driver, where the greedy choice runs."""

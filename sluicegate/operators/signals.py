@@ -12,7 +12,7 @@ from sluicegate.operators.boot import weight
 from sluicegate.operators.classification import balanced_accuracy
 from sluicegate.operators.deferral import routed
 from sluicegate.operators.ranks import global_rank, running
-from sluicegate.operators.sizes import cut
+from sluicegate.operators.sizes import cut, small
 
 
 def margin(probs: DataFrame) -> DataFrame:
@@ -206,11 +206,12 @@ def router_scores(df: DataFrame, features: list[str], kind: str = "logistic", ro
     return df.withColumn("score", F.lit(None).cast("double")) if out is None else out
 
 
-def tfidf_nearest(queries: DataFrame, base: DataFrame, tokens: Column) -> DataFrame:
+def tfidf_nearest(queries: DataFrame, base: DataFrame, tokens: Column, apart: str | None = None) -> DataFrame:
     """(query_id, id, cosine): the base text of the greatest cosine of tf-idf weights over words and word pairs, smoothed
     idf ln((1 + n) / (1 + df)) + 1 from the base; the lowest id on ties within 1e-9; queries that share no term have none.
 
-    queries: query_id, and the text that tokens reads; base: id and text.  Terms that no query has take part in norms alone.
+    queries: query_id, and the text that tokens reads; base: id and text.  With apart, a column of both, a query meets texts
+    with another value of it only.  Terms that no query has take part in norms alone.
     """
     grams = F.concat(tokens, F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))), lambda i: i < F.size(tokens)), lambda i: F.concat(F.element_at(tokens, i), F.lit(" "), F.element_at(tokens, i + 1))))
     n = base.agg(F.count(F.lit(1)).alias("n"))
@@ -220,7 +221,11 @@ def tfidf_nearest(queries: DataFrame, base: DataFrame, tokens: Column) -> DataFr
     q = cut(q.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "idf"))
     norms = tf.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
     qnorms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.pow("qw", 2))).alias("qnorm"))
-    dots = tf.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    met = tf.join(q, "term")
+    if apart:
+        of = queries.select("query_id", F.col(apart).alias("_group")).distinct()
+        met = met.join(base.select("id", F.col(apart).alias("_own")), "id").join(small(of), "query_id").where("_group <> _own")
+    dots = met.groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
     cos = dots.join(norms, "id").join(qnorms, "query_id").select("query_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 9).alias("cosine"))
     best = cos.groupBy("query_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "id")).alias("b"))
     return best.select("query_id", F.col("b.id").alias("id"), (-F.col("b.c")).alias("cosine"))

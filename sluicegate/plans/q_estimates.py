@@ -27,9 +27,14 @@ def size_demands(spark, sf_dir):
     return rounded(E.demands(read(spark, sf_dir, "documents"), "n_chars", "lang"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'runnable'), ('b', 'rejected'), ('c', 'unverified'), ('d', 'unavailable')) t(model, verdict)")
+@query("""WITH d AS (SELECT max(n_chars) AS most FROM documents), m AS (SELECT s_name AS model, CASE WHEN s_suppkey % 9 <> 0 THEN round(s_acctbal)::BIGINT * (1 + s_nationkey) END AS capacity, CASE WHEN s_nationkey <> 3 THEN s_acctbal - 900 END AS price FROM supplier)
+SELECT model, CASE WHEN capacity IS NULL THEN 'unavailable' WHEN capacity < most THEN 'rejected' WHEN price IS NULL OR price < 0 THEN 'unverified' ELSE 'runnable' END AS verdict FROM m, d""")
 def capability_screen(spark, sf_dir):
-    m = spark.createDataFrame([("a", 10**9, 1.0), ("b", 10, 1.0), ("c", 10**9, float("nan")), ("d", None, 1.0)], "model string, window long, price double")
+    """Suppliers as models: what they can take in against the longest document, and whether their price is known."""
+    s = read(spark, sf_dir, "supplier")
+    window = F.when(F.col("s_suppkey") % 9 != 0, F.round("s_acctbal").cast("long") * (1 + F.col("s_nationkey")))
+    price = F.when(F.col("s_nationkey") != 3, F.col("s_acctbal") - 900).otherwise(F.lit(float("nan")))
+    m = s.select(F.col("s_name").alias("model"), window.alias("window"), price.alias("price"))
     most = read(spark, sf_dir, "documents").agg(F.max("n_chars").alias("most"))
     return E.screen(m.crossJoin(F.broadcast(most)), F.col("most")).select("model", "verdict")
 

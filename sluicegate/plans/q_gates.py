@@ -180,15 +180,38 @@ def nested_operating_point(spark, sf_dir):
     return rounded(G.nested_choice(points).select("outer", "setting", "score"))
 
 
-@query(f"""WITH {ARMS}, s AS (SELECT a.vec_id AS item_idx, b.vec_id AS near, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id JOIN arms x ON x.item_idx = a.vec_id JOIN arms y ON y.item_idx = b.vec_id WHERE x.fold = 0 AND y.fold <> 0),
-k AS (SELECT item_idx, near FROM (SELECT *, row_number() OVER (PARTITION BY item_idx ORDER BY sim DESC, near) AS r FROM s) WHERE r <= 7), v AS (SELECT k.item_idx, sum((expert_pred = gold)::INT - (free_pred = gold)::INT) AS g FROM k JOIN arms ON arms.item_idx = near GROUP BY 1)
-SELECT item_idx, coalesce(g, 0) > 0 AS escalated FROM arms LEFT JOIN v USING (item_idx) WHERE fold = 0""")
+_NEAR = f"""{LONG}, s AS MATERIALIZED (SELECT a.vec_id AS item_idx, b.vec_id AS near, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id JOIN arms x ON x.item_idx = a.vec_id JOIN arms y ON y.item_idx = b.vec_id WHERE x.fold <> y.fold),
+k AS MATERIALIZED (SELECT item_idx, near, r FROM (SELECT *, row_number() OVER (PARTITION BY item_idx ORDER BY sim DESC, near) AS r FROM s) WHERE r <= 7)"""
+
+
+def _near(spark, sf_dir, a):
+    """Each item's seven nearest items of other folds."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")).join(a.select(F.col("item_idx").alias("vec_id"), "fold"), "vec_id")
+    near = O.nearest(v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "fold"), v, 7, apart="fold")
+    return near.select(F.col("query_id").alias("item_idx"), F.col("vec_id").alias("near"), "rank")
+
+
+@query(f"""WITH {_NEAR}, v AS (SELECT k.item_idx, sum((expert_pred = gold)::INT - (free_pred = gold)::INT) AS g FROM k JOIN arms ON arms.item_idx = near GROUP BY 1)
+SELECT item_idx, fold, coalesce(g, 0) > 0 AS escalated FROM arms LEFT JOIN v USING (item_idx)""")
 def local_competence(spark, sf_dir):
-    """The test fold's rows, by the arms' hits on their seven nearest training rows (folds 1 to 4)."""
+    """Each fold's rows, by the arms' hits on their seven nearest rows of the other folds."""
     a = arms(spark, sf_dir)
-    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")).join(a.select(F.col("item_idx").alias("vec_id"), "fold"), "vec_id")
-    near = O.nearest(v.where("fold = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), v.where("fold <> 0").select("vec_id", "v"), 7)
-    return D.local_competence(a, near.select(F.col("query_id").alias("item_idx"), F.col("vec_id").alias("near"))).where("fold = 0").select("item_idx", "escalated")
+    return D.local_competence(a, _near(spark, sf_dir, a)).select("item_idx", "fold", "escalated")
+
+
+@query(f"""WITH {_NEAR}, h AS (
+    SELECT k.item_idx, p.model, sum((n.pred = n.gold)::INT) AS hits, coalesce(avg((n.pred = n.gold)::INT) FILTER (n.gold = p.pred), 0) AS local, coalesce(min(k.r) FILTER (n.pred <> n.gold) - 1, max(k.r)) AS run
+    FROM k JOIN preds n ON n.item_idx = k.near JOIN preds p ON p.item_idx = k.item_idx AND p.model = n.model GROUP BY k.item_idx, p.model
+), m AS (SELECT p.item_idx, p.gold, p.model, p.pred, coalesce(hits, 0) AS hits, coalesce(local, 0) AS local, coalesce(run, 0) AS run FROM preds p LEFT JOIN h USING (item_idx, model)
+), q AS (SELECT *, max(run) OVER (PARTITION BY item_idx) AS longest FROM m
+), c AS (SELECT item_idx, pred, row_number() OVER (PARTITION BY item_idx ORDER BY count(*) DESC, pred) AS n FROM q WHERE run = longest GROUP BY item_idx, pred)
+SELECT item_idx, gold, (list(pred ORDER BY hits DESC, model))[1] AS ola, (list(pred ORDER BY local DESC, model))[1] AS lca, (SELECT pred FROM c WHERE c.item_idx = m.item_idx AND n = 1) AS knora,
+    CASE WHEN bool_or(pred = gold) THEN gold ELSE (list(pred ORDER BY model))[1] END AS oracle
+FROM m GROUP BY item_idx, gold""")
+def dynamic_selection(spark, sf_dir):
+    """What the arms that do best around an item predict, over all folds, and the ceiling of any such choice."""
+    a = arms(spark, sf_dir)
+    return D.dynamic_selection(long_preds(a), _near(spark, sf_dir, a))
 
 
 @query(f"""WITH {ARMS}, w AS (SELECT item_idx, b, {_b('ni', 1000000, "(item_idx || '/' || b)")} AS u, (free_pred = gold)::INT - (expert_pred = gold)::INT AS d FROM arms, range(60) r(b)),

@@ -81,18 +81,18 @@ def fitted_router(spark, sf_dir):
 
 
 _GRAMS = r"""t AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM conversations), g AS (SELECT conv_id, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
-b AS (SELECT id, term, count(*) AS tf FROM g WHERE conv_id % 50 <> 0 GROUP BY ALL), n AS (SELECT count(*) AS n FROM t WHERE conv_id % 50 <> 0), i AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM b, n GROUP BY term, n),
+b AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM t), i AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM b, n GROUP BY term, n),
 q AS (SELECT id AS query_id, term, count(*) * any_value(idf) AS w, any_value(idf) AS idf FROM g JOIN i USING (term) WHERE conv_id % 50 = 0 GROUP BY ALL)"""
 
 
 @query(f"""WITH {_GRAMS}, nb AS (SELECT id, sqrt(sum((tf * idf) ** 2)) AS n FROM b JOIN i USING (term) GROUP BY 1), nq AS (SELECT query_id, sqrt(sum(w ** 2)) AS n FROM q GROUP BY 1),
-c AS (SELECT q.query_id, b.id, round(sum(b.tf * q.idf * q.w) / (any_value(nb.n) * any_value(nq.n)), 9) AS cosine FROM q JOIN b USING (term) JOIN nb ON nb.id = b.id JOIN nq ON nq.query_id = q.query_id GROUP BY ALL)
+c AS (SELECT q.query_id, b.id, round(sum(b.tf * q.idf * q.w) / (any_value(nb.n) * any_value(nq.n)), 9) AS cosine FROM q JOIN b ON b.term = q.term AND b.id // 1000 <> q.query_id // 1000 JOIN nb ON nb.id = b.id JOIN nq ON nq.query_id = q.query_id GROUP BY ALL)
 SELECT query_id, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS r FROM c) WHERE r = 1""")
 def tfidf_neighbour(spark, sf_dir):
     """The turn of another conversation that is nearest by tf-idf of words and word pairs; queries: conversations divisible by 50."""
     t = read(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    q = t.where("conv_id % 50 = 0").select(F.col("id").alias("query_id"), "text")
-    return rounded(G.tfidf_nearest(q, t.where("conv_id % 50 <> 0"), T.words("text")))
+    q = t.where("conv_id % 50 = 0").select(F.col("id").alias("query_id"), "conv_id", "text")
+    return rounded(G.tfidf_nearest(q, t, T.words("text"), apart="conv_id"))
 
 
 @query(f"WITH {ARMS} SELECT fold, count(*) AS turns, count(*) FILTER (free_conf >= 0.5) AS fast_turns, round(avg((free_conf < 0.5)::INT), 6) AS escalation_rate, round(avg((free_pred <> gold)::INT) FILTER (free_conf >= 0.5), 6) AS fast_error_rate FROM arms WHERE gold = 9 GROUP BY 1 HAVING fold = 2")
