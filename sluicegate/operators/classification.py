@@ -117,12 +117,24 @@ def arbitrate(preds: DataFrame, board: DataFrame, order: list[str]) -> DataFrame
 
 
 def pool_diversity(preds: DataFrame) -> DataFrame:
-    """Oracle balanced accuracy of the pool and the mean pairwise disagreement."""
+    """(oracle_balanced, mean_disagreement, oracle_if_independent, diversity_ratio): balanced accuracy of the pool's oracle,
+    the mean pairwise disagreement, the oracle of members that are independent given the class, and the share of the
+    headroom over the best member that the pool has of the one that those would have (null if they have none).
+
+    A member that is right on a share of a class, with its hits dealt anew within the class, leaves an item uncovered with one
+    less that share, whatever the others do; so the mean over all such deals is a product of shares, and none is drawn.
+    """
     oracle = preds.groupBy("item_idx").agg(F.first("gold").alias("gold"), F.bool_or(F.col("gold") == F.col("pred")).cast(_D).alias("hit"))
     oracle = oracle.groupBy("gold").agg(F.avg("hit").alias("r")).agg(F.avg("r").alias("oracle_balanced"))
     # within an item, pairs that disagree = all pairs less the pairs inside each prediction's group
     pairs = preds.groupBy("item_idx", "pred").agg(F.count(F.lit(1)).alias("m")).groupBy("item_idx").agg((F.sum("m") * (F.sum("m") - 1) / 2).alias("all"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"))
-    return oracle.crossJoin(pairs.agg((F.sum(F.col("all") - F.col("same")) / F.sum("all")).alias("mean_disagreement")))
+    right = preds.groupBy("gold", "model").agg(F.avg((F.col("gold") == F.col("pred")).cast(_D)).alias("a"))
+    best = right.groupBy("model").agg(F.avg("a").alias("b")).agg(F.max("b").alias("_best"))
+    missed = F.aggregate(F.collect_list(1 - F.col("a")), F.lit(1.0), lambda x, y: x * y)  # a number for each model
+    alone = right.groupBy("gold").agg(missed.alias("m")).agg((1 - F.avg("m")).alias("oracle_if_independent"))
+    out = oracle.crossJoin(pairs.agg((F.sum(F.col("all") - F.col("same")) / F.sum("all")).alias("mean_disagreement"))).crossJoin(alone).crossJoin(best)
+    room = F.col("oracle_if_independent") - F.col("_best")
+    return out.withColumn("diversity_ratio", F.when(room > 1e-9, (F.col("oracle_balanced") - F.col("_best")) / room)).drop("_best")
 
 
 def committee(preds: DataFrame, primary: str) -> DataFrame:

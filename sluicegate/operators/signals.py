@@ -43,13 +43,13 @@ def class_replicates(preds: DataFrame, leader: str, b: int, seed: str = "") -> D
     return per.groupBy("model", "b").agg(F.avg("_m").alias("diff"))
 
 
-def against_best(preds: DataFrame, b: int, seed: str = "", alpha: float = 0.05) -> DataFrame:
-    """(model, delta, lo, hi, p, significant): each candidate against the one of the best balanced accuracy (first name on
-    ties), with a paired bootstrap stratified by class, corrected by Holm's step-down over the candidates."""
+def against_best(preds: DataFrame, b: int, seed: str = "", alpha: float = 0.05, leader: str | None = None) -> DataFrame:
+    """(model, delta, lo, hi, p, significant): each candidate against the leader or else the one of the best balanced accuracy
+    (first name on ties), with a paired bootstrap stratified by class, corrected by Holm's step-down over the candidates."""
     from sluicegate.functions.stats import holm
 
     scores = cut(balanced_accuracy(preds, "gold", "pred", "model"))
-    leader = scores.orderBy(F.desc("balanced"), "model").first()
+    leader = (scores.where(F.col("model") == leader) if leader else scores.orderBy(F.desc("balanced"), "model")).first()
     reps = class_replicates(preds, leader["model"], b, seed)
     low, high = F.avg((F.col("diff") <= 0).cast("double")), F.avg((F.col("diff") >= 0).cast("double"))
     tests = reps.groupBy("model").agg(F.percentile("diff", F.lit(0.025)).alias("lo"), F.percentile("diff", F.lit(0.975)).alias("hi"), F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p"))

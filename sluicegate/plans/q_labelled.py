@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sluicegate.functions import stats
 from sluicegate.ident import bucket
-from sluicegate.operators import boot, classification as C, conformal as K, deferral as D, joined as J, ranking as R
+from sluicegate.operators import boot, classification as C, conformal as K, deferral as D, joined as J, ranking as R, stacking
 from sluicegate.plans.arms import ARMS, LONG, PROBS, _b, arms, long_preds, probabilities
 from sluicegate.plans.base import query, rounded
 
@@ -118,8 +118,10 @@ def arbitration(spark, sf_dir):
 
 
 @query(f"""WITH {LONG}, o AS (SELECT gold, avg(h) AS r FROM (SELECT item_idx, any_value(gold) AS gold, bool_or(gold = pred)::INT AS h FROM preds GROUP BY item_idx) GROUP BY gold),
-d AS (SELECT avg((a.pred <> b.pred)::INT) AS x FROM preds a JOIN preds b ON a.item_idx = b.item_idx AND a.model < b.model)
-SELECT round(avg(r), 6) AS oracle_balanced, round(any_value(x), 6) AS mean_disagreement FROM o, d""")
+d AS (SELECT avg((a.pred <> b.pred)::INT) AS x FROM preds a JOIN preds b ON a.item_idx = b.item_idx AND a.model < b.model),
+m AS (SELECT gold, model, avg((gold = pred)::INT) AS a FROM preds GROUP BY ALL), i AS (SELECT avg(1 - p) AS ind FROM (SELECT gold, product(1 - a) AS p FROM m GROUP BY 1)), t AS (SELECT max(b) AS best FROM (SELECT model, avg(a) AS b FROM m GROUP BY 1)),
+q AS (SELECT avg(r) AS r FROM o)
+SELECT round(r, 6) AS oracle_balanced, round(x, 6) AS mean_disagreement, round(ind, 6) AS oracle_if_independent, round((r - best) / (ind - best), 6) AS diversity_ratio FROM q, d, i, t""")
 def pool_diversity(spark, sf_dir):
     return rounded(C.pool_diversity(long_preds(arms(spark, sf_dir))))
 
@@ -224,6 +226,20 @@ def bootstrap_interval(spark, sf_dir):
     return rounded(boot.interval(boot.replicates(d, "item_idx", "d", 40, "boot")))
 
 
+@query(f"""WITH {_BOOT}, r AS (SELECT b, sum(n * (y - x)) / sum(n) AS d FROM k GROUP BY b), v AS (SELECT avg(y - x) AS m FROM (SELECT DISTINCT item_idx, x, y FROM k)),
+j AS (SELECT (sum((y - x - m) ** 3) / (6 * sum((y - x - m) ** 2) ** 1.5)) AS a FROM (SELECT DISTINCT item_idx, x, y FROM k), v)
+SELECT round(a, 6) AS a, (SELECT round(avg((d < m)::INT + (d = m)::INT / 2.0), 6) FROM r, v) AS below FROM j""")
+def bootstrap_correction(spark, sf_dir):
+    """What corrects a bootstrap interval: the jackknife's acceleration and the share of replicates below the mean."""
+    a = _right(arms(spark, sf_dir))
+    d = a.select("item_idx", (F.col("expert_right").cast("int") - F.col("right").cast("int")).alias("d"))
+    reps = boot.replicates(d, "item_idx", "d", 40, "boot")
+    own = boot.acceleration(d, "d")
+    below = F.avg((F.col("mean") < F.col("m")).cast("double") + (F.col("mean") == F.col("m")).cast("double") / 2)
+    share = reps.crossJoin(F.broadcast(own.select(F.col("mean").alias("m")))).agg(below.alias("below"))
+    return rounded(own.select("a").crossJoin(share))
+
+
 @query(f"""WITH c AS (SELECT conv_id, count(*) AS n, sum((role = 'assistant')::INT) AS s FROM conversations GROUP BY 1),
 w AS (SELECT *, {_b('conv', 1000000, "(conv_id || '/' || b)")} AS u FROM c, range(40) r(b)),
 k AS (SELECT *, (u >= 367879)::INT + (u >= 735759)::INT + (u >= 919699)::INT + (u >= 981012)::INT + (u >= 996340)::INT + (u >= 999406)::INT AS m FROM w)
@@ -496,3 +512,36 @@ SELECT round(avg(x), 6) AS accuracy, round(avg(c), 6) AS confidence, CASE WHEN c
 def mean_over_repeats(spark, sf_dir):
     a = arms(spark, sf_dir).groupBy("fold").agg(F.avg((F.col("free_pred") == F.col("gold")).cast("double")).alias("accuracy"), F.avg("free_conf").alias("confidence"))
     return rounded(J.mean_over(a.withColumn("verdict", F.when(F.col("accuracy") > 0.65, "good").otherwise("bad")), ["accuracy", "confidence"], ["verdict"]))
+
+
+@query(f"""WITH {LONG}, t AS (SELECT preds.*, least(0.999, {_b('bin', 500, "(item_idx || '/' || model)")} / 1000.0::DOUBLE + 0.5 * (gold = pred)::INT) AS conf FROM preds
+), x AS (SELECT *, CASE WHEN conf >= 0.9 THEN 4 WHEN conf >= 0.8 THEN 3 WHEN conf >= 0.7 THEN 2 WHEN conf >= 0.6 THEN 1 ELSE 0 END AS bin FROM t
+), f AS (SELECT DISTINCT fold AS test FROM preds
+), b AS (SELECT test, model, pred, avg((pred = gold)::INT) AS r FROM x JOIN f ON fold <> test GROUP BY ALL
+), c AS (SELECT test, model, pred, bin, avg((pred = gold)::INT) AS r, count(*) AS n FROM x JOIN f ON fold <> test GROUP BY ALL
+), s AS (SELECT x.*, CASE WHEN c.n >= 25 THEN c.r ELSE coalesce(b.r, 0) END AS rel FROM x LEFT JOIN b ON b.test = x.fold AND b.model = x.model AND b.pred = x.pred LEFT JOIN c ON c.test = x.fold AND c.model = x.model AND c.pred = x.pred AND c.bin = x.bin)
+SELECT item_idx, fold, gold, model, pred, round(conf, 6) AS conf, round(rel, 6) AS reliability FROM (SELECT *, row_number() OVER (PARTITION BY item_idx ORDER BY rel DESC, model) AS n FROM s) WHERE n = 1""")
+def reliability_selection(spark, sf_dir):
+    """For each item the vote that was right most often for its class and confidence in the other folds."""
+    return rounded(stacking.reliability_selection(_confident(spark, sf_dir)))
+
+
+def _confident(spark, sf_dir):
+    """The arms' predictions, each with a confidence."""
+    p = long_preds(arms(spark, sf_dir))
+    u = bucket(F.concat_ws("/", F.col("item_idx").cast("string"), "model"), 500, "bin") / F.lit(1000.0)
+    return p.withColumn("conf", F.least(F.lit(0.999), u + F.lit(0.5) * (F.col("gold") == F.col("pred")).cast("int")))
+
+
+@query()
+def stacked_choice(spark, sf_dir):
+    """A stacked classifier and the reliability table over the arms, each against the best arm; tests hold the parts against
+    loops."""
+    p = _confident(spark, sf_dir)
+    classes = F.sequence(F.lit(0), F.lit(9))
+    share = F.transform(classes, lambda c: F.when(c == F.col("pred"), F.col("conf")).otherwise((1 - F.col("conf")) / 9))
+    x = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("model", share.alias("p")))), lambda m: m["p"]))  # a row for each arm
+    s = stacking.stacked(p.groupBy("item_idx", "fold", "gold").agg(x.alias("x"))).withColumn("model", F.lit("stacked"))
+    r = stacking.reliability_selection(p).withColumn("model", F.lit("reliability"))
+    made = s.select("item_idx", "gold", "model", "pred").unionByName(r.select("item_idx", "gold", "model", "pred"))
+    return rounded(stacking.choice(p, made, 100, "stack"))
