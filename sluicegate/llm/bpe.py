@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sluicegate.llm.common import STEP_BYTES, span_hashes, steps, utf8
+from sluicegate.llm.common import STEP_BYTES, span_hashes, steps, trimmed, utf8
 from sluicegate.llm.idtable import CLOSING, LETTER, Table, spans, stems
 
 #: Fixed value: the byte-level pre-token pattern of the vocabulary file's pre-tokenizer.
@@ -317,7 +317,7 @@ def digests(docs: DataFrame, vocab_path: str, keep: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocab_path)
-        for b in steps(batches, text):
+        for b in steps(batches, text, STEP_BYTES // 2):  # ids, decoded bytes and texts of a step are held at once
             ids, ends = own.encode_column(b.column(text))
             raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
             out = [
@@ -328,4 +328,4 @@ def digests(docs: DataFrame, vocab_path: str, keep: tuple[str, ...] = ("doc_id",
             out += [id_lists(ids, ends)] * with_ids
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(trimmed(run), schema)
