@@ -187,6 +187,45 @@ def quota_stream(spark, sf_dir):
     return out.groupBy("day").agg(F.count(F.lit(1)).alias("asked"), F.count_if("allowed").alias("allowed"))
 
 
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 3 AS allowed FROM events")
+def quota_triggers(spark, sf_dir):
+    """A quota's rows when the events come in three parts that cut days, each met after a restart."""
+    parts = usage.by_time(read(spark, sf_dir, "events"), 3)
+    return usage.fed(parts, lambda s: usage.quota_stream(s, 3), _folder(spark)).select("user_id", "event_id", "allowed")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS n FROM events) WHERE n = 1")
+def once_triggers(spark, sf_dir):
+    """Each event once, when a source delivers the last six hours of a part again with the next one."""
+    parts = usage.by_time(read(spark, sf_dir, "events"), 4, "6 HOURS")
+    return usage.fed(parts, usage.once, _folder(spark)).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
+def last_seen_triggers(spark, sf_dir):
+    """A table of users that triggers add their changes to, merged every other one."""
+    folder = _folder(spark)
+    usage.fed(usage.by_time(read(spark, sf_dir, "events"), 5), lambda s: s, folder, usage.merge_last_seen(f"{folder}/users", 2))
+    return usage.seen_users(spark, f"{folder}/users")
+
+
+@query("""WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, turn, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context, coalesce((SELECT string_agg(role, ',' ORDER BY role) FROM f WHERE f.conv_id = c.conv_id AND t < c.turn), '') AS known FROM conversations c""")
+def decision_triggers(spark, sf_dir):
+    """The decision log when conversations go on over three parts, each met after a restart."""
+    c = read(spark, sf_dir, "conversations")
+    return usage.fed([c.where("turn < 2"), c.where("turn BETWEEN 2 AND 3"), c.where("turn > 3")], lambda s: usage.decision_log(s, 3), _folder(spark))
+
+
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS item, CASE WHEN turn % 2 = 0 THEN 'role ' || role || conv_id % 7 ELSE text END AS said, (turn > 1)::INT + (turn > 3)::INT AS part FROM conversations WHERE text IS NOT NULL), a AS (SELECT item, (first_value(item) OVER (PARTITION BY said ORDER BY part, item))::BIGINT AS answered_by FROM t)
+SELECT item, item = answered_by AS asks, answered_by FROM a""")
+def asked_once_triggers(spark, sf_dir):
+    """Which turns ask and which take an answer that is kept, over three parts with a restart before each."""
+    c = read(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("role "), "role", F.col("conv_id") % 7)).otherwise(F.col("text"))
+    t = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.md5(said).alias("sha"), "turn")
+    return usage.fed([t.where("turn < 2"), t.where("turn BETWEEN 2 AND 3"), t.where("turn > 3")], usage.asked_once, _folder(spark))
+
+
 @query("""WITH j AS (SELECT event_id, event_type, (props->>'$.k')::INT AS k FROM events) SELECT event_type, count(*) AS n, sum(k)::BIGINT AS total, max(k) AS most FROM j GROUP BY 1""")
 def json_path(spark, sf_dir):
     j = read(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DELAY = "1 day"
@@ -48,19 +48,37 @@ def last_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-def merge_last_seen(path: str):
-    """A foreachBatch function that merges a batch into the table at path, one version folder per batch."""
+#: Triggers after which the changes to a table of users are merged into its base.
+MERGE_EVERY = 8
+
+
+def merge_last_seen(path: str, every: int = MERGE_EVERY):
+    """A foreachBatch function that keeps the table of users at path, which ``seen_users`` reads.
+
+    A trigger writes what its own batch says, under its number, so one that is retried writes the same again; every few
+    triggers the changes since the last base become a new base.  A trigger's work follows its batch, not the table, and
+    the table is rewritten once in every.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = last_seen(batch)
-        if number:
-            new = spark.read.parquet(f"{path}/v{number - 1}").unionByName(new).groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        last_seen(batch).write.mode("overwrite").parquet(f"{path}/kind=change/batch={number}")
+        if (number + 1) % every == 0:
+            seen_users(batch.sparkSession, path, number).write.mode("overwrite").parquet(f"{path}/kind=base/batch={number}")
 
     return merge
 
 
+def seen_users(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """(user_id, first_seen, last_seen) from the newest base and the changes after it (to trigger upto); folders of others are
+    left out of the scan."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows if upto is None else rows.where((F.col("batch") < upto) | (F.col("batch") == upto) & (F.col("kind") == "change"))
+    base = rows.where("kind = 'base'").agg(F.max("batch").alias("b")).first()["b"]
+    if base is not None:
+        rows = rows.where((F.col("kind") == "base") & (F.col("batch") == base) | (F.col("kind") == "change") & (F.col("batch") > base))
+    return rows.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
 def quota_stream(events: DataFrame, limit: int, delay: str = DELAY) -> DataFrame:
     """(user_id, day, event_id, allowed): a user's first limit requests of a day, by event time within a trigger; state is
     the day's count, kept until the watermark passes the day."""
@@ -99,6 +117,57 @@ def decision_log(turns: DataFrame, last: int) -> DataFrame:
     return turns.select("conv_id", "turn", "role").groupBy("conv_id").applyInPandasWithState(take, "conv_id long, turn long, context string, known string", "before string, known string", "append", GroupStateTimeout.NoTimeout)
 
 
+def asked_once(texts: DataFrame, keep: str | None = None) -> DataFrame:
+    """(item, asks, answered_by): of each text of a stream of (item, sha) the first item asks, and the others take its answer;
+    a trigger's items come in their order.  With keep, an answer that no item has taken for so long (of processing time) is
+    forgotten and asked for anew; such a query looks for answers to forget for as long as it runs, so it needs a trigger that
+    has no end (not available-now)."""
+    ms = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+
+    def take(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        items = sorted(i for pdf in pdfs for i in pdf["item"])
+        kept = state.get[0] if state.exists else None
+        by = items[0] if kept is None else kept
+        state.update((by,))
+        if ms:
+            state.setTimeoutDuration(ms)
+        yield pd.DataFrame({"item": items, "asks": [kept is None and n == 0 for n in range(len(items))], "answered_by": by})
+
+    kind = "item long, asks boolean, answered_by long"
+    return texts.select("item", "sha").groupBy("sha").applyInPandasWithState(take, kind, "answered_by long", "append", GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout)
+
+
+def fed(parts: list[DataFrame], transform, folder: str, sink=None) -> DataFrame | None:
+    """Parts that arrive one after the other: each is added to the source's folder and met by a query that is started anew
+    from the checkpoint of the one before, so it finds the state that others left.
+
+    transform makes the streaming frame; its rows are appended to a table, which is returned, or handed to sink, a
+    foreachBatch function.
+    """
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = transform(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        writer = stream.writeStream.outputMode("append" if sink is None else "update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        writer = writer.format("parquet").option("path", f"{folder}/out") if sink is None else writer.foreachBatch(sink)
+        writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out") if sink is None else None
+
+
+def by_time(events: DataFrame, parts: int, again: str | None = None, time: str = "ts") -> list[DataFrame]:
+    """events in parts of equal numbers of rows by time; with again, a part begins with what the part before had in the last
+    stretch of that length, as a source does that delivers at least once."""
+    cuts = events.agg(F.percentile_approx(time, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"]
+    out = []
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        from_ = F.lit(True) if low is None else F.col(time) > (F.lit(low) - F.expr(f"INTERVAL {again}") if again else F.lit(low))
+        out.append(events.where(from_ & (F.lit(True) if high is None else F.col(time) <= F.lit(high))))
+    return out
+
+
 def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a streaming frame over what is there; its rows lie as Parquet in the folder, and checkpoints beside them.
 

@@ -10,8 +10,23 @@ def test_tumbling(spark, data):
 
 
 def test_merge_last_seen(spark, tmp_path):
-    d = spark.createDataFrame([(1, 5), (1, 7), (2, 1)], "user_id int, s int").selectExpr("user_id", "timestamp_seconds(s) ts")
-    merge = usage.merge_last_seen(str(tmp_path / "t"))
-    merge(d.where("user_id = 1"), 0)
-    merge(d.where("user_id = 2"), 1)
-    assert spark.read.parquet(str(tmp_path / "t/v1")).count() == 2
+    at = lambda u, t: (u, t)
+    batches = [[at(1, 5), at(1, 7)], [at(2, 1)], [at(1, 2)], [at(2, 9), at(3, 3)], [at(1, 8)]]
+    path = str(tmp_path / "t")
+    merge = usage.merge_last_seen(path, every=2)
+    frames = [spark.createDataFrame(b, "user_id int, s int").selectExpr("user_id", "timestamp_seconds(s) ts") for b in batches]
+    for n, d in enumerate(frames):
+        merge(d, n)
+        if n == 3:
+            merge(d, n)  # a retried trigger
+        got = {(r["user_id"], r["a"], r["b"]) for r in usage.seen_users(spark, path).selectExpr("user_id", "unix_seconds(first_seen) a", "unix_seconds(last_seen) b").collect()}
+        seen = [x for b in batches[: n + 1] for x in b]
+        assert got == {(u, min(t for v, t in seen if v == u), max(t for v, t in seen if v == u)) for u, _ in seen}
+
+
+def test_parts_by_time_repeat_their_end(spark):
+    d = spark.range(100).selectExpr("id", "timestamp_seconds(id * 3600) AS ts")
+    plain = [{r["id"] for r in p.collect()} for p in usage.by_time(d, 4)]
+    assert sum(map(len, plain)) == 100 and set.union(*plain) == set(range(100))
+    again = [{r["id"] for r in p.collect()} for p in usage.by_time(d, 4, "6 HOURS")]
+    assert [len(a - b) for a, b in zip(again, plain)] == [0, 6, 6, 6]
