@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sluicegate.operators.sizes import cut, small
+
 
 def first_reason(**tests: Column) -> Column:
     """The name of the first true test, in the order given; null where none is."""
@@ -160,20 +162,32 @@ def tag(tokens: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
         return F.transform(places, lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("tokens", i, F.lit(n)), " ").alias("phrase")))
 
     grams = F.flatten(F.array(*map(runs, range(1, longest + 1))))
-    hits = tokens.select("doc_id", F.inline(grams)).join(F.broadcast(lexicon), "phrase").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("neg"), "tag"))).alias("h"))
+    hits = tokens.select("doc_id", F.inline(grams)).join(small(lexicon), "phrase").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("neg"), "tag"))).alias("h"))
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,size:int,tag:string>>").alias("out"))
     take = lambda s, x: F.when(x["at"] >= s["end"], F.struct((x["at"] - x["neg"]).alias("end"), F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), (-x["neg"]).alias("size"), x["tag"].alias("tag")))).alias("out"))).otherwise(s)
     return hits.select("doc_id", F.inline(F.aggregate("h", zero, take)["out"]))
 
 
 def resolve_name(asked: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
-    """(asked, name): exact, then equal without folder and ending, then the closest by edit distance of at least least."""
-    base = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"^.*/", ""), r"\.[a-z0-9]+$", "")
-    met = names.join(F.broadcast(asked), F.lit(True))
-    close = 1 - F.levenshtein(base(F.col("asked")), base(F.col("name"))) / F.greatest(F.length(base(F.col("asked"))), F.length(base(F.col("name"))), F.lit(1))
-    rank = F.when(F.col("asked") == F.col("name"), 0).when(base(F.col("asked")) == base(F.col("name")), 1).when(close >= least, 2)
-    best = met.withColumn("_k", rank).where("_k is not null").groupBy("asked").agg(F.min(F.struct("_k", (-close).alias("c"), "name")).alias("b"))
-    return asked.join(best, "asked", "left").select("asked", F.col("b.name").alias("name"))
+    """(asked, name): exact, then equal without folder and ending, then the closest by edit distance of at least least.
+
+    Each step takes what the steps before have left: two equi-joins, then one on the length of the names, which for a
+    likeness of least lies within l * least and l / least; distances are counted up to what least allows.
+    """
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"^.*/", ""), r"\.[a-z0-9]+$", "")
+    known = cut(names.select("name").where("name IS NOT NULL").distinct().withColumn("base", bare(F.col("name"))).withColumn("size", F.length("base")))
+    open_ = cut(asked.select("asked").where("asked IS NOT NULL").distinct().withColumn("base", bare(F.col("asked"))).withColumn("size", F.length("base")))
+    exact = cut(open_.join(known.select(F.col("name").alias("asked")), "asked").select("asked", F.col("asked").alias("name")))
+    open_ = open_.join(exact, "asked", "left_anti")
+    same = cut(open_.join(known.select("base", "name"), "base").groupBy("asked").agg(F.min("name").alias("name")))
+    open_ = cut(open_.join(same, "asked", "left_anti"))
+    sizes = F.explode(F.sequence(F.ceil(F.col("size") * least - 1e-9).cast("int"), F.floor(F.col("size") / least + 1e-9).cast("int")))
+    met = open_.select("asked", F.col("base").alias("own"), F.col("size").alias("own_size"), sizes.alias("size")).join(known, "size")
+    longest = F.greatest("own_size", "size", F.lit(1))
+    far = F.expr(f"levenshtein(own, base, int(floor((1 - {least}) * greatest(own_size, size, 1) + 1e-9)))")
+    close = met.withColumn("far", far).where("far >= 0").select("asked", (1 - F.col("far") / longest).alias("close"), "name").where(F.col("close") >= least)
+    near = close.groupBy("asked").agg(F.min(F.struct((-F.col("close")).alias("c"), "name"))["name"].alias("name"))
+    return asked.select("asked").join(exact.unionByName(same).unionByName(near), "asked", "left")
 
 
 def nested_choice(points: DataFrame) -> DataFrame:

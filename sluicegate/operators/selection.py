@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sluicegate.functions.text import dot
+from sluicegate.operators.sizes import small
 from sluicegate.ident import order_key
 
 
@@ -43,7 +44,7 @@ def locate(pieces: DataFrame, question: Column, expanded: Column, k: int) -> Dat
 
 def covers_all(postings: DataFrame, wanted: DataFrame, slots: int) -> DataFrame:
     """Pieces whose postings cover every slot of the question.  postings: piece, term; wanted: slot, term."""
-    return postings.join(F.broadcast(wanted), "term").groupBy("piece").agg(F.countDistinct("slot").alias("n")).where(F.col("n") == slots).select("piece")
+    return postings.join(small(wanted), "term").groupBy("piece").agg(F.countDistinct("slot").alias("n")).where(F.col("n") == slots).select("piece")
 
 
 def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluicegate.functions import text as T
 from sluicegate.ident import bucket
-from sluicegate.operators import classification as C, corpus as O, documents as U, turns as V
+from sluicegate.operators import dense, classification as C, corpus as O, documents as U, turns as V
 from sluicegate.operators.graph import components
 from sluicegate.plans.arms import _b
 from sluicegate.plans.base import query, rounded
@@ -182,6 +182,15 @@ def single_linkage(spark, sf_dir):
     return components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), b)
 
 
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) >= 0.3
+), r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT r.id AS vec_id, any_value(v.label) AS label, min(c) AS cluster FROM r JOIN embeddings v ON v.vec_id = r.id GROUP BY r.id""")
+def dense_linkage(spark, sf_dir):
+    """Clusters of the vectors of each label that are alike, by blocked products."""
+    return dense.clusters(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.3)
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT line, count(DISTINCT doc_id) AS docs, count(*) AS times FROM l WHERE trim(line) <> '' GROUP BY 1) SELECT line, docs, times FROM c WHERE docs >= 5""")
 def repeated_lines(spark, sf_dir):
     return O.repeated_lines(read(spark, sf_dir, "documents"), "text", 5)
