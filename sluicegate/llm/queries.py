@@ -56,7 +56,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.passages(_documents(spark, sf_dir))
+    return passages.passages(_documents(spark, sf_dir), versions=True)
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
