@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sluicegate.functions.text import char_grams, dot
+from sluicegate.operators.neighbours import nearest_pairs, sound
 from sluicegate.operators.sizes import cut, small
 
 
@@ -110,18 +111,32 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, digits: int = 6, block:
     """(query_id, vec_id, sim, rank): k nearest by inner product, rounded; lowest id on ties; with apart, a column of both
     sides, of those with another value of it only.
 
-    A stated set of queries against all rows, in blocks: a block of queries is one array, which a base row meets at once,
-    and a task keeps k rows a query before anything is exchanged.  Blocks are broadcast while the queries are few, and
-    meet copies of the base in an exchange beyond that.  queries: query_id, q; base: vec_id, v.
+    A stated set of queries against all rows, by products of blocks (``neighbours``), so pairs stay within tasks and about k
+    rows a query and block leave them.  Rows that cannot be multiplied so (null vectors or components, other lengths,
+    non-finite numbers) are met pair by pair.  queries: query_id, q; base: vec_id, v; ids are whole numbers.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q", *([F.col(apart).alias("_group")] if apart else []))).alias("_qs"))
-    own = [F.col(apart).alias("_own")] if apart else []
-    spread = base.select("vec_id", "v", *own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
-    met = spread.join(F.broadcast(packed) if n <= 64 * block else packed, "_b").select("vec_id", "v", *["_own"] * bool(apart), F.inline("_qs")).where("query_id <> vec_id")
-    met = met.where("_group <> _own") if apart else met
-    sims = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("sim"))
+    asked = queries.select("query_id", "q", *([F.col(apart).alias("_group")] if apart else []))
+    held = base.select("vec_id", "v", *([F.col(apart).alias("_own")] if apart else []))
+    dim = base.agg(F.mode(F.nullif(F.size("v"), F.lit(-1)), True).alias("d")).first()["d"] or 1
+    fits = {x: F.col(key).isNotNull() & sound(x, dim) & (F.col(group).isNotNull() if apart else F.lit(True)) for x, key, group in (("q", "query_id", "_group"), ("v", "vec_id", "_own"))}
+    count = lambda df, x: df.agg(F.count_if(fits[x]).alias("n"), F.count_if(~fits[x]).alias("odd")).first()
+    n, m = count(asked, "q"), count(held, "v")
+    pairs = nearest_pairs(asked.where(fits["q"]), held.where(fits["v"]), k, digits, dim, apart is not None, n["n"], m["n"])
+    kinds = {"query_id": queries.schema["query_id"].dataType, "vec_id": base.schema["vec_id"].dataType}
+    sims = pairs.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()), F.round("product", digits).alias("sim"))
+
+    def plain(some: DataFrame, others: DataFrame, asks: int) -> DataFrame:
+        blocks = max(1, -(-asks // block))
+        packed = some.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct(*some.columns)).alias("_qs"))
+        spread = others.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        met = spread.join(packed, "_b").select(*others.columns, F.inline("_qs")).where("query_id <> vec_id")
+        met = met.where("_group <> _own") if apart else met
+        return met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("sim"))
+
+    if n["odd"]:
+        sims = sims.unionByName(plain(asked.where(~fits["q"]), held, n["odd"]))
+    if m["odd"]:
+        sims = sims.unionByName(plain(asked.where(fits["q"]), held.where(~fits["v"]), n["n"]))
     return top(sims, k, "query_id", order=[F.desc("sim"), F.asc("vec_id")])
 
 
