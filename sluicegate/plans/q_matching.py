@@ -11,7 +11,7 @@ from sluicegate.operators import matching as M, turns as V
 from sluicegate.operators.sizes import shared_folder
 from sluicegate.plans.arms import ARMS, LONG, arms, long_preds
 from sluicegate.plans.base import query, rounded
-from sluicegate.session import read
+from sluicegate.session import read, stream
 from sluicegate.streaming import usage
 
 _FORMS = ["th", "the", "of", "in", "and"]
@@ -158,5 +158,5 @@ def state_lines(spark, sf_dir):
 @query("""WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, turn, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context, coalesce((SELECT string_agg(role, ',' ORDER BY role) FROM f WHERE f.conv_id = c.conv_id AND t < c.turn), '') AS known FROM conversations c""")
 def decision_stream(spark, sf_dir):
     """The decision log of a stream of turns, appended to as they come."""
-    turns = spark.readStream.schema(read(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "conversations*.parquet").parquet(sf_dir)
+    turns = stream(spark, sf_dir, "conversations")
     return usage.run_once(usage.decision_log(turns, 3), "append", f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}")

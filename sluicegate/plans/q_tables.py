@@ -11,7 +11,7 @@ from sluicegate.operators import graph, joined as J, ledger as L, ranking as R
 from sluicegate.operators.sizes import shared_folder
 from sluicegate.plans.arms import _b
 from sluicegate.plans.base import query, rounded
-from sluicegate.session import read
+from sluicegate.session import read, stream
 from sluicegate.streaming import usage
 
 
@@ -157,8 +157,7 @@ def session_batch(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
-    """The events file as a stream; file streams read folders."""
-    return spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return stream(spark, sf_dir, "events")
 
 
 def _folder(spark) -> str:

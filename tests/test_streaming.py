@@ -30,3 +30,13 @@ def test_parts_by_time_repeat_their_end(spark):
     assert sum(map(len, plain)) == 100 and set.union(*plain) == set(range(100))
     again = [{r["id"] for r in p.collect()} for p in usage.by_time(d, 4, "6 HOURS")]
     assert [len(a - b) for a, b in zip(again, plain)] == [0, 6, 6, 6]
+
+
+def test_streams_of_tables_that_are_folders(spark, data, tmp_path):
+    from sluicegate.session import read
+
+    for name in ("events", "conversations"):
+        read(spark, data, name).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("decision_stream", "quota_stream", "last_seen_stream"):
+        one, many = (sorted(map(str, QUERIES[name](spark, d).collect())) for d in (data, str(tmp_path)))
+        assert one and one == many
