@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,25 +80,42 @@ def seen_users(spark: SparkSession, path: str, upto: int | None = None) -> DataF
     return rows.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+#: Parts that a day's users are dealt over; the same for all runs of a checkpoint.
+BUCKETS = 64
+
+
 def quota_stream(events: DataFrame, limit: int, delay: str = DELAY) -> DataFrame:
     """(user_id, day, event_id, allowed): a user's first limit requests of a day, by event time within a trigger; state is
-    the day's count, kept until the watermark passes the day."""
+    the day's counts of a part of the users, kept until the watermark passes the day.
+
+    A call takes a part of a day's users at once, so the calls follow days and parts, not users.
+    """
+    least = np.iinfo(np.int64).min  # stands for a null user
 
     def take(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            nth = used + 1 + pd.RangeIndex(len(pdf)).to_numpy()
-            used += len(pdf)
-            yield pd.DataFrame({"user_id": pdf["user_id"], "day": pdf["day"], "event_id": pdf["event_id"], "allowed": nth <= limit})
-        state.update((used,))
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1]).timestamp() * 1000) + 172_800_000, state.getCurrentWatermarkMs() + 1))
-
-    rows = _timed(events, delay).withColumn("day", F.to_date("ts").cast("string"))
-    return rows.groupBy("user_id", "day").applyInPandasWithState(take, "user_id long, day string, event_id long, allowed boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+        users, used = (np.frombuffer(x, np.int64) for x in (state.get if state.exists else (b"", b"")))
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        user = pdf["_user"].to_numpy()
+        now, of, n = np.unique(user, return_inverse=True, return_counts=True)
+        every = np.union1d(users, now)
+        counts = np.zeros(len(every), np.int64)
+        counts[np.searchsorted(every, users)] = used
+        at = np.searchsorted(every, now)
+        nth = counts[at][of] + 1 + pdf.groupby("_user").cumcount().to_numpy()
+        counts[at] += n
+        state.update((every.tobytes(), counts.tobytes()))
+        if key[1] is not None:
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1]).timestamp() * 1000) + 172_800_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"_user": user, "day": key[1], "event_id": pdf["event_id"].to_numpy(), "allowed": nth <= limit})
+
+    user = F.coalesce(F.col("user_id").cast("long"), F.lit(int(least)))
+    rows = _timed(events, delay).select("ts", "event_id", user.alias("_user"), F.to_date("ts").cast("string").alias("day"))
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64("_user"), F.lit(BUCKETS)).cast("int")).groupBy("_part", "day")
+    out = parts.applyInPandasWithState(take, "_user long, day string, event_id long, allowed boolean", "users binary, used binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.nullif("_user", F.lit(int(least))).alias("user_id"), "day", "event_id", "allowed")
 
 
 def decision_log(turns: DataFrame, last: int) -> DataFrame:

@@ -40,3 +40,14 @@ def test_streams_of_tables_that_are_folders(spark, data, tmp_path):
     for name in ("decision_stream", "quota_stream", "last_seen_stream"):
         one, many = (sorted(map(str, QUERIES[name](spark, d).collect())) for d in (data, str(tmp_path)))
         assert one and one == many
+
+
+def test_quota_calls_follow_days_not_users(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(usage, "BUCKETS", 4)
+    rows = spark.range(6000).selectExpr("id AS event_id", "nullif(id % 1500, 7) AS user_id", "timestamp_seconds(1700000000 + id * 40) AS ts")
+    parts = usage.by_time(rows, 2)
+    got = usage.fed(parts, lambda s: usage.quota_stream(s, 2), str(tmp_path / "q"))
+    want = rows.selectExpr("user_id", "event_id", "row_number() OVER (PARTITION BY user_id, to_date(ts) ORDER BY ts, event_id) <= 2 AS allowed")
+    assert got.count() == 6000 and got.select("user_id", "event_id", "allowed").exceptAll(want).count() == 0
+    state = spark.read.format("statestore").load(str(tmp_path / "q" / "checkpoint"))
+    assert state.count() <= 3 * 4  # a state for each day and part, not for each user
