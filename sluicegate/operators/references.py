@@ -20,7 +20,8 @@ BEFORE = 300
 
 _NUMBER = r"\d+(?:\.\d+)*(?:\s*\([a-zA-Z0-9]{1,4}\))*|[IVXLC]+\b"
 _SECTION = rf"\b(?:Sections?|Articles?|Clauses?|Paragraphs?)\s+({_NUMBER})(?:\s+of\s+(?!this\b)(?:the\s+|that\s+certain\s+)?((?:[A-Z][\w&.-]*\s*)+))?"
-_ATTACHED = r"\b(Exhibit|Schedule|Annex|Appendix|Attachment|Addendum)\s+([A-Z0-9]{1,3}(?:[.-][A-Z0-9]{1,3})?)\b"
+_LABEL = r"(?:\d+|[A-Z0-9]{1,3})"  # numbers of any length
+_ATTACHED = rf"\b(Exhibit|Schedule|Annex|Appendix|Attachment|Addendum)\s+({_LABEL}(?:[.-]{_LABEL})?)\b"
 
 
 def definitions(statements: DataFrame) -> DataFrame:

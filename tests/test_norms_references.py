@@ -99,3 +99,10 @@ def test_references_to_sections(spark):
     sections = spark.createDataFrame([(1, "4"), (1, "4.2"), (2, "9")], "doc_id long, label string")
     got = {(r["stmt"], r["kind"], r["label"], r["target"]) for r in R.cross_references(spark.createDataFrame(rows, STATEMENTS), sections).collect()}
     assert got == {(1, "section", "4.2(b)", "4.2"), (1, "section", "9", None), (1, "section", "IV", None), (1, "document-section", "2 of Credit Plan", None), (2, "attachment", "Schedule B", "Schedule B"), (3, "attachment", "Schedule B", "Schedule B"), (3, "attachment", "Annex 1", None)}
+
+
+def test_attachments_with_long_numbers(spark):
+    rows = [(1, 1, "As in Schedule 1000 and Exhibit A; see Annex 12345-2000."), (1, 2, "SCHEDULE 1000")]
+    sections = spark.createDataFrame([], "doc_id long, label string")
+    got = {(r["stmt"], r["label"], r["target"]) for r in R.cross_references(spark.createDataFrame(rows, STATEMENTS), sections).collect()}
+    assert got == {(1, "Schedule 1000", "Schedule 1000"), (1, "Exhibit A", None), (1, "Annex 12345-2000", None)}
