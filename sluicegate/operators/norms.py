@@ -7,7 +7,11 @@ to, except_secs those that it excepts, secs those that it stands in.  Null array
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluicegate.operators.sizes import cut
 
@@ -55,13 +59,107 @@ def attacks(norms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, edges
 
 
+#: Norms of a document up to which a task settles it; those of larger ones meet in exchanges.
+AT_ONCE = 2000
+
+
+def _matches(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all equal elements of x and y."""
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    n = high - low
+    return np.repeat(np.arange(len(x)), n), order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _settled(t: pa.Table) -> pa.Table:
+    """t, whole documents without null elements, with status and stratum."""
+    n = len(t)
+    doc = t["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def keyed(*columns: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(norm, key) of the elements of each column; a key stands for an element in a document."""
+        lists = [t[c].combine_chunks() for c in columns]
+        rows = [np.repeat(np.arange(n), x.value_lengths().to_numpy(zero_copy_only=False)) for x in lists]
+        codes = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.split(codes, np.cumsum([len(r) for r in rows])[:-1])
+        return [(r, c * (n + 1) + doc[r]) for r, c in zip(rows, codes, strict=True)]
+
+    polarity, override = np.array(t["polarity"].to_pylist(), object), t["override"].to_numpy()
+    (row, key), = keyed("actions")
+    ban, allow = polarity[row] == "ban", np.isin(polarity[row].astype(str), ["permit", "oblige"])
+    i, j = _matches(key[ban], key[allow])
+    pairs = np.unique(row[ban][i] * n + row[allow][j])
+    x, y = pairs // n, pairs % n
+    (d, dk), (e, ek), (s, sk) = keyed("defers", "except_secs", "secs")
+    i, j = _matches(np.r_[dk, ek], sk)
+    yields = np.unique(np.r_[d, e][i] * n + s[j])
+    beats = lambda a, b: (override[a] & ~override[b]) | np.isin(b * n + a, yields)
+    one, two = beats(x, y), beats(y, x)
+    none = ~one & ~two
+    winner, loser = np.r_[x[one | none], y[two | none]], np.r_[y[one | none], x[two | none]]
+    status, stratum, round_ = np.zeros(n, np.int64), np.full(n, -1, np.int32), 0
+    while True:
+        heads = status == 0
+        heads[loser] = False
+        if not heads.any():
+            break
+        out = loser[heads[winner]]
+        status[heads], status[out] = 1, 2
+        stratum[heads] = stratum[out] = round_
+        left = (status[winner] == 0) & (status[loser] == 0)
+        winner, loser, round_ = winner[left], loser[left], round_ + 1
+    names = pa.array(["unresolved", "holds", "defeated"])
+    return t.append_column("status", names.take(pa.array(status))).append_column("stratum", pa.array(stratum))
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that are sorted by document, settled in pieces of whole documents."""
+    kept = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([batch])
+        kept = t if kept is None else pa.concat_tables([kept, t])
+        doc = kept["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        last = int(np.flatnonzero(doc == doc[-1])[0])
+        if last:
+            yield from _settled(kept.slice(0, last).combine_chunks()).to_batches()
+            kept = kept.slice(last).combine_chunks()
+    if kept is not None:
+        yield from _settled(kept.combine_chunks()).to_batches()
+
+
 def standing(norms: DataFrame) -> DataFrame:
     """norms with status and stratum: "holds" if every norm that beats it is defeated, "defeated" if one that beats it holds,
     else "unresolved" (cycles and what hangs on them); stratum is the round in which that was settled, -1 for unresolved.
 
-    A round settles the classes that nothing open beats, and defeats what they beat; rounds follow the longest chain of
-    defeats, whatever the number of norms, and end when a round settles nothing.  Repeated norms share their class.
+    A round settles the norms that nothing open beats, and defeats what they beat; rounds follow the longest chain of defeats
+    and end when one settles nothing.  Norms are exchanged once, by document, and a task settles some whole documents at a
+    time; documents of more than AT_ONCE norms, or with null elements in arrays, are settled by ``exchanged``.  Norms
+    without a document meet no others.
     """
+    rows = _sound(norms)
+    size = F.count(F.lit(1)) > AT_ONCE
+    odd = F.bool_or(_any(F.exists(c, lambda x: x.isNull()) for c in ("actions", "defers", "except_secs", "secs")))
+    apart = cut(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((size | odd).alias("_apart")).where("_apart").select("doc_id"))
+    large = not apart.isEmpty()
+    most = rows.where("doc_id IS NOT NULL")
+    most = most.join(apart, "doc_id", "left_anti") if large else most
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in most.schema), T.StructField("status", T.StringType()), T.StructField("stratum", T.IntegerType())])
+    out = most.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_by_document, schema)
+    out = out.unionByName(rows.where("doc_id IS NULL").withColumns({"status": F.lit("holds"), "stratum": F.lit(0)}))
+    return out.unionByName(exchanged(rows.join(apart, "doc_id", "left_semi"))) if large else out
+
+
+def _any(tests) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def exchanged(norms: DataFrame) -> DataFrame:
+    """``standing`` with documents of any size: classes of equal norms and their edges meet in exchanges, a round at a time."""
     classes, edges = attacks(norms)
     classes, edges = cut(classes), cut(edges.distinct())
     open_, settled, round_ = classes.select("id"), None, 0

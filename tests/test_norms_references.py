@@ -106,3 +106,21 @@ def test_attachments_with_long_numbers(spark):
     sections = spark.createDataFrame([], "doc_id long, label string")
     got = {(r["stmt"], r["label"], r["target"]) for r in R.cross_references(spark.createDataFrame(rows, STATEMENTS), sections).collect()}
     assert got == {(1, "Schedule 1000", "Schedule 1000"), (1, "Exhibit A", None), (1, "Annex 12345-2000", None)}
+
+
+def test_standing_in_tasks_and_by_exchanges(spark, monkeypatch):
+    rng = random.Random(11)
+    some = lambda k: rng.sample(range(5), rng.randint(0, k))
+    rows = [norm(i % 90 if i % 97 else None, f"s{i}", some(3), rng.choice(["ban", "permit", "oblige", None]), rng.random() < 0.2, some(1), some(1), some(2)) for i in range(1500)]
+    rows.append(norm(5, "null", [1, None], "ban"))
+    df = spark.createDataFrame(rows, NORM)
+    told = lambda d: sorted((r["stmt"], r["status"], r["stratum"]) for r in d.collect())
+    want = told(N.exchanged(df))
+    assert len(want) == len(rows) and told(N.standing(df)) == want
+    monkeypatch.setattr(N, "AT_ONCE", 16)  # most documents are then larger
+    assert told(N.standing(df)) == want
+    monkeypatch.undo()
+    cuts, cut = [], N.cut
+    monkeypatch.setattr(N, "cut", lambda d: cuts.append(d.columns) or cut(d))
+    assert N.standing(df.where("stmt <> 'null'")).count() == 1500
+    assert cuts == [["doc_id"]]  # no table of edges is written
