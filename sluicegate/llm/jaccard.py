@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sluicegate.llm.common import Words, fresh, mix, small, steps, table, windows
+from sluicegate.llm.common import Words, fresh, mix, picked, small, steps, table, windows
 from sluicegate.llm.components import components
 
 #: Smallest hashes that make a document a candidate of a star.
@@ -49,6 +49,8 @@ STAR = 4096
 MEMBERS, COLUMN, BLOCK = 512, 32, 1024
 #: Shingles of a block, so that blocks of long documents have fewer sets.
 BLOCK_SHINGLES = 1_000_000
+#: Classes whose components are broadcast; beyond it the prefixes go to them.
+CLASSES = 100_000
 
 _U = np.uint64
 
@@ -140,7 +142,7 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     roles = pairs.join(many, "a").select(F.col("b").alias("id"), F.col("a").alias("lead"), F.expr("cast(pmod(xxhash64(b), portions) as int)").alias("portion"), F.lit(False).alias("leads"))
     roles = roles.unionByName(many.select(F.col("a").alias("id"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(True).alias("leads")))
     roles = table(roles.groupBy("id").agg(F.collect_list(F.struct("lead", "portion", "leads")).alias("roles")), "roles")
-    rows = roles.count()
+    rows = roles.agg(F.sum(F.size("roles"))).first()[0] or 0
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -148,7 +150,7 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
             raw = grams.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("roles"), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])], ["id", "roles", "grams"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(roles, rows), "id").select("id", "roles", "text")
+    own = picked(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), roles, rows, "id").select("id", "roles", "text")
     own = own.mapInArrow(sets, "id long, roles array<struct<lead: long, portion: int, leads: boolean>>, grams binary")
     sent = own.select("id", "grams", F.inline("roles")).repartition("lead", "portion").sortWithinPartitions("lead", "portion", F.desc("leads"))
 
@@ -320,7 +322,7 @@ def _families(docs: DataFrame, passed: DataFrame, k: int, num: int, den: int) ->
     place = lambda c: F.xxhash64(f"{c}.band", f"{c}.block")
     roles = roles.groupBy("id", "comp").agg(F.collect_list(F.struct("family", place("low").alias("low"), place("high").alias("high"))).alias("roles"))
     roles = table(roles, "roles")
-    rows = roles.count()
+    rows = roles.agg(F.sum(F.size("roles"))).first()[0] or 0
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -328,7 +330,7 @@ def _families(docs: DataFrame, passed: DataFrame, k: int, num: int, den: int) ->
             raw = grams.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("comp"), b.column("roles"), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])], ["id", "comp", "roles", "grams"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(roles, rows), "id").select("id", "comp", "roles", "text")
+    own = picked(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), roles, rows, "id").select("id", "comp", "roles", "text")
     own = own.mapInArrow(sets, "id long, comp long, roles array<struct<family: long, low: long, high: long>>, grams binary")
     sent = own.select("id", "comp", "grams", F.inline("roles")).repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
 
@@ -415,7 +417,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     count = classes.count()
     named_parts = table(classes.select("rep").distinct().join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "parts")
     busy = _busy(cells)
-    more = table(_across(docs, small(named_parts, count), k, num, den, busy), "links")
+    more = table(_across(docs, small(named_parts, count, CLASSES), k, num, den, busy), "links")
     if not more.isEmpty():
         parts = components(more.unionByName(parts.select(F.col("component").alias("a"), F.col("id").alias("b"))))
     found = classes.select("sig1", "sig2", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))
@@ -435,14 +437,14 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component_id")
     linked = table(found.join(several, "component_id").select(F.col("doc_id").alias(uid), "component_id"), "linked")
     # of the linked rows, the doc_ids, and the first of each component
-    ids = docs.select(own.alias(uid), F.col("doc_id").cast("long").alias(first)).join(small(linked, linked.count()), uid).distinct()
+    ids = picked(docs.select(own.alias(uid), F.col("doc_id").cast("long").alias(first)), linked, linked.count(), uid).distinct()
     ids = table(ids.select(uid, first, "component_id"), "linked-ids")
     kept = ids.groupBy("component_id").agg(F.min(F.struct(first, uid))[uid].alias(uid))
     gone = table(ids.select(uid).join(kept, uid, "left_anti").distinct(), "copies")
-    left = docs.withColumn(uid, own).join(small(gone, gone.count()), uid, "left_anti")
+    left = picked(docs.withColumn(uid, own), gone, gone.count(), uid, "left_anti")
     twice = table(found.where("count > 1").select(F.col("doc_id").alias(uid)), "repeated")
     n = twice.count()
     if not n:
         return left.select(docs.columns)
-    equal = left.join(small(twice, n), uid, "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(uid).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), uid))).where(F.col(nth) == 1)
-    return left.join(small(twice, n), uid, "left_anti").select(docs.columns).unionByName(equal.select(docs.columns))
+    equal = picked(left, twice, n, uid, "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(uid).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), uid))).where(F.col(nth) == 1)
+    return picked(left, twice, n, uid, "left_anti").select(docs.columns).unionByName(equal.select(docs.columns))

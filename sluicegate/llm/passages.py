@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sluicegate.llm.common import Words, fresh, mix, small, steps, table, trimmed, windows
+from sluicegate.llm.common import Words, fresh, mix, picked, steps, table, trimmed, windows
 
 #: Words of a seed, neighbours of a minimizer.
 K, WINDOW = 5, 6
@@ -934,4 +934,4 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
             lengths = pa.array([took.column("n_chars")[j].as_py() if not own[i] else len(texts[i]) for j, i in enumerate(keep)], pa.int64()) if "n_chars" in columns else None
             yield pa.RecordBatch.from_arrays([made["text"] if c == "text" else lengths if c == "n_chars" else took.column(c) for c in columns], columns)
 
-    return docs.join(small(cuts, numbers), key, "left").select(*columns, own_cuts).mapInArrow(trimmed(run), out)
+    return picked(docs, cuts, numbers, key, "left").select(*columns, own_cuts).mapInArrow(trimmed(run), out)

@@ -6,8 +6,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sluicegate.llm import bpe, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, topk
+from sluicegate.llm import bpe, common, counts, fingerprints, jaccard, lattice, mixing, packing, passages, quality, topk
 from sluicegate.llm.components import components
+from tests.conftest import DATA
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, row long, component_id long, n long, start long"
@@ -204,3 +205,22 @@ def test_pipeline_stages(spark, request, labels, rows, tmp_path):
         at = stage(spark, at, str(tmp_path)).cache()
         assert at.columns == docs.columns and at.count() <= 2 * docs.count()
     assert P.run(spark, str(tmp_path)).count() == at.count()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_rows_beyond_a_broadcast_are_picked_by_a_bitmap(spark, monkeypatch, how):
+    docs = spark.range(5000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("k"), F.md5(F.col("id").cast("string")).alias("text"))
+    side = spark.range(300).select((F.col("id") * 3 - 2).alias("k"), F.array("id").alias("v"))
+    monkeypatch.setattr(common, "PICKED_ROWS", 10)
+    got, want = common.picked(docs, side, 300, "k", how), docs.join(side, "k", how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_near_copies_beyond_broadcasts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want, left = (sorted(map(str, f(docs).collect())) for f in (jaccard.join, jaccard.keep_one))
+    monkeypatch.setattr(common, "PICKED_ROWS", 0)
+    monkeypatch.setattr(jaccard, "CLASSES", 0)
+    assert sorted(map(str, jaccard.join(docs).collect())) == want
+    assert sorted(map(str, jaccard.keep_one(docs).collect())) == left
