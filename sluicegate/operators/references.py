@@ -5,6 +5,10 @@ Statements are (doc_id, stmt, text).  Null texts have no terms and no references
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluicegate.operators.documents import resolve_sections
@@ -17,6 +21,8 @@ _MEANS = rf"{_QUOTE}({_TERM}){_QUOTE},?\s+(?:(?:shall|will)\s+)?(?:means?|refers
 _BRACKET = rf"([^()]*)\((?:(?:the|collectively,?|each,?\s+an?|hereinafter|referred\s+to\s+as|called)\s+)*{_QUOTE}({_TERM}){_QUOTE}\)"
 #: Characters before a bracket that count as the definition.
 BEFORE = 300
+#: Terms and links of a document that one task expands; those of larger documents are exchanged in rounds.
+AT_ONCE = 500_000
 
 _NUMBER = r"\d+(?:\.\d+)*(?:\s*\([a-zA-Z0-9]{1,4}\))*|[IVXLC]+\b"
 _SECTION = rf"\b(?:Sections?|Articles?|Clauses?|Paragraphs?)\s+({_NUMBER})(?:\s+of\s+(?!this\b)(?:the\s+|that\s+certain\s+)?((?:[A-Z][\w&.-]*\s*)+))?"
@@ -75,18 +81,125 @@ def closure(links: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
 
 
+def _groups(links: list[list[int]]) -> Iterator[list[int]]:
+    """Nodes that reach each other, group by group; a group comes after all those that it leads to."""
+    seen, low, held, path = [0] * len(links), [0] * len(links), [False] * len(links), []
+    count = 0
+    for root in range(len(links)):
+        work = [] if seen[root] else [(root, 0)]
+        while work:
+            x, at = work.pop()
+            if not at:
+                count += 1
+                seen[x] = low[x] = count
+                path.append(x)
+                held[x] = True
+            elif held[y := links[x][at - 1]]:
+                low[x] = min(low[x], low[y])
+            while at < len(links[x]) and seen[y := links[x][at]]:
+                if held[y]:
+                    low[x] = min(low[x], seen[y])
+                at += 1
+            if at < len(links[x]):
+                work += [(x, at + 1), (links[x][at], 0)]
+            elif low[x] == seen[x]:
+                group = []
+                while not group or group[-1] != x:
+                    group.append(path.pop())
+                    held[group[-1]] = False
+                yield group
+
+
+def _by_document(limit: int | None):
+    """Rows (doc_id, term, body, used), sorted by document, to the expansions of each document's terms.  A row has a term's
+    body or a link of it."""
+    names = ["doc_id", "term", "text", "depth", "n_used", "cyclic"]
+
+    def settled(doc, body: dict[str, str], uses: dict[str, list[str]]) -> Iterator[tuple]:
+        terms = sorted(body)
+        place = {t: i for i, t in enumerate(terms)}
+        links = [sorted((place[u] for u in uses.get(t, ())), key=lambda i: terms[i].encode()) for t in terms]
+        said, depth, group_of = [""] * len(terms), [0] * len(terms), [-1] * len(terms)
+        for n, group in enumerate(_groups(links)):
+            reach, front = set(), group
+            while front:
+                front = {y for x in front for y in links[x]} - reach
+                reach |= front
+            for x in group:
+                group_of[x] = n
+            for x in group:
+                back = [y for y in links[x] if group_of[y] == n]
+                depth[x] = max((depth[y] + 1 for y in links[x] if group_of[y] != n), default=0)
+                parts = ((y, f"see {terms[y]}" if group_of[y] == n else said[y]) for y in links[x])
+                text = body[terms[x]] + "".join(f" [{terms[y]}: {t[:limit]}]" for y, t in parts)
+                said[x] = text[:limit]
+                yield doc, terms[x], text, depth[x], len(reach - {x}), [terms[y] for y in back]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            at, body, uses = None, {}, {}
+            for b in batches:
+                for doc, term, own, used in zip(*(b.column(c).to_pylist() for c in ("doc_id", "term", "body", "used")), strict=True):
+                    if doc != at:
+                        yield from settled(at, body, uses)
+                        at, body, uses = doc, {}, {}
+                    if used is None:
+                        body[term] = own
+                    else:
+                        uses.setdefault(term, []).append(used)
+            yield from settled(at, body, uses)
+
+        out = []
+
+        def batch(kind: pa.DataType) -> pa.RecordBatch:
+            kinds = [kind, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        first = next(batches, None)
+        if first is None:
+            return
+        kind = first.schema.field("doc_id").type
+        for row in rows(itertools.chain([first], batches)):
+            out.append(row)
+            if len(out) == 4096:
+                yield batch(kind)
+                out = []
+        if out:
+            yield batch(kind)
+
+    return run
+
+
 def expanded(defined: DataFrame, limit: int | None = 600, bodies: int = 2) -> DataFrame:
     """(doc_id, term, text, depth, n_used, cyclic): each term's definition (its first bodies, joined) with " [Used: ...]"
     behind it for each term that it names, in the order of their names; what stands there is that term's own expansion,
     cut to limit characters.
 
     A term whose link leads back to it is not expanded there but named: " [Used: see Used]"; cyclic lists such terms.
-    depth is the longest chain of links that were followed, n_used all terms that it rests on.  Terms are done in rounds, each
-    with all its terms' expansions at hand, until all are; rounds follow the longest chain.
+    depth is the longest chain of links that were followed, n_used all terms that it rests on.  Terms and links are exchanged
+    once, by document, and a task expands one whole document at a time, each term after those that it names; documents of
+    more than AT_ONCE terms and links are expanded by ``exchanged``.
     """
     order = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("stmt", "body"))), 1, bodies), lambda x: x["body"])
-    base = cut(defined.groupBy("doc_id", "term").agg(F.array_join(order, " ").alias("body")))
-    links = cut(term_references(defined))
+    defined = cut(defined.where("doc_id IS NOT NULL"))
+    base = defined.groupBy("doc_id", "term").agg(F.array_join(order, " ").alias("body"))
+    links = term_references(defined)
+    rows = cut(base.withColumn("used", F.lit(None).cast("string")).unionByName(links, allowMissingColumns=True))
+    apart = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > AT_ONCE).select("doc_id"))
+    large = not apart.isEmpty()
+    most = rows.join(apart, "doc_id", "left_anti") if large else rows
+    kind = defined.schema["doc_id"].dataType.simpleString()
+    out = most.repartition("doc_id").sortWithinPartitions("doc_id").select("doc_id", "term", "body", "used").mapInArrow(_by_document(limit), f"doc_id {kind}, term string, text string, depth int, n_used long, cyclic array<string>")
+    if not large:
+        return out
+    rest = rows.join(apart, "doc_id", "left_semi")
+    return out.unionByName(exchanged(rest.where("used IS NULL").drop("used"), rest.where("used IS NOT NULL").drop("body"), limit))
+
+
+def exchanged(base: DataFrame, links: DataFrame, limit: int | None) -> DataFrame:
+    """``expanded`` from (doc_id, term, body) and (doc_id, term, used) in rounds, each with all its terms' expansions at hand,
+    until all are done; rounds follow the longest chain."""
+    base, links = cut(base), cut(links)
     reach = cut(closure(links))
     back = reach.select("doc_id", F.col("term").alias("used"), F.col("used").alias("term")).withColumn("back", F.lit(True))
     links = cut(links.join(back, ["doc_id", "term", "used"], "left").na.fill(False, ["back"]))

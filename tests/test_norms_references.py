@@ -124,3 +124,19 @@ def test_standing_in_tasks_and_by_exchanges(spark, monkeypatch):
     monkeypatch.setattr(N, "cut", lambda d: cuts.append(d.columns) or cut(d))
     assert N.standing(df.where("stmt <> 'null'")).count() == 1500
     assert cuts == [["doc_id"]]  # no table of edges is written
+
+
+def test_terms_of_documents_of_any_size(spark, monkeypatch):
+    """Documents that a task expands whole and those that are exchanged in rounds give the same rows; rounds make no jobs."""
+    texts = [f'"T{i}" means T{i + 1}' + (f", T{i - 3}" if i % 7 == 0 and i > 3 else "") + (" or T20" if i % 5 == 0 else "") for i in range(40)]
+    rows = [(doc, i, t) for doc in (1, 2) for i, t in enumerate(texts)] + [(3, 0, '"T1" means none'), (None, 1, '"T1" means T2'), (None, 2, '"T2" means none')]
+    defined = R.definitions(spark.createDataFrame(rows, STATEMENTS))
+    calls = []
+    monkeypatch.setattr(R, "exchanged", lambda *a, f=R.exchanged: calls.append(1) or f(*a))
+    for limit in (None, 40):
+        whole = sorted(map(tuple, R.expanded(defined, limit).collect()))
+        assert not calls and {r[0] for r in whole} == {1, 2, 3}
+        monkeypatch.setattr(R, "AT_ONCE", 50)
+        assert sorted(map(tuple, R.expanded(defined, limit).collect())) == whole and calls.pop()
+        monkeypatch.undo()
+        monkeypatch.setattr(R, "exchanged", lambda *a, f=R.exchanged: calls.append(1) or f(*a))
