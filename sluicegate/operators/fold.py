@@ -5,16 +5,20 @@ themselves.  Rules cover the positives one after the other: a literal at a time,
 negative is left, no literal changes what is covered or the rule is long enough.  The negatives that a rule still covers
 are then the positives of a search for its exceptions.
 
-Each step is one aggregation over the rows: the counts of every literal among the positives and negatives that the rule
-covers so far.  What has been decided is a condition on the features, so no rows are moved or collected; thresholds are
+Each step is one pass over the rows: tasks count every literal among the positives and negatives that the rule covers so
+far, on whole columns, and their counts are summed.  What has been decided is a condition on the features, so no rows are moved or collected; thresholds are
 elements at exact ranks, read from quantile sketches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluicegate.operators.sizes import cut
@@ -38,6 +42,13 @@ class Literal:
         sound = x.isNotNull() if self.op == "==" else x.isNotNull() & ~F.isnan(x.cast("double"))
         return sound & test
 
+    def mask(self, x: pa.Array) -> np.ndarray:
+        """Whether it holds, for the values of a batch."""
+        if self.op == "==":
+            return pc.fill_null(pc.equal(x, pa.scalar(self.value, x.type)), False).to_numpy(zero_copy_only=False)
+        v = pc.cast(x, pa.float64(), safe=False).to_numpy(zero_copy_only=False)  # nulls are NaN
+        return v <= self.value if self.op == "<=" else v > self.value
+
     def __str__(self) -> str:
         return f"{self.feature} {self.op} {self.value:.3g}" if isinstance(self.value, float) else f"{self.feature} {self.op} {self.value}"
 
@@ -116,6 +127,23 @@ class Learner:
         r = self.rows.where(pos | neg).agg(*pick).first()
         return [(r[f"p{i}"], r[f"n{i}"]) for i in range(len(tests))]
 
+    def met(self, pos: Column, neg: Column, choices: list[Literal]) -> list[tuple[int, int]]:
+        """(positives, negatives) for which each literal holds: two counts of each task and literal are summed."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(choices), 2), np.int64)
+            for b in batches:
+                side = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("_p", "_n")])
+                for i, x in enumerate(choices):
+                    total[i] += side[x.mask(b.column(x.feature))].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(choices))), pa.array(total[:, 0]), pa.array(total[:, 1])], ["i", "p", "n"])
+
+        sides = [F.coalesce(c, F.lit(False)).alias(n) for c, n in ((pos, "_p"), (neg, "_n"))]
+        used = dict.fromkeys(x.feature for x in choices)
+        found = self.rows.where(pos | neg).select(*sides, *(f"`{f}`" for f in used)).mapInArrow(count, "i long, p long, n long")
+        sums = {r["i"]: (r["p"], r["n"]) for r in found.groupBy("i").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()}  # a row for each literal
+        return [sums.get(i, (0, 0)) for i in range(len(choices))]
+
     def rule(self, pos: Column, neg: Column, choices: list[Literal]) -> tuple[list[Literal], int, int]:
         """The literals of one rule, and the positives and negatives that it covers."""
         chosen: list[Literal] = []
@@ -126,7 +154,7 @@ class Learner:
             if not left:
                 break
             now = every(x.column() for x in chosen)
-            met = self.counts(pos & now, neg & now, [x.column() for x in left])
+            met = self.met(pos & now, neg & now, left)
             gains = [gain(tp, p - tp, n - fp, fp) for tp, fp in met]
             best = max(range(len(left)), key=gains.__getitem__)  # the first of equals
             if gains[best] == -math.inf or met[best] == (p, n):

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluicegate.operators import fold
 
@@ -100,3 +101,15 @@ def test_edges(spark):
     assert fold.covered(odd, "y", rules).collect()[0]["covered"] == 6 and fold.covered(odd, "y", []).count() == 0
     with pytest.raises(ValueError, match="bucket"):
         fold.learn(spark.createDataFrame([(1.0, str(i), i % 2 == 0) for i in range(fold.VALUES + 5)], kind), "y", ["a", "b"])
+
+
+def test_literals_are_counted_on_columns(spark):
+    """As by the conditions themselves, over nulls, NaN, decimals and several partitions."""
+    rows = [(None if i % 11 == 0 else i % 3 == 0, None if i % 5 == 0 else "ab"[i % 2], None if i % 4 == 0 else i % 3 == 1, float("nan") if i % 7 == 0 else None if i % 6 == 0 else i / 3, i, i % 9) for i in range(90)]
+    df = spark.createDataFrame(rows, "y boolean, s string, b boolean, x double, i int, n long").withColumn("m", F.col("n").cast("decimal(9,2)")).repartition(5)
+    own = fold.Learner(df, "y", ["s", "b", "x", "i", "m"])
+    y = F.col("_y")
+    choices = fold.literals(own.rows, own.features)
+    assert len({x.feature for x in choices}) == 5
+    for pos, neg in ((y, ~y), (y & (F.col("i") > 40), ~y & (F.col("i") > 40)), (y & F.col("b"), ~y), (F.lit(False), F.lit(False))):
+        assert own.met(pos, neg, choices) == own.counts(pos, neg, [x.column() for x in choices])
