@@ -47,8 +47,8 @@ LEAST, SHARE = 50, 0.8
 GAP_COST, RUN_GAP, MARGIN = 0.1, 24, 64
 #: Words by which a passage may go on beyond its outer seeds.
 REACH = 32
-#: Words between two seeds that are met as a pair, least and most; one in PART of the later seeds makes pairs.
-NEAR, FAR, PART = 16, 56, 2
+#: Words between two seeds that are met as a pair, least and most.
+NEAR, FAR = 16, 56
 #: Occurrences of a seed in one step of a task for which it is met there.
 OFTEN = 8
 #: Equal words on a shifted diagonal for which an end is aligned.
@@ -264,8 +264,7 @@ def _apart(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
     Parts of a passage may have holders of their own, which are all that its seeds meet; of a pair that spans two parts
     they are none.  So the earlier seed of a pair is one that three documents hold at least, and the two have met different
     holders; the seeds of one common line have met the same ones and make no pairs.  Nor do seeds that both lie in found
-    passages of their document.  Of the later seeds one in PART by hash, so the same in every
-    document, makes pairs.
+    passages of their document.  All other pairs are met.
     """
 
     def of(rows: np.ndarray) -> np.ndarray:
@@ -278,13 +277,11 @@ def _apart(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
         at = np.flatnonzero(~known)
         place, inside, crowded = (pos + base)[at], inside[at], seed[at] & 1 == 1
         seed = seed[at] & -2
-        pick = seed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        later = np.flatnonzero(pick % np.uint64(PART) == 0)
-        low = np.searchsorted(place[later], place + NEAR)
-        n = np.searchsorted(place[later], place + FAR, side="right") - low
+        low = np.searchsorted(place, place + NEAR)
+        n = np.searchsorted(place, place + FAR, side="right") - low
         n[~crowded] = 0
         i = np.repeat(np.arange(len(at)), n)
-        j = later[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(i))] if len(i) else i
+        j = np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(i)) if len(i) else i
         own = (doc[at][i] == doc[at][j]) & (holders[at][i] != holders[at][j]) & ~(inside[i] & inside[j])
         i, j = i[own], j[own]
         both = mix(seed[i].view(np.uint64) * _FACTOR + seed[j].view(np.uint64)).view(np.int64)
