@@ -49,8 +49,10 @@ STAR = 4096
 MEMBERS, COLUMN, BLOCK = 512, 32, 1024
 #: Shingles of a block, so that blocks of long documents have fewer sets.
 BLOCK_SHINGLES = 1_000_000
-#: Classes whose components are broadcast; beyond it the prefixes go to them.
+#: Classes whose components are broadcast; beyond it only those that differ from their first document are looked up.
 CLASSES = 100_000
+#: Entries that a task gathers before it sends them on; entries of a bucket of tokens, and the fewest buckets.
+GATHERED, BUCKET, BUCKETS = 500_000, 500_000, 256
 
 _U = np.uint64
 
@@ -126,7 +128,8 @@ def _busy(cells: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(sums)], ["n", "cells"])
 
     out = np.zeros((SLICES, CELLS // SLICES), np.int32)
-    for r in cells.select("n", "cells").repartition(SLICES, "n").mapInArrow(add, "n long, cells binary").collect():  # SLICES rows
+    sums = table(cells.select("n", "cells").repartition(SLICES, "n").mapInArrow(add, "n long, cells binary"), "cells")
+    for r in sums.collect():  # SLICES rows
         out[r["n"] + SLICES] = np.frombuffer(r["cells"], np.int32)
     return out.reshape(-1)
 
@@ -181,27 +184,81 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     return sent.select("id", "lead", "portion", "leads", "grams").mapInArrow(compare, "a long, b long")
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, busy: np.ndarray) -> DataFrame:
-    """(doc_id, n, prefix): each set's first hashes in the order of (count of the hash's cell, hash)."""
-    cells = docs.sparkSession.sparkContext.broadcast(busy)
+def _placed(docs: DataFrame, named: DataFrame, classes: DataFrame, count: int) -> DataFrame:
+    """(doc_id, text, comp) of the documents that stand for a class, classes (rep, comp) being counted, and perhaps of some
+    without words.  Of many classes, only the documents that stand for none, or are not the first of their component,
+    are looked up; the other texts stay where they are."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    classes = classes.withColumnRenamed("rep", "doc_id")
+    if count <= CLASSES:
+        return own.join(F.broadcast(classes), "doc_id")
+    aside = named.select("doc_id").distinct().join(classes, "doc_id", "left").where("comp is null or comp <> doc_id")
+    aside = table(aside.withColumn("aside", F.lit(True)), "aside")
+    found = picked(own, aside, aside.count(), "doc_id", "left").where("aside is null or comp is not null")
+    return found.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
+
+
+#: Columns of an entry and the bytes that each has on its way.  Of a token's hash 40 bits go: that others meet by chance adds
+#: to what two documents may have in common, and the exact overlap decides.
+_ENTRY = {"token": 5, "id": 8, "comp": 8, "n": 4, "pos": 4}
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows of an entry's columns, byte by byte, so that like bytes lie together; comp as what differs from id."""
+    rows = rows.copy()
+    rows[:, 2] ^= rows[:, 1]
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(rows[:, i]).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for i, w in enumerate(_ENTRY.values()))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n, at = len(raw) // sum(_ENTRY.values()), 0
+    out, data = np.zeros((n, len(_ENTRY)), np.int64), np.frombuffer(raw, np.uint8)
+    for i, w in enumerate(_ENTRY.values()):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :w] = data[at : at + w * n].reshape(w, n).T
+        out[:, i] = x.view(np.int64)[:, 0]
+        at += w * n
+    out[:, 2] ^= out[:, 1]
+    return out
+
+
+def _entries(placed: DataFrame, k: int, num: int, den: int, busy: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, entries): of each set the first hashes in the order of (count of the hash's cell, hash), with their places,
+    packed by ranges of hashes."""
+    cells = placed.sparkSession.sparkContext.broadcast(busy)
+
+    def sent(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(gathered)
+        rows = rows[np.argsort(rows[:, 0])]
+        bucket = rows[:, 0] * buckets >> 40
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        raw = [_packed(rows[i:j]) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(raw, pa.binary())], ["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        busy = cells.value
+        busy, gathered, waiting = cells.value, [], 0
         for b in steps(batches):
             grams, at = shingles(b.column("text"), k)
             rank = busy[(grams >> _U(44)).astype(np.int64)]
-            prefix = []
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            ids, comps = b.column("doc_id").to_pylist(), b.column("comp").to_pylist()
+            for doc, comp, i, j in zip(ids, comps, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if i == j:
+                    continue
                 n = j - i
-                take = n - needed(n, num, den) + 1 if n else 0
-                order = np.argsort(rank[i:j], kind="stable")[:take]  # grams are sorted already
-                prefix.append(grams[i:j][order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, prefix array<long>")
-
-
-_ENTRY = ("token", "id", "comp", "n", "pos")
+                rows = np.empty((n - needed(n, num, den) + 1, len(_ENTRY)), np.int64)
+                order = np.argsort(rank[i:j], kind="stable")[: len(rows)]  # grams are sorted already
+                rows[:, 0] = (grams[i:j][order] >> _U(24)).view(np.int64)
+                rows[:, 1:4] = doc, comp, n
+                rows[:, 4] = np.arange(len(rows))
+                gathered.append(rows)
+                waiting += len(rows)
+            if waiting > GATHERED:
+                yield from sent(gathered)
+                gathered, waiting = [], 0
+        if gathered:
+            yield from sent(gathered)
+
+    return placed.select("doc_id", "text", "comp").mapInArrow(run, "bucket long, entries binary")
 
 
 def _column(x: np.ndarray, num: int, den: int) -> list[np.ndarray]:
@@ -220,7 +277,7 @@ def _column(x: np.ndarray, num: int, den: int) -> list[np.ndarray]:
 
 
 def _products(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Overlap counts (a, b, na, nb, common) from entries that come sorted by token; the entries of a column that is
+    """Overlap counts (a, b, na, nb, common) from packed entries that come bucket by bucket; the entries of a column that is
     longer than COLUMN are passed on instead (a null)."""
     schema = "a long, b long, na long, nb long, common long, token long, id long, comp long, n long"
     names = [f.split(" ")[0] for f in schema.split(", ")]
@@ -233,39 +290,53 @@ def _products(entries: DataFrame, num: int, den: int) -> DataFrame:
             x = np.concatenate(passed)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 5, *(pa.array(x[:, i]) for i in range(4))], names)
 
+    def columns(parts: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of short columns by token, those of long ones, and the tokens of these and the ones known before."""
+        rows = np.concatenate(parts)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        size = np.diff(np.append(starts, len(rows)))
+        beyond = (size > COLUMN) | np.isin(rows[starts, 0], known)
+        each = np.repeat(beyond, size)
+        return rows[~each], rows[each], np.union1d(known, rows[starts[beyond], 0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, len(_ENTRY)), np.int64)
-        long_column, pairs, passed, waiting = None, [], [], 0
+        at, held, waiting, limit, known = None, [], 0, 2 * BUCKET, np.zeros(0, np.int64)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            rows, passed, _ = columns(held, known)
+            pairs, waiting = [], 0
+            if len(passed):
+                yield from emit([], [passed])
+            starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(rows))
+            several = ends - starts > 1
+            for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+                found = _column(rows[s:e], num, den)
+                pairs += found
+                waiting += sum(map(len, found))
+                if waiting > 500_000:
+                    yield from emit(pairs, [])
+                    pairs, waiting = [], 0
+            yield from emit(pairs, [])
+
         for batch in batches:
-            rows = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in _ENTRY])])
-            if not len(rows):
-                continue
-            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-            starts, ends = np.append(0, cuts), np.append(cuts, len(rows))
-            held = rows[:0]
-            many = ends - starts > 1
-            many[-1] = True  # it may go on in the next batch
-            if long_column is not None:
-                many[0] = True
-            for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                part = rows[s:e]
-                if len(part) > COLUMN or part[0, 0] == long_column:
-                    long_column = part[0, 0]
-                    passed.append(part)
-                elif e == len(rows):
-                    held = part
-                elif e - s > 1:
-                    found = _column(part, num, den)
-                    pairs += found
-                    waiting += sum(map(len, found))
-            if passed or waiting > 500_000:
-                yield from emit(pairs, passed)
-                pairs, passed, waiting = [], [], 0
-        if len(held) > 1:
-            pairs += _column(held, num, den)
-        yield from emit(pairs, passed)
-
-    return entries.select(*_ENTRY).mapInArrow(run, schema)
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("entries"), strict=True):
+                if bucket != at:
+                    yield from done()
+                    at, held, waiting, limit, known = bucket, [], 0, 2 * BUCKET, known[:0]
+                held.append(_unpacked(raw.as_buffer()))
+                waiting += len(held[-1])
+                if waiting > limit:  # long columns go, whatever their length
+                    rows, passed, known = columns(held, known)
+                    if len(passed):
+                        yield from emit([], [passed])
+                    held, waiting, limit = [rows], len(rows), 2 * (len(rows) + BUCKET)
+        yield from done()
+
+    return entries.mapInArrow(run, schema)
 
 
 def overlaps(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -377,11 +448,12 @@ def _families(docs: DataFrame, passed: DataFrame, k: int, num: int, den: int) ->
     return sent.select("id", "comp", "family", "low", "high", "grams").mapInArrow(compare, "a long, b long")
 
 
-def _across(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, busy: np.ndarray) -> DataFrame:
-    """(a, b): links between classes (rep, comp) of different components, as many as join all that are linked."""
-    held = _prefixes(docs, k, num, den, busy).join(classes, F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "comp", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = held.select("token", "id", "comp", "n", F.col("pos").cast("long").alias("pos"))
-    first = table(_products(entries.repartition("token").sortWithinPartitions("token"), num, den), "products")
+def _across(docs: DataFrame, placed: DataFrame, total: int, k: int, num: int, den: int, busy: np.ndarray) -> DataFrame:
+    """(a, b): links between classes of different components, as many as join all that are linked; placed: their documents
+    (doc_id, text, comp), total: the sum of the sizes of all sets."""
+    buckets = max(BUCKETS, total * (den - num) // (den * BUCKET))
+    entries = _entries(placed, k, num, den, busy, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    first = table(_products(entries, num, den), "products")
     total = first.where("a is not null").groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     # What both prefixes share, and all that one of them leaves out, bounds the overlap.  Documents that share a long
     # column are of one component or of one family, so for the pairs that matter here short columns hold all they share.
@@ -417,7 +489,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     count = classes.count()
     named_parts = table(classes.select("rep").distinct().join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "parts")
     busy = _busy(cells)
-    more = table(_across(docs, small(named_parts, count, CLASSES), k, num, den, busy), "links")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    more = table(_across(docs, _placed(docs, named, named_parts, count), total, k, num, den, busy), "links")
     if not more.isEmpty():
         parts = components(more.unionByName(parts.select(F.col("component").alias("a"), F.col("id").alias("b"))))
     found = classes.select("sig1", "sig2", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))

@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns: each operator has a defined result."""
 
 import hashlib
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +226,32 @@ def test_near_copies_beyond_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CLASSES", 0)
     assert sorted(map(str, jaccard.join(docs).collect())) == want
     assert sorted(map(str, jaccard.keep_one(docs).collect())) == left
+
+
+def test_tables_free_what_they_exchanged(spark):
+    storage = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def exchanged():
+        blocks = storage.getAllBlocks()
+        return {n for i in range(blocks.size()) if (n := blocks.apply(i).toString()).startswith("shuffle")}
+
+    before, df = exchanged(), spark.range(1000).repartition(3, "id")
+    out = common.table(df, "freed")
+    until = time.time() + 20
+    while exchanged() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not exchanged() - before and spark.conf.get(common.FREED, "false") == "false"
+    assert out.count() == common.table(df, "again").count() == 1000
+
+
+def test_packed_entries_come_back():
+    rows = np.array([[2**40 - 1, -1, 5, 7, 0], [0, -(2**63), 2**63 - 1, 2**31, 2**31], [3, 4, 4, 1, 9]], np.int64)
+    assert (jaccard._unpacked(jaccard._packed(rows)) == rows).all()
+
+
+def test_near_copies_in_small_portions(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(table(spark, [(10_000 + i, " ".join([*(f"w{j}" for j in range(90)), *(f"own{i}x{j}" for j in range(12 + i % 9))]), "en", "a") for i in range(150)]).select("doc_id", "text", "lang", "source", "n_chars"))
+    want = sorted(map(str, jaccard.join(docs).collect()))
+    for name, value in (("GATHERED", 300), ("BUCKET", 200), ("BUCKETS", 1), ("COLUMN", 4), ("CLASSES", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert sorted(map(str, jaccard.join(docs).collect())) == want
