@@ -10,6 +10,8 @@ a row at a time; ``(?i)`` at their beginning ignores case.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sluicegate.operators.joined import DataContractError
@@ -23,6 +25,16 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
+#: Words up to which a column of words is cut to them before it is exploded.
+LISTED = 10_000
+
+
+def among(sought: DataFrame) -> Callable[[Column], Column]:
+    """A function that leaves of a column of words those of sought (word), if these are few; else all."""
+    listed = [r["word"] for r in sought.limit(LISTED + 1).collect()]
+    return (lambda c: F.filter(c, lambda x: x.isin(listed))) if len(listed) <= LISTED else lambda c: c
+
+
 def probes(rules: DataFrame, index: DataFrame) -> DataFrame:
     """rules with probe: the cue that the fewest clauses have, which is where a rule meets the index (word, clause)."""
     cues = rules.select("rule", "variant", F.explode(F.transform("cues", F.lower)).alias("word"))
@@ -43,14 +55,20 @@ def matches(rules: DataFrame, clauses: DataFrame) -> DataFrame:
     bare = rules.where(F.coalesce(F.size("cues"), F.lit(0)) < 1).limit(1).collect()
     if bare:
         raise DataContractError(f"rule {bare[0]['rule']} ({bare[0]['variant']}) has no cue word and would meet every clause")
-    own = clauses.select("doc_id", "stmt", "text", F.col("head").alias("own_head")).where(F.col("text").isNotNull()).withColumn("words", words(F.col("text")))
-    index = own.select(F.explode("words").alias("word"))
-    found = own.withColumn("probe", F.explode("words")).join(small(probes(rules, index)), "probe")
-    found = found.where(F.size(F.array_except(F.transform("cues", F.lower), F.col("words"))) == 0)
+    graded = W.partitionBy("rule").orderBy("rank", "variant")
+    rules = rules.withColumn("cues", F.transform("cues", F.lower)).withColumn("grade", F.row_number().over(graded))
+    own = clauses.select("doc_id", "stmt", "text", F.col("head").alias("own_head")).withColumn("words", words(F.col("text")))
+    cues = among(rules.select(F.explode("cues").alias("word")).where("word is not null").distinct())
+    # explode_outer, and no test for nulls: Spark would test before them, and take each text apart once more for that
+    own = own.withColumn("words", cues(F.col("words")))
+    met = cut(probes(rules, own.select(F.explode_outer("words").alias("word"))))
+    sought = among(met.select(F.col("probe").alias("word")).where("word is not null").distinct())
+    found = own.withColumn("probe", F.explode_outer(sought(F.col("words")))).join(small(met), "probe")
+    found = found.where(F.forall("cues", lambda x: F.array_contains("words", x)))
     asks = lambda c, on, absent: F.when(F.col(c).isNull(), absent).otherwise(F.regexp_like(F.coalesce(F.col(on), F.lit("")), F.col(c)))
-    holds = F.regexp_like("text", F.col("pattern")) & asks("also", "text", True) & ~asks("veto", "text", False) & asks("head", "own_head", True)
-    best = F.min(F.struct("rank", "variant"))["variant"].alias("variant")
-    return found.where(holds).groupBy("rule", "doc_id", "stmt").agg(best)
+    holds = F.regexp_like(F.coalesce("text", F.lit("")), F.col("pattern")) & asks("also", "text", True) & ~asks("veto", "text", False) & asks("head", "own_head", True)
+    best = found.where(holds).groupBy("rule", "doc_id", "stmt").agg(F.min("grade").alias("grade"))
+    return best.join(small(met.select("rule", "grade", "variant")), ["rule", "grade"]).select("rule", "doc_id", "stmt", "variant")
 
 
 def answers(rules: DataFrame, questions: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ _RULES = r"""w AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_
 def _clauses(spark, sf_dir):
     """All sentences, as their words in lower case with a space around each."""
     d = read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    c = d.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+", -1)).alias("stmt", "text"))
+    c = d.select("doc_id", F.posexplode_outer(F.split("text", r"(?<=[.!?])\s+", -1)).alias("stmt", "text"))
     said = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
     return c.select("doc_id", "stmt", F.concat(F.lit(" "), said, F.lit(" ")).alias("text"), F.lit(None).cast("string").alias("head"))
 

@@ -57,3 +57,20 @@ def test_answers(spark):
     rules = rules.selectExpr("*", "'(?i)which law' AS question", "'law' AS question_cue")
     asked = spark.createDataFrame([(1, 1, "Which law is it?"), (2, 2, "Which law is it?"), (3, 1, "What law?"), (4, 1, None)], "question_id long, doc_id long, text string")
     assert {tuple(r) for r in R.answers(rules, asked, clauses).collect()} == {(1, "law", 1, 0), (2, "cap", 2, 0)}
+
+
+def test_texts_are_taken_apart_once(spark, data):
+    """Filters that Spark infers must not repeat the words' regular expression; few cues are sought before the explode."""
+    from sluicegate.plans import q_rules
+
+    plan = q_rules.clause_rules(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # the sentence's words, and the words of the clause
+
+
+def test_words_beyond_a_list(spark, data, monkeypatch):
+    from sluicegate.plans import q_rules
+
+    found = lambda: sorted(map(tuple, q_rules.clause_rules(spark, data).collect()))
+    want = found()
+    monkeypatch.setattr(R, "LISTED", 0)
+    assert want and found() == want
