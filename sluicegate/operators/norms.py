@@ -197,9 +197,9 @@ def answer_priority(norms: DataFrame, answers: DataFrame) -> DataFrame:
         against = F.when((F.col("asks") == asks) & (F.col("answer") == said), polarity).otherwise(against)
     own = norms.select("doc_id", F.col("stmt").alias("evidence"), F.col("override").alias("e_override"), F.col("defers").alias("e_defers"), F.col("except_secs").alias("e_except"), F.col("inline_exception").alias("e_inline"), F.col("secs").alias("e_secs"))
     asked = cut(asked.withColumn("against", against).join(own, ["doc_id", "evidence"], "left").withColumn("found", F.col("e_override").isNotNull()))
-    told = norms.select("doc_id", "stmt", F.col("actions").alias("n_actions"), "actors", F.col("things").alias("n_things"), "polarity", "override", "inline_exception", "except_secs", "secs").withColumn("action", F.explode(F.array_distinct("n_actions")))
-    met = asked.withColumn("action", F.explode(F.array_distinct("actions"))).join(told, ["doc_id", "action"])
-    met = met.where(F.array_min(F.array_intersect("actions", "n_actions")) == F.col("action"))
+    # other norms show in no column of the result; the join is by document alone, as norms may lie by document already
+    told = norms.where(F.col("polarity").isin("ban", "permit")).select(F.col("doc_id").alias("n_doc"), "stmt", F.col("actions").alias("n_actions"), "actors", F.col("things").alias("n_things"), "polarity", "override", "inline_exception", "except_secs", "secs")
+    met = asked.join(told, (F.col("doc_id") == F.col("n_doc")) & _meet(F.col("actions"), F.col("n_actions")))
     anyone = F.coalesce(F.col("actor"), F.lit("ANY")).isin("ANY", "ALL")
     met = met.where(anyone | F.array_contains("actors", F.col("actor"))).where((F.size("things") == 0) | _meet(F.col("things"), F.col("n_things")))
     conflict = F.coalesce((F.col("polarity") == F.col("against")) & ~F.col("found"), F.lit(False)) | F.coalesce((F.col("polarity") == F.col("against")) & (F.col("stmt") != F.col("evidence")), F.lit(False))

@@ -20,12 +20,14 @@ _NORMS = """n AS MATERIALIZED (
 
 
 def _norms(spark, sf_dir):
-    """One norm for each (order, part, supplier, line)."""
+    """One norm for each (order, part, supplier, line).  Lines are exchanged by document, which serves the grouping and what
+    joins the norms of a document."""
     one = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    l = read(spark, sf_dir, "lineitem").groupBy(*one).agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"), F.min(F.struct("l_returnflag", "l_linestatus")).alias("f"))
+    l = read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", *one, F.floor(F.col("l_orderkey") / 8).alias("doc_id")).repartition("doc_id")
+    l = l.groupBy("doc_id", *one).agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"), F.min(F.struct("l_returnflag", "l_linestatus")).alias("f"))
     at = lambda c, holds: F.when(holds, F.array(F.col(c) % 7 + 1)).otherwise(F.array().cast("array<bigint>"))
     return l.select(
-        F.floor(F.col("l_orderkey") / 8).alias("doc_id"),
+        "doc_id",
         F.concat_ws("-", *one).alias("stmt"),
         F.array(F.col("l_partkey") % 5, F.col("l_suppkey") % 5).alias("actions"),
         F.when(F.col("f.l_returnflag") == "N", "ban").when(F.col("f.l_returnflag") == "A", "permit").otherwise("oblige").alias("polarity"),

@@ -140,3 +140,11 @@ def test_terms_of_documents_of_any_size(spark, monkeypatch):
         assert sorted(map(tuple, R.expanded(defined, limit).collect())) == whole and calls.pop()
         monkeypatch.undo()
         monkeypatch.setattr(R, "exchanged", lambda *a, f=R.exchanged: calls.append(1) or f(*a))
+
+
+def test_norms_are_exchanged_once_by_document(spark, data):
+    """The lines' exchange by document serves the grouping into norms and their join with the answers."""
+    from sluicegate.plans import q_norms
+
+    plan = q_norms.answer_priorities(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" not in plan and plan.count("RepartitionByExpression [doc_id") == 1
