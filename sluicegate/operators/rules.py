@@ -76,11 +76,14 @@ def answers(rules: DataFrame, questions: DataFrame, clauses: DataFrame) -> DataF
     pattern it matches and that holds for a clause of the document, with the first such clause.
 
     questions: question_id, doc_id, text; rules as for matches, with question (a pattern) and question_cue, a word that the
-    question must have.  Questions meet rules on the cue, and what is left meets the matches of the rules.
+    question must have.  Questions meet rules on the cue, and what is left meets the matches of the rules.  Only clauses of
+    documents that such a question is about can answer one: these are written down once, and tested.
     """
     asks = rules.select("rule", "rank", F.col("question").alias("asks"), F.lower("question_cue").alias("word")).distinct()
     asked = questions.select("question_id", "doc_id", "text", F.explode(words(F.col("text"))).alias("word")).join(small(asks), "word")
-    asked = asked.where(F.regexp_like("text", F.col("asks"))).select("question_id", "doc_id", "rule", "rank").distinct()
-    first = matches(rules, clauses).groupBy("rule", "doc_id").agg(F.min("stmt").alias("stmt"))
+    asked = cut(asked.where(F.regexp_like("text", F.col("asks"))).select("question_id", "doc_id", "rule", "rank").distinct())
+    about = small(asked.select("doc_id").distinct())
+    own = cut(clauses.select("doc_id", "stmt", "text", "head").join(about, "doc_id", "left_semi"))
+    first = matches(rules, own).groupBy("rule", "doc_id").agg(F.min("stmt").alias("stmt"))
     order = W.partitionBy("question_id").orderBy("rank", "rule")
     return asked.join(first, ["rule", "doc_id"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("question_id", "rule", "doc_id", "stmt")

@@ -74,3 +74,13 @@ def test_words_beyond_a_list(spark, data, monkeypatch):
     want = found()
     monkeypatch.setattr(R, "LISTED", 0)
     assert want and found() == want
+
+
+def test_only_clauses_asked_about_are_tested(spark, monkeypatch):
+    rules, clauses = frames(spark)
+    rules = rules.selectExpr("*", "'(?i)which law' AS question", "'law' AS question_cue")
+    asked = spark.createDataFrame([(1, 1, "Which law is it?"), (2, 2, "What law?"), (3, None, "Which law is it?")], "question_id long, doc_id long, text string")
+    tested, matches = [], R.matches
+    monkeypatch.setattr(R, "matches", lambda r, c: matches(r, tested.append(c) or c))
+    assert {tuple(r) for r in R.answers(rules, asked, clauses).collect()} == {(1, "law", 1, 0)}
+    assert sorted(r["stmt"] for r in tested[0].where("doc_id = 1").collect()) == [0, 1, 2] and tested[0].count() == 3
