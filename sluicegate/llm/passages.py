@@ -65,6 +65,12 @@ BROADCAST_NUMBERS = 50_000
 BITS = 1 << 24
 #: Stands for the gap of a text's first minimizer.
 FIRST = 127
+#: Parts by whose number hashes are exchanged, a power of two; rows of whole parts that a task sorts at once, at least.
+PARTS, SORTED = 1 << 12, 1 << 17
+#: Rows of a step that makes pairs of seeds, or of a document that has more.
+PAIRED = 10_000
+#: Types of the columns of an entry, which holds a step's rows of one part.
+KINDS = {"seed": "<i8", "doc": "<i8", "pos": "<i4", "gap": "<i1", "other": "<i8", "diagonal": "<i8", "n": "<i4"}
 
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
@@ -80,9 +86,77 @@ def spanned(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def entries(key: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows as entries (part, and columns of KINDS as bytes), one for each part that the hashes in key fall into."""
+    part = (key.view(np.uint64) >> np.uint64(65 - PARTS.bit_length())).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(start, len(part))
+
+    def packed(x: np.ndarray | None, kind: np.dtype) -> pa.Array:
+        size, data = (0, b"") if x is None else (kind.itemsize, np.ascontiguousarray(x[order], kind))
+        return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(data)])
+
+    return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), *(packed(columns.get(c), np.dtype(kind)) for c, kind in KINDS.items())], ["part", *KINDS])
+
+
+#: The schema of entries.
+ENTRIES = ", ".join(["part int", *(f"{c} binary" for c in KINDS)])
+
+
+def _unpacked(b: pa.RecordBatch, names: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of the rows of entries, and how many rows are in each entry."""
+    out = []
+    for c in names:
+        column, kind = b.column(c).cast(pa.binary()), np.dtype(KINDS[c])
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        n = int(ends[-1] - ends[0]) // kind.itemsize
+        out.append(np.frombuffer(column.buffers()[2], kind, n, int(ends[0])) if n else np.zeros(0, kind))
+    return out, np.diff(ends) // kind.itemsize
+
+
+def _parts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], least: int = SORTED) -> Iterator[np.ndarray | pa.RecordBatch]:
+    """The rows of entries that come sorted by part, as many whole parts at once as have least rows.  If seed is asked for,
+    entries without seeds, which were met where they were found, come as they are."""
+    waits, n, last = [], 0, None
+    for b in batches:
+        if "seed" in names:
+            seeded = pc.greater(pc.binary_length(b.column("seed")), 0)
+            if (done := b.filter(pc.invert(seeded))).num_rows:
+                yield done
+                b = b.filter(seeded)
+        if not b.num_rows:
+            continue
+        columns, count = _unpacked(b, names)
+        rows, part = np.column_stack([x.astype(np.int64) for x in columns]), b.column("part").to_numpy()
+        if part[-1] != last:
+            done = int(count[: np.searchsorted(part, part[-1])].sum())
+            waits.append(rows[:done])
+            if n + done >= least:
+                yield np.concatenate(waits)
+                waits, n = [], 0
+            else:
+                n += done
+            rows, last = rows[done:], part[-1]
+        waits.append(rows)
+        n += len(rows)
+    if n:
+        yield np.concatenate(waits)
+
+
+def _repeated(rows: np.ndarray) -> np.ndarray:
+    """The rows (seed, doc, pos, ...) whose seed occurs more than once, sorted."""
+    order = np.argsort(rows[:, 0])
+    same = rows[order[1:], 0] == rows[order[:-1], 0]
+    rows = rows[order[np.append(same, False) | np.append(False, same)]]
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+
 def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(seed, doc, pos, gap): minimizers of each whole text; gap is the step from the text's minimizer before, FIRST for
-    its first one."""
+    """Entries of (seed, doc, pos, gap): minimizers of each whole text; gap is the step from the text's minimizer before, FIRST
+    for its first one.  And, where a step meets a seed often, entries without seed or gap of matches (doc, other, diagonal,
+    pos), and with other and gap of shared seeds, as _matches gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -91,20 +165,23 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
             if not len(h):
                 continue
             first = np.searchsorted(row, np.arange(b.num_rows + 1))
-            pos = np.arange(len(h)) - first[row]
             # windows do not reach over a row's end; a row with fewer hashes than a window has one window
             size = np.diff(first)
-            full = np.lib.stride_tricks.sliding_window_view(np.append(h, np.full(window - 1, np.iinfo(np.uint64).max, np.uint64)), window)
-            inside = pos + window <= size[row]
-            at = np.flatnonzero(inside)
-            pick = [at[s : s + 65536] + full[at[s : s + 65536]].argmin(1) for s in range(0, len(at), 65536)]
+            chosen = np.zeros(len(h), bool)
+            if (m := len(h) - window + 1) > 0:
+                best, low = np.full(m, window - 1), h[window - 1 :].copy()
+                for j in range(window - 2, -1, -1):  # of equal ones the first
+                    np.copyto(best, j, where=h[j : j + m] <= low)
+                    np.minimum(low, h[j : j + m], out=low)
+                best += np.arange(m)
+                chosen[best[row[:m] == row[window - 1 :]]] = True
             few = np.flatnonzero((size > 0) & (size < window))
-            pick += [np.array([first[i] + int(h[first[i] : first[i + 1]].argmin()) for i in few.tolist()], np.int64)]
-            chosen = np.unique(np.concatenate(pick))
+            chosen[[first[i] + int(h[first[i] : first[i + 1]].argmin()) for i in few.tolist()]] = True
+            chosen = np.flatnonzero(chosen)
             doc = b.column("doc_id").to_numpy(zero_copy_only=False)
             gap = np.where(np.append(True, row[chosen[1:]] != row[chosen[:-1]]), FIRST, np.diff(chosen, prepend=0))
-            found = np.column_stack([h[chosen].view(np.int64), doc[row[chosen]].astype(np.int64), pos[chosen], gap])
-            order = np.argsort(found[:, 0], kind="stable")
+            found = np.column_stack([h[chosen].view(np.int64), doc[row[chosen]].astype(np.int64), chosen - first[row[chosen]], gap])
+            order = np.argsort(found[:, 0])
             at = np.flatnonzero(np.append(True, np.diff(found[order, 0]) != 0))
             times = np.diff(np.append(at, len(order)))
             often = np.repeat(times >= OFTEN, times)
@@ -112,12 +189,24 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
             rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
             first, i, other, several = _meet(rows)
             lead = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)) if len(rows) else first
-            out = [found[order[~often]], rows[first & (lead | ~several)]]
-            out = [*map(_rows, out), _rows(rows[several], holders=_holders(rows)[several]), _rows(rows[i], rows[other])]
-            yield pa.concat_batches([x for x in out if x.num_rows])
+            left = np.concatenate([found[order[~often]], rows[first & (lead | ~several)]])
+            yield entries(left[:, 0], seed=left[:, 0], doc=left[:, 1], pos=left[:, 2], gap=left[:, 3])
+            if several.any():
+                yield _met(rows[i], rows[other])
+                yield _shared(rows[several], _holders(rows)[several], True)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return named.mapInArrow(trimmed(run), "seed long, doc long, pos int, gap byte, other long, diagonal long")
+    return named.mapInArrow(trimmed(run), ENTRIES)
+
+
+def _met(rows: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """Rows (seed, doc, pos, ...) and the rows that they are met with, as entries of (doc, other, diagonal, pos)."""
+    return entries(mix(rows[:, 1].astype(np.uint64)), doc=rows[:, 1], pos=rows[:, 2], other=other[:, 1], diagonal=rows[:, 2] - other[:, 2])
+
+
+def _shared(rows: np.ndarray, holders: np.ndarray, crowded: np.ndarray | bool) -> pa.RecordBatch:
+    """Rows (seed, doc, pos, gap) of seeds that several documents hold, as entries of them and of a hash of their holders."""
+    return entries(mix(rows[:, 1].astype(np.uint64)), doc=rows[:, 1], pos=rows[:, 2], gap=rows[:, 3], other=holders, diagonal=rows[:, 0] & -2 | crowded)
 
 
 def _meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,71 +241,36 @@ def _holders(rows: np.ndarray) -> np.ndarray:
     return mix(doc[at[first]].view(np.uint64) * _FACTOR + doc[at[before]].view(np.uint64)).view(np.int64)
 
 
-def _rows(rows: np.ndarray, other: np.ndarray | None = None, holders: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows (seed, doc, pos, gap) as a batch: to be met; or, without seed, as met with other rows (without gap), or as shared
-    ones, with their holders' hash as other and their seed, marked as crowded, as diagonal."""
-    n = len(rows)
-    none = pa.nulls(n, pa.int64())
-    met = holders is not None or other is not None
-    columns = [none if met else pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.nulls(n, pa.int8()) if other is not None else pa.array(rows[:, 3].astype(np.int8))]
-    columns += [pa.array(other[:, 1]), pa.array(rows[:, 2] - other[:, 2])] if other is not None else [none, none] if holders is None else [pa.array(holders), pa.array(rows[:, 0] | 1)]
-    return pa.RecordBatch.from_arrays(columns, ["seed", "doc", "pos", "gap", "other", "diagonal"])
-
-
 def _matches(found: DataFrame) -> DataFrame:
-    """(doc, other, diagonal, pos, gap): occurrences of seeds met with the first holder and the one before (gap is null); and
-    with gap set, each occurrence of a seed that several documents hold: other is a hash of the two that it met, and
+    """Entries, by document, of (doc, other, diagonal, pos): occurrences of seeds met with the first holder and the one before.
+    And with gap too, each occurrence of a seed that several documents hold: other is a hash of the two that it met, and
     diagonal the seed, whose last bit says that three documents hold it (or that a step met it often).
 
-    A seed that a step of a task meets often is met there, and only its first holder in the step goes on.
+    A seed that a step of a task meets often is met there, and only its first holder in the step goes on.  Seeds come in
+    entries of a part of all seeds, sorted by part; a part's rows are sorted and met here.
     """
-    names = ["doc", "other", "diagonal", "pos", "gap"]
-
-    def shared(rows: np.ndarray, crowded: bool | np.ndarray) -> pa.RecordBatch:
-        """Rows (seed, doc, pos, gap, holders)."""
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 4]), pa.array(rows[:, 0] & -2 | crowded), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int8))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)  # of the last seed: its first holder, its last one and the one before
-        waits, holders = [], 0  # the last seed's rows, while fewer than three documents have it
-        for b in batches:
-            if b.column("seed").null_count:  # rows that were met where they were found come first
-                done = b.filter(pc.is_null(b.column("seed")))
-                yield pa.RecordBatch.from_arrays([done.column(c) for c in names], names)
-                b = b.filter(pc.is_valid(b.column("seed")))
-            new = np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("seed", "doc", "pos", "gap")])
-            if not len(new):
+        for rows in _parts(batches, ("seed", "doc", "pos", "gap")):
+            if isinstance(rows, pa.RecordBatch):
+                yield rows
                 continue
-            rows = np.concatenate([held, new])
-            seed, doc, pos, _ = rows.T
-            new_seed = np.append(True, seed[1:] != seed[:-1])
-            new_doc = new_seed | np.append(True, doc[1:] != doc[:-1])
-            holder = np.cumsum(new_doc) - 1
-            at = np.flatnonzero(new_doc)
-            group = np.cumsum(new_seed) - 1
-            first = holder[np.flatnonzero(new_seed)[group]]
-            fresh = np.arange(len(rows)) >= len(held)
-            a, c = np.flatnonzero(fresh & (holder > first)), np.flatnonzero(fresh & (holder > first + 1))
-            i, other = np.concatenate([a, c]), at[np.concatenate([first[a], holder[c] - 1])]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[other]), pa.array(pos[i] - pos[other]), pa.array(pos[i].astype(np.int32)), pa.nulls(len(i), pa.int8())], names)
-            many = np.append(holder[np.flatnonzero(new_seed)[1:] - 1], holder[-1])[group] - first + 1  # holders of each row's seed so far
-            if waits and (many[0] > 2 or group[-1]):  # of the seed at hand, all is known
-                if many[0] > 1:
-                    yield shared(np.concatenate(waits), many[0] > 2)
-                waits = []
-            i = np.flatnonzero(fresh & (many > 1) & ((group < group[-1]) | (many > 2)))
-            told = np.column_stack([rows, _holders(rows)])
-            if len(i):
-                yield shared(told[i], many[i] > 2)
-            if many[-1] < 3:
-                waits.append(told[np.flatnonzero(fresh & (group == group[-1]))])
-            f, z, holders = first[-1], holder[-1], many[-1]
-            held = rows[at[sorted({f, max(f, z - 1), z})]]
-        if waits and holders == 2:
-            yield shared(np.concatenate(waits), False)
+            rows = _repeated(rows)
+            _, i, other, several = _meet(rows)
+            if not several.any():
+                continue
+            yield _met(rows[i], rows[other])
+            start = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            holder = start | np.append(True, rows[1:, 1] != rows[:-1, 1])
+            crowded = np.add.reduceat(holder, np.flatnonzero(start), dtype=np.int64)[np.cumsum(start) - 1] > 2
+            yield _shared(rows[several], _holders(rows)[several], crowded[several])
+
+    return found.mapInArrow(trimmed(run), ENTRIES)
 
-    return found.mapInArrow(trimmed(run), "doc long, other long, diagonal long, pos int, gap byte")
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """Entries by document, those of a part beside each other."""
+    return found.repartition("part").sortWithinPartitions("part")
 
 
 def _stretches(shared: DataFrame, k: int, window: int, least: int) -> DataFrame:
@@ -229,9 +283,8 @@ def _stretches(shared: DataFrame, k: int, window: int, least: int) -> DataFrame:
     front, back = window - 1, least - k - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
-
         def of(rows: np.ndarray) -> pa.RecordBatch:
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             doc, pos, gap = rows.T
             new = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] - gap[1:] > pos[:-1]) | (gap[1:] == FIRST))
             at = np.flatnonzero(new)
@@ -244,21 +297,14 @@ def _stretches(shared: DataFrame, k: int, window: int, least: int) -> DataFrame:
             kind = pa.list_(pa.int32())
             return pa.RecordBatch.from_arrays([frame.column("id").combine_chunks(), frame.column("low_list").combine_chunks().cast(kind), frame.column("high_list").combine_chunks().cast(kind)], ["id", "low", "high"])
 
-        for b in batches:
-            rows = np.concatenate([held, np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "pos", "gap")])])
-            cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            held = rows[cut:]
-            if cut:
-                yield of(rows[:cut])
-        if len(held):
-            yield of(held)
+        for rows in _parts(batches, ("doc", "pos", "gap")):
+            yield of(rows)
 
-    return shared.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(trimmed(run), "id long, low array<int>, high array<int>")
+    return _by_document(shared.select("part", "doc", "pos", "gap")).mapInArrow(trimmed(run), "id long, low array<int>, high array<int>")
 
 
 def _apart(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """(doc, other, diagonal, pos): pairs of shared seeds of one document, NEAR to FAR words apart, met with the first holder
+    """Entries, by document, of (doc, other, diagonal, pos): pairs of shared seeds of one document, NEAR to FAR words apart, met with the first holder
     of the same pair and the one before, at both seeds.
 
     Parts of a passage may have holders of their own, which are all that its seeds meet; of a pair that spans two parts
@@ -288,8 +334,6 @@ def _apart(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
         return np.column_stack([both, doc[at][i], pos[at][i], pos[at][j] - pos[at][i]])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 5), np.int64)
-
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Pairs, those that several rows of this step have already met here."""
             made = of(rows)
@@ -305,15 +349,19 @@ def _apart(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
             yield sent(np.concatenate([made[~often], rows[first & lead]]))
             yield sent(rows[i], rows[other])
 
+        for rows in _parts(batches, ("doc", "pos", "diagonal", "gap", "other")):
+            known = rows[:, 3] < 0
+            rows = np.column_stack([rows[:, :2], np.where(known, 0, rows[:, 2]), np.where(known, rows[:, 2], -1), rows[:, 4]])
+            rows = rows[np.lexsort((-rows[:, 3], rows[:, 1], rows[:, 0]))]
+            start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            for one in np.split(rows, start[1:][np.diff(start // PAIRED) > 0]):
+                yield from out(one)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Found passages as entries: their gap is -1 and their diagonal the end."""
         for b in batches:
-            rows = np.concatenate([held, np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "pos", "seed", "end", "holders")])])
-            cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            held = rows[cut:]
-            if cut:
-                yield from out(rows[:cut])
-        if len(held):
-            yield from out(held)
+            doc, start, end = (b.column(c).to_numpy() for c in ("doc_id", "start", "end"))
+            yield entries(mix(doc.astype(np.uint64)), doc=doc, pos=start, diagonal=end, gap=np.full(len(doc), -1), other=np.zeros(len(doc), np.int64))
 
     def sent(rows: np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
         """Pairs to be met or, with other rows, met ones."""
@@ -324,7 +372,7 @@ def _apart(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
     def matches(rows: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
         """Rows and other rows (doc, pos, gap) as matches at both seeds."""
         doc, pos, gap = np.tile(rows[:, 0], 2), np.append(rows[:, 1], rows[:, 1] + rows[:, 2]), np.append(other[:, 1], other[:, 1] + other[:, 2])
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.tile(other[:, 0], 2)), pa.array(pos - gap), pa.array(pos.astype(np.int32))], ["doc", "other", "diagonal", "pos"])
+        return entries(mix(doc.astype(np.uint64)), doc=doc, pos=pos, other=np.tile(other[:, 0], 2), diagonal=pos - gap)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 4), np.int64)  # of the last pair: its first holder, its last one and the one before
@@ -346,11 +394,10 @@ def _apart(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
             heads = last[np.append(True, rows[last[1:], 1] != rows[last[:-1], 1])]
             held = rows[sorted({heads[0], *heads[-2:]})]
 
-    asked = shared.select("doc", F.col("pos").cast("long").alias("pos"), F.col("diagonal").alias("seed"), F.lit(-1).cast("long").alias("end"), F.col("other").alias("holders"))
-    asked = asked.unionByName(found.select(F.col("doc_id").alias("doc"), F.col("start").alias("pos"), F.lit(0).cast("long").alias("seed"), "end", F.lit(0).cast("long").alias("holders")).distinct())
-    pairs = asked.repartition("doc").sortWithinPartitions("doc", "pos", F.desc("end")).mapInArrow(trimmed(pair), "seed long, doc long, pos long, gap long, other long, there long, far long")
+    asked = shared.unionByName(found.select("doc_id", "start", "end").distinct().mapInArrow(trimmed(passed), ENTRIES)).select("part", "doc", "pos", "diagonal", "gap", "other")
+    pairs = _by_document(asked).mapInArrow(trimmed(pair), "seed long, doc long, pos long, gap long, other long, there long, far long")
     pairs = pairs.repartition(F.coalesce("seed", F.xxhash64("doc", "pos"))).sortWithinPartitions("seed", "doc", "pos")
-    return pairs.mapInArrow(trimmed(meet), "doc long, other long, diagonal long, pos int")
+    return pairs.mapInArrow(trimmed(meet), ENTRIES)
 
 
 def _whole(docs: DataFrame, stretches: DataFrame, found: DataFrame, least: int) -> DataFrame:
@@ -381,15 +428,12 @@ def _whole(docs: DataFrame, stretches: DataFrame, found: DataFrame, least: int)
                 rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
                 first, i, other = met_first(rows)
                 # of the windows of a step, the first holder's go on
-                none = pa.nulls(len(first), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(rows[first, 2].astype(np.int32)), pa.array(rows[first, 3] > 0), none, none, none], names)
+                yield entries(rows[first, 0], seed=rows[first, 0], doc=rows[first, 1], pos=rows[first, 2], gap=rows[first, 3])
                 if len(i):
                     doc, other, diagonal, pos, m = _needed(rows[i, 1], rows[other, 1], rows[i, 2] - rows[other, 2], rows[i, 2], np.ones(len(i), np.int64), least)
-                    none = pa.nulls(len(doc), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(doc), pa.array(pos.astype(np.int32)), none.cast(pa.bool_()), *map(pa.array, (other, diagonal, m))], names)
+                    yield entries(mix(doc.astype(np.uint64)), doc=doc, pos=pos, other=other, diagonal=diagonal, n=m)
 
-    names = ["seed", "doc", "pos", "asks", "other", "diagonal", "n"]
-    met = ["doc", "other", "diagonal", "pos", "n"]
+    met = ("doc", "other", "diagonal", "pos", "n")
 
     def met_first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of sorted rows, the first of each seed, and (row, first row) of those of other documents that ask."""
@@ -398,29 +442,26 @@ def _whole(docs: DataFrame, stretches: DataFrame, found: DataFrame, least: int)
         i = np.flatnonzero((rows[:, 1] != rows[first, 1]) & (rows[:, 3] > 0))
         return start, i, first[i]
 
+    def sent(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if c == "pos" else pa.int64()) for c, x in zip(met, rows, strict=True)], list(met))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
-        for b in batches:
-            if b.column("seed").null_count:
-                done = b.filter(pc.is_null(b.column("seed")))
-                yield pa.RecordBatch.from_arrays([done.column(c) for c in met], met)
-                b = b.filter(pc.is_valid(b.column("seed")))
-            new = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seed", "doc", "pos", "asks")])
-            if not len(new):
+        for rows in _parts(batches, ("seed", "doc", "pos", "gap")):
+            if isinstance(rows, pa.RecordBatch):
+                yield sent(_unpacked(rows, met)[0])
                 continue
-            rows = np.concatenate([held, new])
-            start, i, other = met_first(rows)
+            rows = _repeated(rows)
+            _, i, other = met_first(rows)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i, 1]), pa.array(rows[other, 1]), pa.array(rows[i, 2] - rows[other, 2]), pa.array(rows[i, 2].astype(np.int32)), pa.array(np.ones(len(i), np.int64))], met)
-            held = rows[start[-1] :][:1]
+                yield sent([rows[i, 1], rows[other, 1], rows[i, 2] - rows[other, 2], rows[i, 2], np.ones(len(i), np.int64)])
 
     # rows that share a doc_id have their stretches listed together
     known = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("known")).withColumnRenamed("doc_id", "id")
     rows = table(stretches.join(known.hint("merge"), "id", "left"), "stretches")
     weight = rows.agg(F.sum(F.lit(2) + 2 * F.size("low") + 2 * F.coalesce(F.size("known"), F.lit(0)))).first()[0] or 0
     texts = _texts_of(docs, rows, weight)
-    windows = texts.select("id", "low", "high", "known", "text").mapInArrow(trimmed(cut), "seed long, doc long, pos int, asks boolean, other long, diagonal long, n long")
-    return windows.repartition(F.coalesce("seed", F.xxhash64("doc"))).sortWithinPartitions("seed", "doc", "pos").mapInArrow(trimmed(meet), "doc long, other long, diagonal long, pos int, n long")
+    windows = texts.select("id", "low", "high", "known", "text").mapInArrow(trimmed(cut), ENTRIES)
+    return windows.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(meet), "doc long, other long, diagonal long, pos int, n long")
 
 
 def _runs(doc: np.ndarray, other: np.ndarray, diagonal: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -595,23 +636,13 @@ def _chained(met: DataFrame, k: int, least: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc", "other", "p", "q", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
-        for b in batches:
-            rows = np.concatenate([held, np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "other", "diagonal", "pos")])])
-            cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1))
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            held, out = rows[cut:], []
-            if cut:
-                of(rows[:cut], out)
+        for rows in _parts(batches, ("doc", "other", "diagonal", "pos")):
+            out = []
+            of(rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))], out)
             if out:
                 yield emit(out)
-        out = []
-        if len(held):
-            of(held, out)
-        if out:
-            yield emit(out)
 
-    return met.mapInArrow(trimmed(run), schema)
+    return _by_document(met.select("part", "doc", "other", "diagonal", "pos")).mapInArrow(trimmed(run), schema)
 
 
 def _common(a: np.ndarray, b: np.ndarray, band: int | None = None) -> list[tuple[int, int]]:
@@ -818,13 +849,12 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, least: int = LEA
 
 def _passages(docs: DataFrame, k: int = K, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """passages() of documents whose doc_id stands for one text."""
-    found = seeds(docs, k, window).repartition(F.coalesce("seed", F.xxhash64("doc"))).sortWithinPartitions("seed", "doc", "pos")
+    found = seeds(docs, k, window).repartition("part").sortWithinPartitions("part")
     met = table(_matches(found), "matches")
-    pairs = met.where("gap is null").drop("gap").repartition("doc").sortWithinPartitions("doc", "other", "diagonal", "pos")
-    near = table(_aligned(docs, _chained(pairs, k, least), least, share), "passages")
-    shared = met.where("gap is not null")
-    apart = _apart(shared, near, k).repartition("doc").sortWithinPartitions("doc", "other", "diagonal", "pos")
-    stretched = _stretches(shared.select("doc", "pos", "gap"), k, window, least)
+    near = table(_aligned(docs, _chained(met.where("octet_length(gap) = 0"), k, least), least, share), "passages")
+    shared = met.where("octet_length(gap) > 0")
+    apart = _apart(shared, near, k)
+    stretched = _stretches(shared, k, window, least)
     whole = _whole(docs, stretched, near, least).repartition("doc").sortWithinPartitions("doc", "pos")
     return near.unionByName(_aligned(docs, _covering(whole, least).unionByName(_chained(apart, k, least)), least, share)).distinct()
 

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluicegate.llm import passages
@@ -73,3 +75,27 @@ def test_recall_with_other_holders(spark, rate, holders):
     print("found", rate, holders, hit, len(plan))
     assert hit >= 0.9 * len(plan)
     assert set(got) <= {(d, o) for d, o, _, _ in plan}
+
+
+def test_entries_hold_each_row_once_and_parts_whole():
+    rng = np.random.default_rng(3)
+    rows = np.column_stack([rng.integers(-(1 << 63), (1 << 63) - 1, 900), rng.integers(0, 1 << 40, 900), rng.integers(0, 1 << 30, 900), rng.integers(0, 127, 900)])
+    rows[300:600, 0] = rows[:300, 0]
+    names = ("seed", "doc", "pos", "gap")
+    sent = pa.Table.from_batches([passages.entries(r[:, 0], **dict(zip(names, r.T, strict=True))) for r in np.array_split(rows, 5)]).sort_by("part").combine_chunks()
+    assert len(sent) < 900
+    met = passages.entries(rows[:3, 0], doc=rows[:3, 1], pos=rows[:3, 2])
+    got = list(passages._parts(iter([met, *sent.to_batches(max_chunksize=7), met.slice(0, 0)]), names, 50))
+    assert got[0].num_rows == met.num_rows and all(len(x) >= 50 for x in got[1:-1])
+    assert sorted(map(tuple, np.concatenate(got[1:]).tolist())) == sorted(map(tuple, rows.tolist()))
+    seen = [set((x[:, 0].view(np.uint64) >> np.uint64(52)).tolist()) for x in got[1:]]
+    assert sum(map(len, seen)) == len(set.union(*seen))  # no part lies in two groups
+    again = passages._repeated(rows)
+    assert len(again) == 600 and (np.diff(again[:, 0]) >= 0).all()
+
+
+def test_seeds_are_exchanged_by_part(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(2000))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    rows, n = passages.seeds(docs).selectExpr("count(*)", "sum(octet_length(seed) div 8)").first()
+    assert n > 2 * passages.PARTS >= 2 * rows  # a row for each part, not for each seed
