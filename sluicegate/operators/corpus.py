@@ -142,8 +142,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, digits: int = 6, block:
 
 def novel(neighbours: DataFrame, share: float, eps: float = 0.0) -> DataFrame:
     """(query_id, distance, novel): 1 - similarity of the first neighbour, novel where it lies strictly above the share's
-    percentile of such distances (linear) plus eps."""
-    near = neighbours.where("rank = 1").select("query_id", F.round(1 - F.col("sim"), 6).alias("distance"))
+    percentile of such distances (linear) plus eps.  Neighbours are found once, for the percentile and the rows."""
+    near = cut(neighbours.where("rank = 1").select("query_id", F.round(1 - F.col("sim"), 6).alias("distance")))
     bar = near.agg(F.percentile("distance", F.lit(share)).alias("_t"))
     return near.crossJoin(F.broadcast(bar)).select("query_id", "distance", (F.col("distance") > F.col("_t") + eps).alias("novel"))
 

@@ -149,11 +149,11 @@ def nearest_neighbours(spark, sf_dir):
     return O.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 5)
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, round(1 - max({_SIM}), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1), t AS (SELECT quantile_cont(distance, 0.99) AS t FROM s) SELECT query_id, distance, distance > t AS novel FROM s, t""")
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, round(1 - max({_SIM}), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id GROUP BY 1), t AS (SELECT quantile_cont(distance, 0.99) AS t FROM s) SELECT query_id, distance, distance > t AS novel FROM s, t""")
 def novelty(spark, sf_dir):
     """Distance to the nearest other row, and whether it is strictly above the 99th percentile of such distances."""
     e = read(spark, sf_dir, "embeddings")
-    n = O.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 1)
+    n = O.nearest(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 1)
     return O.novel(n, 0.99)
 
 

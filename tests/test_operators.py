@@ -174,6 +174,13 @@ def test_contract_queries_reads_words_as_its_sql(spark, tmp_path):
     assert got == sorted(sql.execute(entry.oracle_sql()["contract_queries"]).fetchall())
 
 
+def test_novelty_asks_with_all_rows(spark, data):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["novelty"](spark, data).select("query_id").collect()
+    assert sorted(r["query_id"] for r in rows) == sorted(r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect())
+
+
 def test_joint_decode_ends(spark):
     import pandas as pd
 
