@@ -48,7 +48,8 @@ def term_references(defined: DataFrame) -> DataFrame:
     """(doc_id, term, used): the other defined terms of the document that a term's definitions name, as whole words.
 
     Definitions are cut into runs of as many words as the longest term has, at capitals only, and those meet the terms in
-    one equi-join; no term is looked for in every definition.
+    one equi-join; no term is looked for in every definition.  Both sides are exchanged: terms grow with the input, and a
+    broadcast, which their estimated size may ask for, would pass them through the driver.
     """
     terms = defined.select("doc_id", "term").distinct().withColumn("words", _words(F.col("term")))
     longest = terms.agg(F.max(F.size("words"))).first()[0] or 0
@@ -60,7 +61,7 @@ def term_references(defined: DataFrame) -> DataFrame:
     runs = runs.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at")))))
     runs = runs.select("doc_id", "term", run.alias("run")).distinct()
     keys = terms.select("doc_id", F.array_join("words", " ").alias("run"), F.col("term").alias("used"))
-    return runs.join(keys, ["doc_id", "run"]).where("term <> used").select("doc_id", "term", "used").distinct()
+    return runs.join(keys.hint("merge"), ["doc_id", "run"]).where("term <> used").select("doc_id", "term", "used").distinct()
 
 
 def closure(links: DataFrame) -> DataFrame:

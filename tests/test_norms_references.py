@@ -148,3 +148,11 @@ def test_norms_are_exchanged_once_by_document(spark, data):
 
     plan = q_norms.answer_priorities(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(" not in plan and plan.count("RepartitionByExpression [doc_id") == 1
+
+
+def test_terms_are_not_broadcast(spark, tmp_path):
+    """Terms grow with the input, so they must not pass through the driver, however small their estimated size."""
+    spark.createDataFrame(chain(30), STATEMENTS).write.parquet(f"{tmp_path}/statements")
+    defined = R.definitions(spark.read.parquet(f"{tmp_path}/statements"))
+    plan = R.term_references(defined)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
