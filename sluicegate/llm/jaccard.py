@@ -39,8 +39,10 @@ from sluicegate.llm.components import components
 
 #: Smallest hashes that make a document a candidate of a star.
 STARS = 8
-#: Cells in which shingles are counted for the order: 4 MB as int32, whatever the input.
-CELLS = 1 << 20
+#: Cells in which shingles are counted for the order, 32 MB as int32, whatever the input; a task's counts are sent as bytes.
+#: Where a cell holds too many shingles, its count no longer tells common ones from rare, and long columns grow.
+CELL_BITS = 23
+CELLS = 1 << CELL_BITS
 #: Parts of the table that are summed by tasks of their own.
 SLICES = 256
 #: Classes of one star that meet its first one in one task.
@@ -87,6 +89,11 @@ def needed(n, num: int, den: int):
     return -(-n * num // den)
 
 
+def _cell(grams: np.ndarray) -> np.ndarray:
+    """The cell of each shingle, its first CELL_BITS bits."""
+    return (grams >> _U(64 - CELL_BITS)).astype(np.int64)
+
+
 def _features(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document (doc_id, n, sig1, sig2, stars), and SLICES for each task with its cell counts (n the number
     of the slice, less SLICES)."""
@@ -97,7 +104,7 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
         cells = np.zeros(CELLS, np.int32)
         for b in steps(batches):
             grams, at = shingles(b.column("text"), k)
-            cells += np.bincount((grams >> _U(44)).astype(np.int64), minlength=CELLS).astype(np.int32)
+            np.add.at(cells, _cell(grams), 1)
             sizes = np.diff(at)
             sigs, stars = [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -106,7 +113,7 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
             sigs = np.array(sigs).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array(stars, pa.list_(pa.int64())), pa.nulls(len(sizes), pa.binary())], names)
         if cells.any():
-            slices = [x.tobytes() for x in np.split(cells, SLICES)]
+            slices = [x.tobytes() for x in np.split(np.minimum(cells, 255).astype(np.uint8), SLICES)]
             none = (pa.nulls(SLICES, f) for f in (pa.int64(), pa.int64(), pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array(np.arange(SLICES) - SLICES), *none, pa.array(slices)], names)
 
@@ -115,14 +122,14 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
 
 def _busy(cells: DataFrame) -> np.ndarray:
     """The sum of all tasks' cell counts: a slice of the table is one key of an exchange, and is summed by one task; the
-    driver gets the 4 MB of the sums."""
+    driver gets the 32 MB of the sums."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for n, x in zip(b.column("n").to_pylist(), b.column("cells"), strict=True):
                 own = total.setdefault(n, np.zeros(CELLS // SLICES, np.int64))
-                own += np.frombuffer(x.as_buffer(), np.int32)
+                own += np.frombuffer(x.as_buffer(), np.uint8)
         if total:
             sums = [np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(sums)], ["n", "cells"])
@@ -239,7 +246,7 @@ def _entries(placed: DataFrame, k: int, num: int, den: int, busy: np.ndarray, bu
         busy, gathered, waiting = cells.value, [], 0
         for b in steps(batches):
             grams, at = shingles(b.column("text"), k)
-            rank = busy[(grams >> _U(44)).astype(np.int64)]
+            rank = busy[_cell(grams)]
             ids, comps = b.column("doc_id").to_pylist(), b.column("comp").to_pylist()
             for doc, comp, i, j in zip(ids, comps, at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if i == j:

@@ -255,3 +255,13 @@ def test_near_copies_in_small_portions(spark, monkeypatch):
     for name, value in (("GATHERED", 300), ("BUCKET", 200), ("BUCKETS", 1), ("COLUMN", 4), ("CLASSES", 0)):
         monkeypatch.setattr(jaccard, name, value)
     assert sorted(map(str, jaccard.join(docs).collect())) == want
+
+
+def test_cells_tell_shingles_apart():
+    """A million shingles hardly share cells, so that a cell's count says how common its shingle is."""
+    import numpy as np
+
+    from sluicegate.llm import jaccard
+
+    grams = np.random.default_rng(0).integers(0, 2**64, 1_000_000, np.uint64)
+    assert len(np.unique(jaccard._cell(grams))) > 900_000 and jaccard._cell(grams).max() < jaccard.CELLS
